@@ -1,4 +1,75 @@
-"""Queries by name, and the SQL that says the same over the same tables."""
+"""Queries by name over turn rows, and the SQL that says the same over the same tables.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+A report is one SQL text over {turns}, which Spark reads as the DataFrame that the operators build, and
+the check reads as the same rows built by SQL alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.pricing import FALLBACK, PRICES, priced, resolve
+from ..functions.scalars import project_display_name, short_model, strip_bracket
+from ..operators.turns import DEDUP_SQL, last_of_request, without_repeats_of_main
+from ..sources.adapters import RAW_SQL, calendar, raw_turns_from_events
+from .reports import CONVERSATION_REPORTS, REPORTS
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated, deduplicated and priced turns with their calendar columns."""
+    t = without_repeats_of_main(last_of_request(raw_turns_from_events(spark, sf_dir)))
+    return calendar(priced(t)).withColumns({"display": project_display_name(F.col("project")), "bare_model": strip_bracket(F.col("model")), "short": short_model(F.col("model"))})
+
+
+_VALUES = ", ".join(f"('{k}', {a}, {b}, {c}, {d}, {e})" for k, a, b, c, d, e in PRICES)
+BASE_SQL = f"""with {RAW_SQL}, {DEDUP_SQL},
+  prices(price_key, r_input, r_5m, r_1h, r_read, r_output) as (values {_VALUES}),
+  models as (select distinct model, case when contains(model, '[') and ends_with(model, ']') then split_part(model, '[', 1) else model end as bare_model from raw),
+  hits as (select m.model, m.bare_model, p.*, row_number() over (partition by m.model order by length(p.price_key) desc) as rn from models m join prices p on starts_with(m.bare_model, p.price_key)),
+  resolved as (select m.model, m.bare_model, coalesce(h.price_key, '{FALLBACK}') as price_key, case when h.price_key = m.bare_model then 'exact' when h.price_key is not null then 'prefix' else 'fallback' end as source,
+      p.r_input, p.r_5m, p.r_1h, p.r_read, p.r_output
+    from models m left join (select * from hits where rn = 1) h using (model) join prices p on p.price_key = coalesce(h.price_key, '{FALLBACK}')),
+  costed as (select k.*, r.* exclude (model), input_tokens * r_input as cost_input, case when has_ttl then cw_5m else cache_creation end * r_5m as cost_5m, case when has_ttl then cw_1h else 0 end * r_1h as cost_1h, cache_read * r_read as cost_read, output_tokens * r_output as cost_output
+    from kept k join resolved r using (model)),
+  turns as (select *, cost_input + cost_5m + cost_1h + cost_read + cost_output as cost, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, date_diff('day', date '2000-01-01', ts::date) as day_no, hour(ts) as hour, isodow(ts) - 1 as dow,
+      input_tokens + cache_creation + cache_read as context, '~' || replace(regexp_extract(project, '^-Users-[^-]*(-.*)$', 1), '-', '/') as display,
+      case when strlen(replace(model, 'claude-', '')) > 9 then regexp_replace(replace(model, 'claude-', ''), '-[0-9]{{8}}$', '') else replace(model, 'claude-', '') end as short from costed)
+"""
+
+
+def _report(sql: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, turns=turns(spark, sf_dir))
+
+    return query
+
+
+def _conversation_report(sql: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+    return query
+
+
+def price_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve(raw_turns_from_events(spark, sf_dir))
+
+
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, records once a request, and turns left after the cross-file dedup, for each project."""
+    raw = raw_turns_from_events(spark, sf_dir)
+    once = last_of_request(raw)
+    kept = without_repeats_of_main(once)
+    tagged = [d.select("project", F.lit(k).alias("stage")) for k, d in enumerate((raw, once, kept))]
+    out = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("project").agg(*(F.count_if(F.col("stage") == k).alias(n) for k, n in enumerate(("records", "requests", "turns"))))
+    return out
+
+
+QUERIES = {name: _report(sql) for name, sql in REPORTS.items()} | {name: _conversation_report(sql) for name, sql in CONVERSATION_REPORTS.items()}
+QUERIES |= {"price_resolution": price_resolution, "dedup_counts": dedup_counts}
+ORACLE_SQL = {name: BASE_SQL + sql.format(turns="turns") for name, sql in REPORTS.items()} | {name: sql.format(conversations="conversations") for name, sql in CONVERSATION_REPORTS.items()}
+ORACLE_SQL |= {
+    "price_resolution": BASE_SQL + "select model, price_key, source, r_input, r_5m, r_1h, r_read, r_output from resolved",
+    "dedup_counts": BASE_SQL + "select r.project, r.n as records, o.n as requests, coalesce(k.n, 0) as turns from (select project, count(*) n from raw group by 1) r join (select project, count(*) n from once group by 1) o using (project) left join (select project, count(*) n from kept group by 1) k using (project)",
+}
