@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled texts that training may read, toxic and clean alike. Bounds the fit, not what is scored.
-TRAIN_TEXTS = 4000
-LANDMARKS = 64
+TRAIN_TEXTS = 6000
+LANDMARKS = 128
 ORDER, SPAN, DECAY = 3, 6, 0.6
 WIDTH = 24
-KINDS = 64
+KINDS = 48
 CACHE_TOKENS = 400_000
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 INNER = re.compile(r"[\W_]+")
@@ -30,11 +30,12 @@ def _kind(code: int) -> int:
     c = chr(code)
     if "a" <= c <= "z":
         return code - 96
-    return 27 if c.isdigit() else 28 + code % 35 if c.isalpha() else 63
+    return 27 if c.isdigit() else 29 + code % 18 if c.isalpha() else 47
 
 
-#: Character classes of the code points below 65,536; all others are 63. 0 is no character.
-KIND = np.array([0, *map(_kind, range(1, 1 << 16)), 63], np.int32)
+#: Character classes of the code points below 65,536; all others are 47. 0 is no character, 28 a word's start.
+KIND = np.array([0, *map(_kind, range(1, 1 << 16)), 47], np.int32)
+START = 28
 
 
 def tokens(text: str) -> set[str]:
@@ -61,9 +62,10 @@ def pieces(token: str) -> list[str]:
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence codes (words x places) and their weights; weight 0 beyond a word's end."""
-    width = max(map(len, words))
+    width = max(map(len, words)) + 1
     grid = np.zeros((len(words), width + SPAN), np.int32)
-    grid[:, :width] = KIND[np.minimum(np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width), 1 << 16)]
+    grid[:, 0] = [START if len(w) > 3 else 0 for w in words]
+    grid[:, 1:width] = KIND[np.minimum(np.array(words, f"U{width - 1}").view(np.uint32).reshape(len(words), width - 1), 1 << 16)]
     out, weight = [], []
     for a, b, decay in GAPS:
         x, y, z = grid[:, :width], grid[:, a : a + width], grid[:, a + b : a + b + width]
@@ -185,8 +187,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for _ in range(4):
         words = positive + list(varied) + negative
         label = np.append(np.ones(len(words) - len(negative)), -np.ones(len(negative)))
-        share = np.concatenate([[seen[1][w] for w in positive], [0.15 * c for c in varied.values()], np.ones(len(negative))])
-        share = np.where(label > 0, share / share[label > 0].sum(), share / share[label < 0].sum() * 2)
+        share = np.concatenate([[seen[1][w] for w in positive], [0.15 * c for c in varied.values()], [1 + 1000 * seen[0][w] / n0 for w in negative]])
+        share = np.where(label > 0, share / share[label > 0].sum(), share / share[label < 0].sum() * 6)
         w, bias = _hinge(kernel(words) @ root, label, share)
         model = Model(((root @ w) @ spread).astype(np.float32), float(bias), 1.0, 0.0)
         f = model.margins(pool)
@@ -218,10 +220,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_TEXTS) -> list:
-    """At most `limit` labelled texts outside the held-out fold, the same for the same rows: half of them toxic as far as there are."""
+    """At most `limit` labelled texts outside the held-out fold, the same for the same rows: a quarter of them toxic as far as there are."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     lab = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(fold != 2)
-    part = [lab.where(F.col("toxic") == k).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(limit // 2) for k in (0, 1)]
+    part = [lab.where(F.col("toxic") == k).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(limit // 4 if k else limit - limit // 4) for k in (0, 1)]
     ids = part[0].unionByName(part[1]).select("doc_id", "toxic").distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
     return sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text or ""))
