@@ -142,8 +142,44 @@ def _context_rows(threshold: int):
     return run
 
 
+def _common_prefix(a: bytes, b: bytes) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+#: Groups of up to so many parts are compared part by part, which takes less than a pass for each offset.
+FEW_PARTS = 24
+
+
+def _pairwise_offsets(parts: list[tuple[int, bytes]], threshold: int) -> list[tuple[int, int] | None]:
+    """shared_offsets() of a small group: how far each two parts agree to the left and to the right of the anchor."""
+    reach = threshold - GRAM
+    out: list[tuple[int, int] | None] = [None] * len(parts)
+    left, right = [body[:lead][::-1] for lead, body in parts], [body[lead:] for lead, body in parts]
+    for i in range(len(parts)):
+        for j in range(i):
+            least = max(0, threshold - _common_prefix(right[i], right[j]))
+            if least > reach:
+                continue
+            most = min(reach, _common_prefix(left[i], left[j]))
+            if most >= least:
+                for k in (i, j):
+                    out[k] = (max(most, out[k][0]), min(least, out[k][1])) if out[k] else (most, least)
+    return out
+
+
 def shared_offsets(parts: list[tuple[int, bytes]], threshold: int) -> list[tuple[int, int] | None]:
     """For each (lead, bytes around an anchor), the largest and smallest offset of the anchor in a window that another part has too."""
+    if len(parts) <= FEW_PARTS:
+        return _pairwise_offsets(parts, threshold)
     reach = threshold - GRAM
     out: list[tuple[int, int] | None] = [None] * len(parts)
     for o in range(reach + 1):
