@@ -151,8 +151,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     empty = Model(np.zeros(KINDS**3, np.float32), -1.0, 1.0, -2.0)
     if not (y == 1).any() or not (y == 0).any():
         return empty
-    bags = [{p for s in SENTENCE.split(t) for w in tokens(s) for p in pieces(w)} for t in texts]
-    seen = {k: Counter(w for b, v in zip(bags, y, strict=True) if v == k for w in b) for k in (0, 1)}
+    # Text by text, so that the driver holds the vocabulary and not every text's words.
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for t, v in zip(texts, toxic, strict=True):
+        seen[v].update({p for s in SENTENCE.split(t) for w in tokens(s) for p in pieces(w)})
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     odds = {w: c * np.log((c + 0.5) / n1 * n0 / (seen[0][w] + 0.5)) for w, c in seen[1].items() if c / n1 > seen[0][w] / n0}
     ranked = sorted(odds, key=lambda w: (-odds[w], w))
@@ -183,7 +185,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     values, vectors = np.linalg.eigh(kernel(landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     model = empty
-    pool = list(seen[0])
+    pool = sorted(seen[0])
     for _ in range(4):
         words = positive + list(varied) + negative
         label = np.append(np.ones(len(words) - len(negative)), -np.ones(len(negative)))
@@ -197,7 +199,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         if not added:
             break
         negative = negative + sorted(added)
-    words = list(set().union(*map(tokens, texts)))
+    vocabulary: set[str] = set()
+    for t in texts:
+        vocabulary |= tokens(t)
+    words = sorted(vocabulary)
     known = dict(zip(words, model.margins(words).tolist(), strict=True))
     f = np.array([max(map(known.__getitem__, tokens(t)), default=FLOOR) for t in texts])
     # Platt's sigmoid with his smoothed targets, by damped Newton steps.
