@@ -16,10 +16,22 @@ from ..sources.adapters import RAW_SQL, calendar, raw_turns_from_events
 from .reports import CONVERSATION_REPORTS, REPORTS
 
 
+def for_reports(kept: DataFrame) -> DataFrame:
+    """Turns with their prices, calendar columns and display names."""
+    return calendar(priced(kept)).withColumns({"display": project_display_name(F.col("project")), "bare_model": strip_bracket(F.col("model")), "short": short_model(F.col("model"))})
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated, deduplicated and priced turns with their calendar columns."""
-    t = without_repeats_of_main(last_of_request(raw_turns_from_events(spark, sf_dir)))
-    return calendar(priced(t)).withColumns({"display": project_display_name(F.col("project")), "bare_model": strip_bracket(F.col("model")), "short": short_model(F.col("model"))})
+    return for_reports(without_repeats_of_main(last_of_request(raw_turns_from_events(spark, sf_dir))))
+
+
+def tree_report(name: str, kept: DataFrame) -> DataFrame:
+    """A report over the turns of a transcript tree; the tool reports count every use within a turn."""
+    t = for_reports(kept)
+    if name in ("overview_tools", "session_top_tools"):
+        t = t.withColumn("tool", F.explode("tool_names"))
+    return kept.sparkSession.sql(REPORTS[name], turns=t)
 
 
 _VALUES = ", ".join(f"('{k}', {a}, {b}, {c}, {d}, {e})" for k, a, b, c, d, e in PRICES)
