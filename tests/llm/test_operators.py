@@ -194,3 +194,22 @@ def test_url_rules(spark):
     assert got[2] == ("b.net", "/es/3", "net/es/", "block")
     assert got[3][2:] == ("com/", "allow") and got[4] == ("x.com", "", None, "allow")
     assert got[5] == got[6] == ("", "", None, "allow") and got[7][2:] == ("net/fr/", "block")
+
+
+def test_fuzzy_passages_near_the_bound(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    rows, want = [], set()
+    for k in range(150):
+        n, rate = [(55, 0.1), (55, 0.15), (60, 0.15), (80, 0.15), (60, 0.2)][k % 5]
+        p = [word() for _ in range(n)]
+        q = [f"x{rng.randrange(4000)}" if rng.random() < rate else x for x in p]
+        rows += [(2 * k, " ".join([word() for _ in range(40)] + p + [word() for _ in range(40)])), (2 * k + 1, " ".join([word() for _ in range(30)] + q + [word() for _ in range(50)]))]
+        same = [x == y for x, y in zip(p, q, strict=True)]
+        # Brute force: any stretch of 50 words or more of which 0.8 agree.
+        if any(sum(same[i:j]) >= 0.8 * (j - i) for i in range(n) for j in range(i + 50, n + 1)):
+            want |= {2 * k, 2 * k + 1}
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {r.doc_id for r in got}
+    assert len(want & found) >= 0.99 * len(want)
+    assert all(r.end_word - r.start_word >= 50 and r.similarity >= 0.8 for r in got)
