@@ -2,6 +2,7 @@
 
 import json
 import random
+import textwrap
 import zlib
 from hashlib import sha256
 
@@ -213,3 +214,14 @@ def test_fuzzy_passages_near_the_bound(spark):
     found = {r.doc_id for r in got}
     assert len(want & found) >= 0.99 * len(want)
     assert all(r.end_word - r.start_word >= 50 and r.similarity >= 0.8 for r in got)
+
+
+def test_license_wordings_on_one_line_and_wrapped():
+    scanner = license_scan.Scanner()
+    names = lambda t: {x[0] for x in scanner.scan(t)}
+    for name, wordings in license_scan.TEMPLATES.items():
+        for w in wordings:
+            assert names("Some words before. " + w + " Some words behind.") == {name}, w
+            assert names("Some words.\n\n" + textwrap.fill(w, 72, initial_indent="# ", subsequent_indent="# ") + "\n\nMore.") == {name}, w
+    assert names("Licensed under the Apache License, Version 2.0 or released under the MIT License.") == {"Apache-2.0", "MIT"}
+    assert names("He released a bird under the bridge. The fee for the license of a boat is two coins.") == set()
