@@ -23,8 +23,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = materialize(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    # By row and not by doc_id, which may be null or stand for several texts.
+    keyed = docs.withColumn("__key", simhash.row_key())
+    leaks = decontaminate.find_leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(materialize(leaks.select(F.col("doc_id").alias("__key")).distinct()), "__key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
@@ -36,15 +36,21 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long). A null text counts as empty."""
+def row_key() -> Column:
+    """A key of a row by its doc_id and text, each of which may be null; only equal rows share one."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and the long `key` if one is given. A null text counts as empty."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint((t.as_py() or "").encode(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *["key"] * (b.num_columns - 2)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = [] if key is None else [key.alias("key")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(own))
 
 
 def flips(width: int, radius: int) -> np.ndarray:
@@ -154,8 +160,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 
 
 def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group; rows without a doc_id stay, equal rows of one doc_id become one."""
-    near = near_duplicates(docs, radius, shingle)
-    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return own.unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, that are the first of their group: one of each, whatever its doc_id.
+
+    First is the smallest doc_id, null behind all others, and then the smallest row_key(). So rows of one
+    doc_id with other texts are judged apart, and rows equal in doc_id and text become one.
+    """
+    fps = materialize(fingerprints(docs, shingle, row_key()))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    own = fps.groupBy("fp").agg(F.min(first).alias("low"))
+    comp = components(ball_links(own, radius)).withColumnRenamed("node", "fp")
+    lows = own.join(comp, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("low").alias("low"))
+    kept = materialize(lows.select(F.col("low.key").alias("__key")))
+    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

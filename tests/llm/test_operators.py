@@ -225,3 +225,18 @@ def test_license_wordings_on_one_line_and_wrapped():
             assert names("Some words.\n\n" + textwrap.fill(w, 72, initial_indent="# ", subsequent_indent="# ") + "\n\nMore.") == {name}, w
     assert names("Licensed under the Apache License, Version 2.0 or released under the MIT License.") == {"Apache-2.0", "MIT"}
     assert names("He released a bird under the bridge. The fee for the license of a boat is two coins.") == set()
+
+
+def test_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (None, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[4]), (3, texts[0]), (None, None)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (3, texts[4]), (None, None)], key=str)
+
+    spark.createDataFrame([(1, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, texts[2]), (None, texts[3]), (5, texts[2]), (5, texts[4]), (6, None)]
+    got = corpus_pipeline.drop_benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, texts[3]), (5, texts[4]), (6, None)], key=str)
