@@ -13,6 +13,9 @@ K1, B = 1.2, 0.75
 #: Items of a posting block, and postings of an index shard that is broadcast (about 16 bytes each).
 BLOCK, SHARD_POSTINGS = 4, 2_000_000
 WORD = re.compile(r"\w+")
+#: A part of fewer words may lose over half of its 5-word shingles by one change, so its words in order count too;
+#: a short answer is joined to the words before it, up to TAIL words or half of the item.
+SHORT, TAIL = 14, 10
 SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
 
@@ -37,6 +40,37 @@ def overlap(part: list[str], grams: set, n: int = 5) -> float:
     return sum(g in grams for g in own) / len(own) if own else 1.0
 
 
+def in_order(part: list[str], near: list[str]) -> float:
+    """Largest share of the part's words that stand in order in a stretch of half its length more."""
+
+    def common(v):
+        row = [0] * (len(v) + 1)
+        for x in part:
+            last = 0
+            for k, y in enumerate(v):
+                last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k], row[k + 1])
+        return row[-1]
+
+    held, size, best = set(part), len(part) + len(part) // 2 + 1, 0
+    for i, w in enumerate(near):
+        if w in held and best < len(part):
+            v = [x for x in near[i : i + size] if x in held]
+            if len(v) > best:
+                best = max(best, common(v))
+    return best / len(part) if part else 1.0
+
+
+def part_overlaps(text: str, parts: tuple[list[str], list[str]], near: list[str], grams: set, question: float, answer: float) -> tuple[float, float]:
+    """Overlap of an item's question and answer with a passage: by shingles, and by words in order where a short part fails."""
+    q, a = overlap(parts[0], grams), overlap(parts[1], grams)
+    if q < question and len(parts[0]) < SHORT:
+        q = max(q, in_order(parts[0], near))
+    if q >= question and a < answer and len(parts[1]) < SHORT:
+        own = words(text)
+        a = max(a, in_order(own[-max(len(parts[1]), min(TAIL, len(own) // 2), 1) :], near))
+    return q, a
+
+
 class Shard:
     """Postings of a run of items. Weights are BM25 contributions over the item's score against itself."""
 
@@ -165,7 +199,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
     A document's passages are runs of twice the longest item's words, each half over the next, over the
     whole text: every item-long stretch lies in one. All items that a passage scores at or above
     `threshold` (as a share of the item's own score) are retrieved and verified: the share of the
-    question's and of the answer's 5-word shingles in the passage must reach both limits. One row a document
+    question's and of the answer's 5-word shingles in the passage must reach both limits, for parts of under
+    SHORT words of their words in order (a short answer with the words before it). One row a document
     and item, of its best passage (the first among equals; word: where it begins).
 
     Null or empty texts hold nothing; null items are left out; repeated rows give repeated rows; a null
@@ -199,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
                             hits = s.search(sorted({get(w) for w in near if w in s.index}), threshold)
                             grams = {tuple(near[i : i + n]) for n in range(1, 6) for i in range(len(near) - n + 1)} if hits else ()
                             for item, score in hits:
-                                q, a = overlap(parts[item][0], grams), overlap(parts[item][1], grams)
+                                q, a = part_overlaps(s.texts[item], parts[item], near, grams, question, answer)
                                 if q >= question and a >= answer:
                                     found = (q + a, score, -max(0, lo))
                                     if found > rows.get((first + k, item), ((-1,),))[0]:

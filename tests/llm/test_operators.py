@@ -240,3 +240,20 @@ def test_rows_with_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, texts[2]), (None, texts[3]), (5, texts[2]), (5, texts[4]), (6, None)]
     got = corpus_pipeline.drop_benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, texts[3]), (5, texts[4]), (6, None)], key=str)
+
+
+def test_leaks_with_a_changed_or_missing_answer(spark):
+    rng = random.Random(15)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items, rows, want = [], [], []
+    for k in range(24):
+        question, answer = [word() for _ in range(20)], [word() for _ in range([1, 2, 5, 9][k % 4])]
+        items.append((k, " ".join(question) + "? " + " ".join(answer) + "."))
+        at = len(answer) // 2
+        changed = [*answer[:at], "other", *answer[at + 1 :]]
+        for n, end in enumerate((answer, changed, answer[:-1])):
+            rows.append((3 * k + n, " ".join([word() for _ in range(50)] + question + end + [word() for _ in range(50)])))
+            want.append((3 * k + n, k))
+    rows.append((900, " ".join(word() for _ in range(300))))
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want
