@@ -12,9 +12,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded, slices
+
 INF = 1 << 60
-#: Distinct words kept with their codes in a worker; at the bound the store is emptied and refilled.
-CACHE_WORDS = 400_000
+#: Distinct words, and characters of them, kept with their codes within a task; at either bound the store is emptied and refilled.
+CACHE_WORDS, CACHE_CHARS = 150_000, 4_000_000
 
 
 def byte_characters() -> list[str]:
@@ -116,6 +118,7 @@ class Codec:
         self.digits = {i: str(i) for i in self.tokens}
         self.codes: dict[str, str] = {}
         self.shown: dict[str, str] = {}
+        self.held = 0  # characters of the words kept
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, those of like width together."""
@@ -156,10 +159,13 @@ class Codec:
             else:  # a tuple marks a special token
                 parts.append([w for p in self.split.split(text) if p for w in ([(p,)] if p in self.special else self.normalized_words(p))])
         new = {w for p in parts for w in p}.difference(self.codes)
-        if len(self.codes) + len(new) > CACHE_WORDS:
+        size = sum(map(len, new))
+        if len(self.codes) + len(new) > CACHE_WORDS or self.held + size > CACHE_CHARS:
             self.codes.clear()
             self.shown.clear()
             new = {w for p in parts for w in p}
+            self.held, size = 0, sum(map(len, new))
+        self.held += size
         self.learn([w for w in new if isinstance(w, str)])
         for w in new:
             if isinstance(w, tuple):
@@ -175,23 +181,6 @@ class Codec:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-#: Texts are taken together up to so many characters.
-GROUP_CHARS = 2_000_000
-
-
-def groups(column):
-    """Texts of an Arrow column in runs of bounded length."""
-    run, size = [], 0
-    for text in column:
-        run.append(text.as_py() or "")
-        size += len(run[-1])
-        if size > GROUP_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, and token_ids with the decoded text, or with digests=True their SHA-256.
 
@@ -199,15 +188,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
     null; other columns are not carried. The vocabulary file (bounded by its kind, a few MB) is read
     on the driver and broadcast. A map without shuffle: any split of the input works alike.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
         codec = Codec(json.loads(spec.value))
-        for b in batches:
+        for b in slices(batches, 1):
             n, ids, shown = [], [], []
-            for i, s in (x for g in groups(b.column(1)) for x in codec.encode_batch(g)):
+            for i, s in codec.encode_batch([t.as_py() or "" for t in b.column(1)]):
                 n.append(i.count(" ") + 1 if i else 0)
                 ids.append(sha256(i.encode()).hexdigest() if digests else i)
                 shown.append(sha256(s.encode()).hexdigest() if digests else s)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +25,27 @@ def signed(x: int) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode, where all is one machine, a temporary one if none is named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Tables of materialize() that are not released yet.
+_tables: list[DataFrame] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _tables.append(out)
     return out
 
 
@@ -45,6 +54,39 @@ def release(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._scratch_path
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _tables[:] = [t for t in _tables if t is not df]
+
+
+def finished(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of build() as a table; every scratch table that was made on the way to it is deleted."""
+    before = {id(t) for t in _tables}
+    out = materialize(build())
+    for t in [t for t in _tables if id(t) not in before and t is not out]:
+        release(t)
+    return out
+
+
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes too: 10,000 long texts in one batch are what fills an executor's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
+def slices(batches, column: int, most: int = 2_000_000):
+    """Slices of Arrow batches whose string column holds at most `most` bytes, or one row: what a task holds as Python objects is bounded by bytes, not by rows."""
+    for b in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)).astype(np.int64)
+        end, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def union_find(pairs) -> dict:
@@ -85,7 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
     def hooked(e: DataFrame, smaller: bool) -> DataFrame:
         # e: (u, v) neighbours; smaller: only neighbours below u take part, and u itself follows.
         low = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        out = e.join(low, "u")
+        out = e.join(low.hint("merge"), "u")  # as large as the input: never to be broadcast
         if smaller:
             return out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -98,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = materialize(hooked(down, True).where("a <> b").distinct())
         # Done when no root of an edge is the child of another edge and every child has one root.
         roots = new.select(F.col("b").alias("a")).distinct()
-        stable = new.join(roots, "a", "left_semi").limit(1).count() == 0 and new.groupBy("a").count().where("count > 1").limit(1).count() == 0
+        stable = new.join(roots.hint("merge"), "a", "left_semi").limit(1).count() == 0 and new.groupBy("a").count().where("count > 1").limit(1).count() == 0
         release(cur)
         cur = new
         if stable:

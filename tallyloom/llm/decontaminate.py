@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, materialize, slices
+
 K1, B = 1.2, 0.75
-#: Items of a posting block, and postings of an index shard that is broadcast (about 16 bytes each).
-BLOCK, SHARD_POSTINGS = 4, 2_000_000
+#: Items of a posting block, and postings of the index shards that are broadcast at a time (about 40 bytes each).
+BLOCK, SHARD_POSTINGS = 4, 500_000
+#: Words of the shortest length class of items.
+LEAST = 32
 WORD = re.compile(r"\w+")
 #: A part of fewer words may lose over half of its 5-word shingles by one change, so its words in order count too;
 #: a short answer is joined to the words before it, up to TAIL words or half of the item.
@@ -72,31 +77,42 @@ def part_overlaps(text: str, parts: tuple[list[str], list[str]], near: list[str]
 
 
 class Shard:
-    """Postings of a run of items. Weights are BM25 contributions over the item's score against itself."""
-
-    def __init__(self, rows: list, texts: dict):
-        items = sorted({r.item for r in rows})
-        at = {x: k for k, x in enumerate(items)}
-        self.items, self.texts = items, [texts[x] for x in items]
-        terms: dict[str, list[tuple[int, float]]] = {}
-        for r in rows:
-            terms.setdefault(r.term, []).append((at[r.item], r.weight))
-        self.index = {t: k for k, t in enumerate(sorted(terms))}
-        self.postings = [sorted(terms[t]) for t in sorted(terms)]
-        blocks = -(-len(items) // BLOCK)
-        self.block_max = np.zeros((len(terms) + 1, blocks), np.float32)
-        for k, p in enumerate(self.postings):
-            for item, weight in p:
-                self.block_max[k, item // BLOCK] = max(self.block_max[k, item // BLOCK], weight)
-        self.length = max((len(words(t)) for t in self.texts), default=1)
-        self.top = self.block_max.max(axis=1)
+    """Postings of items of one length class. Weights are BM25 contributions over the item's score against itself.
+
+    terms, items, weights: the postings, terms as places in `index`, which the shards of a broadcast share.
+    Passages are `width` words, twice the class's longest item, so what an item meets does not hang on the others.
+    """
+
+    def __init__(self, index: dict[str, int], terms: np.ndarray, items: np.ndarray, weights: np.ndarray, ids: list, texts: list[str], stride: int):
+        self.index, self.items, self.texts, self.stride, self.width = index, ids, texts, stride, 2 * stride
+        order = np.lexsort((items, terms))
+        terms, items, weights = terms[order], items[order], weights[order].astype(np.float64)
+        self.start = np.searchsorted(terms, np.arange(len(index) + 1))
+        self.post_item, self.post_weight = items, weights
+        # Block maxima, only of blocks that hold the term.
+        block = items // BLOCK
+        first = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1]))) if len(terms) else np.empty(0, np.int64)
+        self.max_block = block[first]
+        self.max_weight = np.maximum.reduceat(weights, first) if len(first) else weights
+        self.max_start = np.searchsorted(terms[first], np.arange(len(index) + 1))
+        self.blocks = -(-len(ids) // BLOCK)
+        self.top = np.zeros(len(index) + 1)
+        np.maximum.at(self.top, terms, weights)
+
+    def postings(self, term: int) -> list[tuple[int, float]]:
+        s = slice(self.start[term], self.start[term + 1])
+        return list(zip(self.post_item[s].tolist(), self.post_weight[s].tolist(), strict=True))
+
+    def block_maxima(self, term: int) -> dict[int, float]:
+        s = slice(self.max_start[term], self.max_start[term + 1])
+        return dict(zip(self.max_block[s].tolist(), self.max_weight[s].tolist(), strict=True))
 
     def possible(self, ids: np.ndarray, passage: np.ndarray, threshold: float) -> np.ndarray:
         """Numbers of the passages with a block whose maxima reach the threshold; each term of a passage counts once.
 
         ids: index terms (-1: none) of many texts' words, passage: the number of each word's passage.
         """
-        at = ids >= 0
+        at = self.top[ids] > 0  # the last place, of -1, is zero
         key = np.sort(passage[at] * np.int64(len(self.top)) + ids[at])
         if not len(key):
             return key
@@ -109,15 +125,20 @@ class Shard:
             return key[:0]
         keep = np.repeat(ok, np.diff(np.append(start, len(c))))
         c, o = c[keep], o[keep]
-        start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        best = np.add.reduceat(self.block_max[o], start, axis=0).max(axis=1)
-        return c[start][best >= threshold - 1e-5]
+        # The blocks of each term, summed over the terms of a passage.
+        size = self.max_start[o + 1] - self.max_start[o]
+        held = np.repeat(self.max_start[o], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        cell, back = np.unique(np.repeat(c, size) * np.int64(self.blocks) + self.max_block[held], return_inverse=True)
+        best = np.bincount(back, self.max_weight[held])
+        return np.unique(cell[best >= threshold - 1e-5] // self.blocks)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item whose score reaches the threshold: block-max WAND, document at a time."""
-        lists = [[t, 0] for t in terms]
+        post = {t: p for t in terms if (p := self.postings(t))}
+        block_max = {t: self.block_maxima(t) for t in post}
+        lists = [[t, 0] for t in post]
         found = []
-        post, last = self.postings, len(self.items)
+        last = len(self.items)
         while True:
             lists = [x for x in lists if x[1] < len(post[x[0]])]
             lists.sort(key=lambda x: post[x[0]][x[1]][0])
@@ -134,7 +155,7 @@ class Shard:
             while pivot + 1 < len(lists) and post[lists[pivot + 1][0]][lists[pivot + 1][1]][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.block_max[t, block]) for t, _ in lists[: pivot + 1]) < threshold - 1e-5:
+            if sum(block_max[t].get(block, 0.0) for t, _ in lists[: pivot + 1]) < threshold - 1e-5:
                 # No item of this block, as far as the lists before the next one reach, can make it: skip.
                 to = min((block + 1) * BLOCK, post[lists[pivot + 1][0]][lists[pivot + 1][1]][0] if pivot + 1 < len(lists) else last)
                 move = lists[: pivot + 1]
@@ -154,29 +175,53 @@ class Shard:
                 x[1] = p
 
 
+def _term_rows(batches):
+    """(item, term, tf, size) of each item, its words split as passages are."""
+    for b in slices(batches, 1):
+        rows = []
+        for item, text in zip(b.column(0), b.column(1), strict=True):
+            own = Counter(words(text.as_py()))
+            rows += [(item.as_py(), w, n, own.total()) for w, n in own.items()]
+        if rows:
+            c = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], b.schema.field(0).type), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["item", "term", "tf", "size"])
+
+
 def index_rows(benchmark: DataFrame) -> DataFrame:
-    """(item, term, weight): BM25 of each item's terms as a share of the item's score against itself, over all items."""
+    """(item, term, size, weight): BM25 of each item's terms as a share of the item's score against itself, over all items."""
     items = benchmark.select(F.col("item_id").alias("item"), "text").where("item_id is not null and text is not null")
-    tf = items.select("item", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("item").agg(F.sum("tf").alias("size"))
-    n, mean = size.agg(F.count("*"), F.avg("size")).first()
+    tf = materialize(items.mapInArrow(_term_rows, f"item {benchmark.schema['item_id'].dataType.simpleString()}, term string, tf long, size long").groupBy("item", "term").agg(F.max("tf").alias("tf"), F.max("size").alias("size")))
+    n, mean = tf.groupBy("item").agg(F.max("size").alias("size")).agg(F.count("*"), F.avg("size")).first()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = tf.join(df, "term").join(size, "item").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0))))
-    return score.join(score.groupBy("item").agg(F.sum("w").alias("own")), "item").select("item", "term", (F.col("w") / F.col("own")).alias("weight"))
+    score = tf.join(df, "term").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0))))
+    return score.join(score.groupBy("item").agg(F.sum("w").alias("own")), "item").select("item", "term", "size", (F.col("w") / F.col("own")).alias("weight"))
 
 
 def shards(benchmark: DataFrame):
-    """Index shards of bounded size, one after the other."""
-    rows = index_rows(benchmark)
-    count = rows.count()
-    parts = max(1, -(-2 * count // SHARD_POSTINGS)) if count > SHARD_POSTINGS else 1
-    texts = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    """Lists of index shards, one for each length class; all shards of a list have at most about SHARD_POSTINGS postings and are broadcast together."""
+    rows = materialize(index_rows(benchmark))
+    parts = max(1, -(-rows.count() // SHARD_POSTINGS))
+    texts = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").alias("item")).agg(F.max("text").alias("text"))
     for k in range(parts):
-        own = lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(parts)) == k
-        got = rows.where(own("item")).collect()
-        if got:
-            yield Shard(got, {r.item_id: r.text for r in sorted(texts.where(own("item_id")).collect(), key=lambda r: r.text, reverse=True)})
+        own = F.pmod(F.xxhash64("item"), F.lit(parts)) == k
+        got, text = rows.where(own).toArrow().sort_by([("item", "ascending"), ("term", "ascending")]), texts.where(own).toArrow()
+        if not got.num_rows:
+            continue
+        text = dict(zip(text["item"].to_pylist(), text["text"].to_pylist(), strict=True))
+        term = got["term"].combine_chunks().dictionary_encode()
+        index, codes = {t: k for k, t in enumerate(term.dictionary.to_pylist())}, np.asarray(term.indices).astype(np.int64)
+        item = got["item"].combine_chunks().dictionary_encode()
+        ids, item, weight = item.dictionary.to_pylist(), np.asarray(item.indices).astype(np.int64), np.asarray(got["weight"])
+        size = np.maximum(np.asarray(got["size"]), LEAST)
+        stride = 1 << np.ceil(np.log2(size)).astype(np.int64)
+        group = []
+        for width in np.unique(stride).tolist():
+            at = stride == width
+            some, place = np.unique(item[at], return_inverse=True)
+            names = [ids[i] for i in some.tolist()]
+            group.append(Shard(index, codes[at], place, weight[at], names, [text[i] for i in names], width))
+        yield group
 
 
 def _runs(column):
@@ -196,49 +241,54 @@ def _runs(column):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question: float = 0.5, answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, word, score, question_overlap, answer_overlap): test items found in documents.
 
-    A document's passages are runs of twice the longest item's words, each half over the next, over the
-    whole text: every item-long stretch lies in one. All items that a passage scores at or above
-    `threshold` (as a share of the item's own score) are retrieved and verified: the share of the
-    question's and of the answer's 5-word shingles in the passage must reach both limits, for parts of under
-    SHORT words of their words in order (a short answer with the words before it). One row a document
-    and item, of its best passage (the first among equals; word: where it begins).
-
-    Null or empty texts hold nothing; null items are left out; repeated rows give repeated rows; a null
-    doc_id stays null. Only doc_id, text and item_id, text are read. The index is broadcast in shards of
-    at most SHARD_POSTINGS postings; a larger benchmark takes one pass over the documents for each shard.
+    Items fall into classes by length (powers of two, LEAST words at least). For a class, a document's
+    passages are runs of twice its longest length, each half over the next, over the whole text: every
+    stretch as long as an item lies in one, and no item's result hangs on which others there are but
+    through the weights of BM25. All items that a passage scores at or above `threshold` (as a share of the
+    item's own score) are retrieved and verified: the share of the question's and of the answer's 5-word
+    shingles in the passage must reach both limits, for parts of under SHORT words of their words in order
+    (a short answer with the words before it). One row a document and item, of its best passage (the first
+    among equals; word: where it begins).
+
+    Null or empty texts hold nothing; null items are left out, and of items that share an id the largest
+    text counts; repeated rows give repeated rows; a null doc_id stays null. Only doc_id, text and item_id,
+    text are read. The index is broadcast in lists of shards of at most about SHARD_POSTINGS postings; a
+    larger benchmark takes one pass over the documents for each list.
     """
-    spark, out = docs.sparkSession, None
+    spark, out = bounded(docs).sparkSession, None
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, word int, score double, question_overlap double, answer_overlap double"
-    for shard in shards(benchmark):
-        shared = spark.sparkContext.broadcast(shard)
+    for group in shards(benchmark):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
-            s = shared.value
-            stride, width = s.length, 2 * s.length
-            parts = [question_answer(t) for t in s.texts]
-            get = s.index.get
-            for b in batches:
+            group = shared.value
+            parts = [[question_answer(t) for t in s.texts] for s in group]
+            get = group[0].index.get
+            for b in slices(batches, 1):
                 rows: dict = {}
                 for first, own in _runs(b.column(1)):
                     size = np.array(list(map(len, own)))
                     ids = np.fromiter((get(w, -1) for t in own for w in t), np.int64, size.sum())
                     place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-                    # Passage 2k + 1 of a text begins `stride` words behind passage 2k; numbers of texts do not meet.
-                    base = np.cumsum(2 * (size // width + 2)) - 2 * (size // width + 2)
-                    for odd in (0, 1):
-                        number = np.repeat(base, size) + 2 * ((place + (stride if odd else 0)) // width) + odd
-                        for c in s.possible(ids, number, threshold).tolist():
-                            k = int(np.searchsorted(base, c, "right")) - 1
-                            lo = (c - int(base[k])) // 2 * width - odd * stride
-                            near = own[k][max(0, lo) : lo + width]
-                            hits = s.search(sorted({get(w) for w in near if w in s.index}), threshold)
-                            grams = {tuple(near[i : i + n]) for n in range(1, 6) for i in range(len(near) - n + 1)} if hits else ()
-                            for item, score in hits:
-                                q, a = part_overlaps(s.texts[item], parts[item], near, grams, question, answer)
-                                if q >= question and a >= answer:
-                                    found = (q + a, score, -max(0, lo))
-                                    if found > rows.get((first + k, item), ((-1,),))[0]:
-                                        rows[first + k, item] = found, (first + k, s.items[item], max(0, lo), score, q, a)
+                    for s, split in zip(group, parts, strict=True):
+                        stride, width = s.stride, s.width
+                        # Passage 2k + 1 of a text begins `stride` words behind passage 2k; numbers of texts do not meet.
+                        base = np.cumsum(2 * (size // width + 2)) - 2 * (size // width + 2)
+                        for odd in (0, 1):
+                            number = np.repeat(base, size) + 2 * ((place + (stride if odd else 0)) // width) + odd
+                            for c in s.possible(ids, number, threshold).tolist():
+                                k = int(np.searchsorted(base, c, "right")) - 1
+                                lo = (c - int(base[k])) // 2 * width - odd * stride
+                                near = own[k][max(0, lo) : lo + width]
+                                hits = s.search(sorted({get(w) for w in near if w in s.index}), threshold)
+                                grams = {tuple(near[i : i + n]) for n in range(1, 6) for i in range(len(near) - n + 1)} if hits else ()
+                                for item, score in hits:
+                                    q, a = part_overlaps(s.texts[item], split[item], near, grams, question, answer)
+                                    if q >= question and a >= answer:
+                                        found = (q + a, score, -max(0, lo))
+                                        at = first + k, s.items[item]
+                                        if found > rows.get(at, ((-1,),))[0]:
+                                            rows[at] = found, (first + k, s.items[item], max(0, lo), score, q, a)
                 if rows:
                     cols = list(zip(*(x for _, (_, x) in sorted(rows.items())), strict=True))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])

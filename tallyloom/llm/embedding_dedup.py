@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +12,8 @@ from .common import components, materialize, union_find
 #: Vectors of a block; a task holds two blocks, so memory is bounded whatever the input.
 BLOCK = 4096
 STRIP = 256
+#: Up to so many vector lengths are told apart by a literal map, more by a join.
+LENGTHS = 1000
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,25 +91,28 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     components, link with nothing; vectors of different lengths do not link. Repeated rows count as vectors
     of their own; a row with a null vec_id is returned and counts as a link, but names no component.
     """
-    src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as exact as given
+    src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     fine = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     # +0.0: one zero for both signs.
-    src = src.withColumn("embedding", F.when(fine, F.transform("embedding", lambda x: x + F.lit(0.0)).cast("array<float>")))
+    src = src.withColumn("embedding", F.when(fine, F.transform("embedding", lambda x: x + F.lit(0.0)).cast(f"array<{kind}>")))
     rep = src.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     # A key of their own, as classes of null ids have no smallest one; classes with an id keep it.
     rep = materialize(rep.withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("embedding")) - 1)))
-    sizes = {r.dim: r.n for r in rep.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").limit(10_000).collect()}
-    blocks = {d: max(1, math.ceil(n / BLOCK)) for d, n in sizes.items()}
-    if not blocks:
-        return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    number = F.create_map(*[F.lit(x) for d, g in blocks.items() for x in (d, g)])
-    dealt = rep.withColumn("dim", F.size("embedding")).withColumn("g", number[F.col("dim")]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("g")).cast("int"))
+    lengths = materialize(rep.groupBy(F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("g")))
+    dealt = rep.withColumn("dim", F.size("embedding"))
+    few = lengths.limit(LENGTHS + 1).collect()
+    if len(few) <= LENGTHS:  # mostly one: a literal of the plan
+        dealt = dealt.withColumn("g", F.create_map(*[F.lit(x) for r in few for x in r])[F.col("dim")] if few else F.lit(1).cast("long"))
+    else:
+        dealt = dealt.join(lengths.hint("merge"), "dim")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("g")).cast("int"))
     tiles = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int")))).select(F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"), "dim", "block", "rep", "n", "embedding")
     found = materialize(tiles.groupBy("own", "other", "dim").applyInArrow(_tiles(threshold), "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     # Classes without an id (negative keys of their own) may be a component's smallest node: take the smallest real id.
-    group = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    group = rep.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     low = group.groupBy("component").agg(F.min("low").alias("component_id"))
     done = group.join(low, "component").join(links, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = src.join(done, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, slices
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 #: HTML's white space; a no-break space counts too once references are decoded.
@@ -20,13 +22,36 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("nav header footer aside form menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BODY = frozenset("article main".split())
-ASIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menus?|header|masthead|footer|sidebar\w*|side|widgets?|breadcrumbs?|cookies?|consent|notice\w*|alerts?|popup|modal|comments?|comment-?list|discussion|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|copyright|legal)(?:$|[\s_-])", re.I)
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Words of class names and ids that mark what is not the article, wherever they stand in a name (ad-slot, site_nav).
+ASIDE_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu menus masthead footer sidebar widget widgets breadcrumb breadcrumbs cookie cookies consent popup modal comment comments discussion replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login pagination pager toolbar".split())
+#: These only as the last word of a name (site-notice, but not notice-period), and the second ones not inside an article.
+LAST_WORD = frozenset("notice notices alert alerts banner".split())
+OUTER_WORD = frozenset("header side search copyright legal".split())
+#: First words by which an article element itself is a reader's comment or an advert; its other class names are often topics.
+NO_ARTICLE = frozenset("comment comments reply ad ads advert advertisement sponsored".split())
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Lines a window sums, and the text length at which a window counts as dense.
 WINDOW, DENSE = 3, 40
 
 
+def is_aside(tag: str, names: str, inside: bool) -> bool:
+    """Whether class names and ids mark an element as no part of the article; inside: within a marked article."""
+    if tag in ("html", "body", "main"):
+        return False
+    for name in names.split():
+        parts = [w.lower() for w in NAME_WORD.findall(name)]
+        if not parts:
+            continue
+        if tag == "article":
+            if parts[0] in NO_ARTICLE:
+                return True
+        elif not ASIDE_WORD.isdisjoint(parts) or parts[-1] in LAST_WORD or not inside and parts[-1] in OUTER_WORD:
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, str, int]]:
     """(text, kind, length of its text that is not in links) of each line; kind: body, aside or open."""
     out: list[tuple[str, str, int]] = []
@@ -67,6 +92,8 @@ def lines_of(page: str) -> list[tuple[str, str, int]]:
             continue
         if name in BLOCK:
             end_line()
+            if not m[2] and name != "br" and stack and stack[-1][0] == "p":
+                stack.pop()  # a block ends a paragraph that was left open
         if name == "a":
             links = 0 if m[2] else 1
         if m[2]:
@@ -77,47 +104,54 @@ def lines_of(page: str) -> list[tuple[str, str, int]]:
             continue
         if name in VOID or name in ("p", "li", "b", "i", "a", "em", "strong", "td", "tr") and not m[4]:
             continue
-        what = "aside" if name in ASIDE else "body" if name in BODY else ""
+        inside = any(k == "body" for _, k in stack)
+        # An article's own heading is part of it.
+        what = "aside" if name in ASIDE and not (name == "header" and inside) else "body" if name in BODY else ""
         if m[4]:
             found = {(a[0] or a[4]).lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[4])}
-            if name not in ("html", "body", "article", "main") and (ASIDE_WORD.search(found.get("class", "")) or ASIDE_WORD.search(found.get("id", ""))) or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+            hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
+            if hidden or found.get("role", "").lower() in ASIDE_ROLE or is_aside(name, found.get("class", "") + " " + found.get("id", ""), inside):
                 what = "aside"
             elif found.get("role") == "main":
                 what = "body"
-        if name == "header" and any(k == "body" for _, k in stack) and what == "aside" and not m[4]:
-            what = ""  # an article's own heading
         if name not in ("p", "li", "b", "i", "a", "em", "strong", "td", "tr") or what:
             stack.append((name, what))
     end_line()
     return out
 
 
-def main_text(page: str) -> str:
-    """Lines between the surge and the dive of the densest run of line blocks, without lines of asides.
+def runs(weights: list[int], window: int = WINDOW, dense: int = DENSE) -> list[tuple[int, int]]:
+    """Runs of lines from a surge to the next dive, without weightless lines at their ends.
+
+    A line block is `window` lines from a line on. It surges where it sums to `dense` characters (or to the
+    page's densest block, if that has fewer) and dives where it sums to none.
+    """
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    limit, out, at = min(dense, max(sums, default=0)), [], 0
+    while at < len(sums) and limit:
+        if sums[at] < limit or not weights[at]:
+            at += 1
+            continue
+        to = at
+        while to < len(sums) and sums[to]:
+            to += 1
+        end = max(k for k in range(at, to) if weights[k]) + 1
+        out.append((at, end))
+        at = to
+    return out
+
+
+def main_text(page: str, window: int = WINDOW, dense: int = DENSE) -> str:
+    """The lines between surges and dives of the page's line blocks.
 
-    Lines of asides count as empty. If the page marks its article, the other lines count as empty too and
-    every line of the article is dense; else a line counts by its text outside links, a window of WINDOW
-    lines surges at DENSE characters and dives where it is empty of such text.
+    Lines of asides are taken out before, so they neither count nor interrupt. A line weighs its text outside
+    links. Where the page marks an article, its lines weigh `dense` characters more, and others count only if
+    they are long (twice `dense`). Inside a run every line stays, links too.
     """
-    lines = lines_of(page)
+    lines = [x for x in lines_of(page) if x[1] != "aside"]
     marked = any(k == "body" for _, k, _ in lines)
-    size = [0 if k == "aside" or marked and k != "body" else n for _, k, n in lines]
-    if marked:
-        keep = [k == "body" for _, k, _ in lines]
-    else:
-        sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-        best, at = (0, 0, 0), 0
-        while at < len(size):
-            if sums[at] < DENSE or not size[at]:
-                at += 1
-                continue
-            to = at
-            while to < len(size) and sums[to]:  # dive: a window without text
-                to += 1
-            best = max(best, (sum(size[at:to]), -at, to))
-            at = to
-        keep = [-best[1] <= i < best[2] for i in range(len(size))]
-    return "\n".join(t for (t, k, n), x in zip(lines, keep, strict=True) if x and k != "aside" and (marked or n))
+    weights = [n + dense if k == "body" else n if not marked or n >= 2 * dense else 0 for _, k, n in lines]
+    return "\n".join(lines[k][0] for at, to in runs(weights, window, dense) for k in range(at, to))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -128,9 +162,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             text = [main_text(h.as_py() or "") for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    src = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
+    src = bounded(pages).select("page_id", F.col("url").cast("string").alias("url"), "html")
     return src.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import bounded, components, materialize
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A bucket of up to so many fingerprints is compared pair by pair; larger ones go through the full ball.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *["key"] * (b.num_columns - 2)])
 
     own = [] if key is None else [key.alias("key")]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(own))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(own))
 
 
 def flips(width: int, radius: int) -> np.ndarray:
@@ -58,7 +58,8 @@ def flips(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64)
 
 
-def _emit_variants(masks: list[np.ndarray], shifts: list[int], width: int):
+def _emit_variants(masks: list[np.ndarray], shifts: list[int], width: int, near: int = 64):
+    """(key, fp, near): every variant of every part; near: whether at most `near` bits are flipped."""
     low = np.uint64((1 << width) - 1) if width < 64 else np.uint64((1 << 64) - 1)
 
     def run(batches):
@@ -69,7 +70,8 @@ def _emit_variants(masks: list[np.ndarray], shifts: list[int], width: int):
                 for k, (m, s) in enumerate(zip(masks, shifts, strict=True)):
                     key = (((part >> np.uint64(s)) & low)[:, None] ^ m).ravel()
                     tag = np.uint64(k) << np.uint64(width) if width < 63 else np.uint64(0)
-                    yield pa.RecordBatch.from_arrays([pa.array((key | tag).view(np.int64)), pa.array(np.repeat(part, len(m)).view(np.int64))], names=["key", "fp"])
+                    close = np.tile(np.bitwise_count(m) <= near, len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array((key | tag).view(np.int64)), pa.array(np.repeat(part, len(m)).view(np.int64)), pa.array(close)], names=["key", "fp", "near"])
 
     return run
 
@@ -125,21 +127,25 @@ def _bucket_pairs(radius: int):
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within `radius` bits.
 
-    Meet in the middle: two fingerprints within the radius share a variant within half of it. The plain
-    form emits every variant of all 64 bits within radius/2 - all that share one are within the radius of
-    each other, so a star to the smallest is exact - but 2,081 rows a fingerprint. So the bits are first
-    split in halves, one of which differs in radius/2 bits at most: each half emits its variants within
-    radius/4 (66 rows in all), colliding pairs of a bucket are verified, and only the members of large
-    buckets emit their full ball. Every linked pair shares a small bucket or is in the full ball together.
+    Meet in the middle: two fingerprints within the radius share a variant within half of it, rounded down on
+    one side and up on the other. The plain form emits every variant of all 64 bits - members that share one,
+    one of them by the smaller half, are within the radius of each other, so a star around such a member is
+    exact - but 2,081 rows a fingerprint at radius 4. So the bits are first split in halves, one of which
+    differs in radius/2 bits at most: each half emits its variants within half of that, rounded up (66 rows in
+    all at radius 4), colliding pairs of a bucket are verified, and only the members of large buckets emit
+    their full ball. Every linked pair shares a small bucket or is in the full ball together.
     """
+    spark = fps.sparkSession
     fps = fps.select("fp").distinct()
-    half = flips(32, radius // 4)
-    keys = fps.mapInArrow(_emit_variants([half, half], [0, 32], 32), "key long, fp long")
+    half = flips(32, (radius // 2 + 1) // 2)
+    # Dealt out first: a few small partitions would each become as many rows times the variants.
+    spread = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = spread.mapInArrow(_emit_variants([half, half], [0, 32], 32), "key long, fp long, near boolean").drop("near")
     found = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(radius), "a long, b long").distinct())
     hot = found.where("b is null").select(F.col("a").alias("fp"))
-    ball = hot.mapInArrow(_emit_variants([flips(64, radius // 2)], [0], 64), "key long, fp long")
-    low = ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
-    star = ball.join(low, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    ball = hot.mapInArrow(_emit_variants([flips(64, (radius + 1) // 2)], [0], 64, radius // 2), "key long, fp long, near boolean")
+    low = ball.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.min("fp").alias("y"), F.max("fp").alias("z")).where("y <> z and a is not null").select("key", "a")
+    star = ball.join(low.hint("merge"), "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
     return found.where("b is not null").unionByName(star)
 
 
@@ -153,10 +159,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     fps = materialize(fingerprints(docs, shingle))
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     comp = components(ball_links(own, radius))
-    joined = own.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = own.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = joined.join(low, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = joined.join(low.hint("merge"), "component").select("fp", "component_id")
+    return fps.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -169,6 +175,6 @@ def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     own = fps.groupBy("fp").agg(F.min(first).alias("low"))
     comp = components(ball_links(own, radius)).withColumnRenamed("node", "fp")
-    lows = own.join(comp, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("low").alias("low"))
+    lows = own.join(comp.hint("merge"), "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("low").alias("low"))
     kept = materialize(lows.select(F.col("low.key").alias("__key")))
-    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return docs.withColumn("__key", row_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, slices
+
 #: Labelled texts that training may read, toxic and clean alike. Bounds the fit, not what is scored.
 TRAIN_TEXTS = 6000
 LANDMARKS = 128
 ORDER, SPAN, DECAY = 3, 6, 0.6
 WIDTH = 24
 KINDS = 48
-CACHE_TOKENS = 400_000
+#: Distinct words kept with their margins within a task, about 150 bytes each.
+CACHE_TOKENS = 200_000
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 INNER = re.compile(r"[\W_]+")
 EDGE = ".,;:!?()[]{}\"'«»“”…"
@@ -241,16 +244,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     a map without shuffle). Null and empty texts score as a text without words, near 0. Repeated rows give
     repeated rows; a null doc_id stays null and is not held out. With no labels of both kinds every score is low.
     """
-    rows = training_rows(docs, labels, limit)
+    rows = training_rows(bounded(docs), labels, limit)
     model = docs.sparkSession.sparkContext.broadcast(train([r.text or "" for r in rows], [r.toxic for r in rows]))
 
     def run(batches):
         m = model.value
-        for b in batches:
-            score = []
-            for at in range(0, b.num_rows, 500):
-                score += m.score([t.as_py() or "" for t in b.column(2).slice(at, 500)])
+        for b in slices(batches, 2):
+            score = m.score([t.as_py() or "" for t in b.column(2)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        m.known.clear()
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     src = docs.select("doc_id", held.alias("held_out"), "text")
@@ -259,16 +261,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = TRAIN_TEXTS) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold. Null and empty texts stay."""
-    rows = training_rows(docs, labels, limit)
+    rows = training_rows(bounded(docs), labels, limit)
     model = docs.sparkSession.sparkContext.broadcast(train([r.text or "" for r in rows], [r.toxic for r in rows]))
     at = docs.columns.index("text")
 
     def run(batches):
         m = model.value
-        for b in batches:
-            keep: list[bool] = []
-            for k in range(0, b.num_rows, 500):
-                keep += [s < threshold for s in m.score([t.as_py() or "" for t in b.column(at).slice(k, 500)])]
+        for b in slices(batches, at):
+            keep = [s < threshold for s in m.score([t.as_py() or "" for t in b.column(at)])]
             yield b.filter(pa.array(keep, pa.bool_()))
+        m.known.clear()
 
     return docs.mapInArrow(run, docs.schema)

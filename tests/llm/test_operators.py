@@ -79,34 +79,40 @@ def test_simhash_equals_all_pairs(spark, docs):
     assert simhash.near_duplicates(empty(spark, "doc_id long, text string")).count() == 0
 
 
-def test_ball_links_with_hot_buckets(monkeypatch, spark):
-    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
+@pytest.mark.parametrize("radius", [2, 3, 4, 5, 6])
+def test_ball_links_with_hot_buckets(monkeypatch, spark, radius):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4 if radius < 5 else 32)
     rng = random.Random(5)
     fps = {0}
     for _ in range(6):
         c = rng.getrandbits(64)
-        fps |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(25)}
+        fps |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 2))) for _ in range(25 if radius < 5 else 6)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = union_find([tuple(r) for r in simhash.ball_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()])
+    got = union_find([tuple(r) for r in simhash.ball_links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()])
     mask = (1 << 64) - 1
-    want = union_find([(a, b) for a in signed for b in signed if a < b and ((a & mask) ^ (b & mask)).bit_count() <= 4])
+    want = union_find([(a, b) for a in signed for b in signed if a < b and ((a & mask) ^ (b & mask)).bit_count() <= radius])
     assert {x: r for x, r in got.items()} == want
 
 
-def test_embeddings_equal_all_pairs(spark):
+@pytest.mark.parametrize(("kind", "block", "lengths"), [("float", 4096, 1000), ("double", 16, 1000), ("float", 16, 1)])
+def test_embeddings_equal_all_pairs(spark, monkeypatch, kind, block, lengths):
+    """One and several blocks, vectors of two lengths, exact copies, vectors that link with nothing, and doubles apart by less than a float tells."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
-    v = np.vstack([base, base[:15] + 0.25 * rng.normal(size=(15, 16)), base[:5], base[:1]]).astype(np.float32)
-    rows = [(k, x.tolist(), 0) for k, x in enumerate(v)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0)]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, component_id int")).collect()}
+    v = np.vstack([base, base[:15] + 0.25 * rng.normal(size=(15, 16)), base[:5], base[:1], base[:3] * (1 + 1e-12)]).astype("f4" if kind == "float" else "f8")
+    rows = [(k, x.tolist(), 0) for k, x in enumerate(v)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (904, [], 0), (905, [1.0, 2.0], 0), (906, [1.0, 2.1], 0)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, component_id int")).collect()}
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     close = u @ u.T >= 0.9
     root = union_find([(i, j) for i in range(len(v)) for j in range(i) if close[i, j]])
     for k in range(len(v)):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (close[k].sum() - 1, root.get(k, k), root.get(k, k) == k)
-    for k in (900, 901, 902, 903):
+    for k in (900, 901, 902, 903, 904):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
-    assert embedding_dedup.near_duplicates(empty(spark, "vec_id long, embedding array<float>")).count() == 0
+    assert (got[905].n_links, got[906].component_id, got[906].kept) == (1, 905, False) and len(got) == len(rows)
+    assert embedding_dedup.near_duplicates(empty(spark, f"vec_id long, embedding array<{kind}>")).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -134,16 +140,64 @@ def test_leaks(spark, docs):
 
 
 def test_wand_equals_exhaustive_scores(spark):
-    shard = next(decontaminate.shards(spark.read.parquet(f"{SF}/benchmark.parquet")))
     rng = random.Random(2)
-    for _ in range(60):
-        terms = sorted(rng.sample(range(len(shard.postings)), 40))
-        score: dict = {}
-        for t in terms:
-            for item, w in shard.postings[t]:
-                score[item] = score.get(item, 0) + w
-        for limit in (0.05, 0.15, 0.3):
-            assert [i for i, _ in shard.search(terms, limit)] == sorted(i for i, s in score.items() if s >= limit)
+    for shard in next(decontaminate.shards(spark.read.parquet(f"{SF}/benchmark.parquet"))):
+        for _ in range(60):
+            terms = sorted(rng.sample(range(len(shard.index)), 40))
+            score: dict = {}
+            for t in terms:
+                for item, w in shard.postings(t):
+                    score[item] = score.get(item, 0) + w
+            for limit in (0.05, 0.15, 0.3):
+                want = sorted(i for i, s in score.items() if s >= limit)
+                assert [i for i, _ in shard.search(terms, limit)] == want
+                assert bool(want) <= bool(len(shard.possible(np.array(terms), np.zeros(len(terms), np.int64), limit)))
+
+
+def plain_leaks(docs, items):
+    """Every passage of every document against every item, scored with BM25 straight from its formula."""
+    bags = {i: decontaminate.Counter(decontaminate.words(t)) for i, t in items}
+    df = decontaminate.Counter(w for b in bags.values() for w in b)
+    mean = sum(b.total() for b in bags.values()) / len(bags)
+    weight = {i: {w: np.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * b.total() / mean)) for w, n in b.items()} for i, b in bags.items()}
+    out = set()
+    for doc, text in docs:
+        own = decontaminate.words(text or "")
+        for i, t in items:
+            stride = 32
+            while stride < bags[i].total():
+                stride *= 2
+            for lo in range(-stride, len(own), stride):
+                near = own[max(0, lo) : lo + 2 * stride]
+                if sum(weight[i].get(w, 0) for w in set(near)) >= 0.6 * sum(weight[i].values()) - 1e-9:
+                    grams = {tuple(near[p : p + n]) for n in range(1, 6) for p in range(len(near) - n + 1)}
+                    q, a = decontaminate.part_overlaps(t, decontaminate.question_answer(t), near, grams, 0.5, 0.5)
+                    if q >= 0.5 and a >= 0.5:
+                        out.add((doc, i))
+    return out
+
+
+def test_leaks_equal_every_passage_against_every_item(spark, monkeypatch):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(k, text(rng.choice([6, 14, 30, 60])) + ". " + text(rng.choice([1, 3, 9])) + ".") for k in range(40)]
+    items += [(90, "भारत की राजधानी क्या है और वहाँ कौन सी नदी बहती है? राजधानी नई दिल्ली है, नदी यमुना है।"), (91, text(900)), (92, items[3][1])]
+    docs = [(k, text(rng.randrange(20, 500))) for k in range(30)]
+    for k in range(60):
+        own = decontaminate.words(rng.choice(items)[1])
+        own = [w for w in own if rng.random() > rng.choice([0, 0.05, 0.2])]
+        docs.append((100 + k, " ".join([text(rng.randrange(120)), *own, text(rng.randrange(200))])))
+    docs += [(200, "पहले " + items[40][1] + " बाद में " + text(40)), (201, ""), (202, None), (100, docs[30][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([*items, (5, None), (None, "x y z")], "item_id long, text string")
+    found = []
+    for postings in (500_000, 120):
+        monkeypatch.setattr(decontaminate, "SHARD_POSTINGS", postings)
+        found.append(sorted(tuple(r) for r in decontaminate.find_leaks(frame, bench).collect()))
+    assert found[0] == found[1]
+    assert {(r[0], r[1]) for r in found[0]} == plain_leaks(docs, items) and (200, 90) in {(r[0], r[1]) for r in found[0]}
+    again = [r for r in found[0] if r[0] == 100]
+    assert len(again) == 2 * len(set(again))
 
 
 def test_licenses(spark):
@@ -185,6 +239,49 @@ def test_html():
     assert html_text.main_text("") == ""
 
 
+def test_html_marks_only_noise():
+    get = html_text.main_text
+    para = ["This paragraph is a long text of the page, number %d." % k for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in para)
+    assert get(f'<article>{body}<article class="comment"><p>A reader says something long enough to count.</p></article></article>') == "\n".join(para)
+    assert get(f'<article class="post category-social tag-ads">{body}<div class="legal">Terms stay.</div><p class="notice-period">Four weeks.</p><div class="site-notice">Gone.</div></article>') == "\n".join([*para, "Terms stay.", "Four weeks."])
+    assert get(f'<div class="legal">Gone entirely, a legal line outside of the article that is long.</div><article>{body}</article>') == "\n".join(para)
+    long = "Outside of the marked article there is one more paragraph, and it is long enough to be taken for a text of its own."
+    assert get(f"<p>Skip</p><article>{body}</article><p>{long}</p><p>Top</p>") == "\n".join([*para, long])
+    # Without a marked article: adverts do not interrupt, a link of its own inside the text stays, menus of links go.
+    menu = "<ul>" + "".join(f"<li><a href=x>Entry {k}</a></li>" for k in range(5)) + "</ul>"
+    aside = '<div class="ad">Buy this now, it is a very good thing to have.</div>' * 4
+    assert get(f"<body>{menu}<p>{para[0]}</p>{aside}<p><a href=y>See also this</a></p><p>{para[1]}</p>{menu}") == "\n".join([para[0], "See also this", para[1]])
+    assert get(f"<body>{menu}<p>{para[0]}</p>{menu}<p>{para[1]}</p>{menu}") == "\n".join(para[:2])
+    assert get("<body><p>Short one.</p></body>") == "Short one." and get(f"<body>{menu}</body>") == ""
+    # The window decides: a gap of three lines of links ends a run of blocks of three lines, not one of six; short lines then surge no more.
+    gap = f"<p>{para[0]}</p>" + "<p><a href=x>link</a></p>" * 3 + "<p>Few.</p>"
+    assert get(gap, 3) == para[0] and get(gap, 6).endswith("link\nFew.")
+
+
+def test_html_extract(spark):
+    rng = random.Random(14)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(12, 60)))
+    noise = ["<nav><a href=a>Home</a> <a href=b>News</a></nav>", '<div class="ad-slot">{}</div>', "<!-- <p>{}</p> -->", "<script>var a = '<p>{}</p>';</script>", '<section id="comments"><p>{}</p><p>{}</p></section>', "<aside>{}</aside>", "<form><p>{}</p><input></form>", "<footer>&copy; {}</footer>", "<style>p {{ }}</style>", '<div style="display: none">{}</div>', '<div role="alert">{}</div>']
+    rows, want = [], {}
+    for k in range(80):
+        parts, blocks = [], []
+        for _ in range(rng.randrange(1, 12)):
+            if rng.random() < 0.5:
+                parts.append(rng.choice(noise).replace("{}", text()))
+            t = text()
+            blocks.append(t + " & more")
+            parts.append(f"<{x}>" + t.replace(" ", rng.choice([" ", "\n ", "  "]), 1) + f" &amp; more</{x}>" if (x := rng.choice(["p", "h2", "blockquote", "li", "pre"])) else "")
+        inner = "".join(parts)
+        rows.append((k, f"http://x/{k}", f"<html><head><title>{text()}</title></head><body>" + (f"<article>{inner}</article>" if k % 2 else inner) + "</body></html>", "clash"))
+        want[k] = "\n".join(blocks)
+    rows += [(None, None, None, "x"), (500, "u", "", None), (501, "u", "<p>" * 3000 + "deep", None), rows[0]]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and sum(r.page_id == 0 for r in got) == 2
+    assert all(r.text == want.get(r.page_id, "deep" if r.page_id == 501 else "") and r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(empty(spark, "page_id long, url string, html string")).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://www.Example.com/en/1", "https://a.example.com/en/2?x", "http://b.net/es/3#y", "http://x.com/de/4", "http://x.com", None, "no scheme", "http://net/fr/5"]
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
@@ -216,6 +313,50 @@ def test_fuzzy_passages_near_the_bound(spark):
     assert all(r.end_word - r.start_word >= 50 and r.similarity >= 0.8 for r in got)
 
 
+def test_fuzzy_passages_with_common_lines(spark):
+    """Against all pairs of texts: common lines in new orders, passages that many texts hold, repeats within a text, ties and odd rows."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    line = [some(rng.choice([18, 20, 30])) for _ in range(8)]
+    texts = [some(40) + line[k % 8] + some(40) for k in range(48)]  # each line is common
+    texts += [some(30) + line[0] + line[1] + line[2] + some(30), some(50) + line[0] + line[1] + line[2] + some(10)]
+    texts += [some(9) + line[5] + line[6] + line[7] + some(5) for _ in range(7)]
+    shared = some(70)
+    for _ in range(12):  # a passage that many hold, each with changes of its own
+        texts.append(some(30) + [word() if rng.random() < 0.08 else w for w in shared] + some(30))
+    twice = some(80)
+    texts += [some(20) + twice + some(30) + twice + some(10), some(5) + some(60) * 2, ["z", "y"] * 150, some(400)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    more = [(500, rows[0][1]), (None, rows[3][1]), (501, None), (502, ""), (503, rows[-1][1]), rows[7]]
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame([(*r, 1.0) for r in rows + more], "doc_id long, text string, similarity double").repartition(3)).collect()
+    spans: dict = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i <= j:
+                for x0, x1, y0, y1, _ in substring_dedup.passages_of(a, b, i == j, 50, 0.8):
+                    spans.setdefault(i, []).append((x0, x1))
+                    spans.setdefault(j, []).append((y0, y1))
+    copies = {0, 500, 3, 7, 503, rows[-1][0]}
+    assert {r.doc_id for r in got} - copies == set(spans) - copies and {48, 49, len(rows) - 4, len(rows) - 3} <= set(spans)
+    held: dict = {}
+    for r in got:
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    lost = [(i, s) for i, own in spans.items() for s in own if len(held[i] & set(range(*s))) < 0.9 * (s[1] - s[0])]
+    assert len(lost) <= 0.02 * sum(map(len, spans.values())), lost
+
+
+def test_half_a_passage_in_many_texts(spark):
+    """Two texts share 60 words; twenty others hold the first half, twenty the second."""
+    rng = random.Random(19)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    one, two = some(30), some(30)
+    rows = [(0, f"{some(20)} {one} {two} {some(20)}"), (1, f"{some(9)} {one} {two} {some(40)}")]
+    rows = [(10 + k, f"{some(20)} {one} {some(20)}") for k in range(20)] + [(40 + k, f"{some(20)} {two} {some(20)}") for k in range(20)] + [(k + 90, t) for k, t in rows]
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in got) == [(90, 20, 80, 91), (91, 9, 69, 90)]
+
+
 def test_license_wordings_on_one_line_and_wrapped():
     scanner = license_scan.Scanner()
     names = lambda t: {x[0] for x in scanner.scan(t)}
@@ -227,6 +368,44 @@ def test_license_wordings_on_one_line_and_wrapped():
     assert names("He released a bird under the bridge. The fee for the license of a boat is two coins.") == set()
 
 
+def test_licenses_that_differ_by_a_name():
+    scanner = license_scan.Scanner()
+    names = lambda t: {x[0] for x in scanner.scan(t)}
+    assert names("Pictures under CC BY-ND 4.0. Licensed under CC BY-ND 4.0.") == {"CC-BY-ND-4.0"}
+    assert names("Licensed under CC BY-NC-SA 4.0.") == {"CC-BY-NC-SA-4.0"} and names("Licensed under CC BY-NC-SA 3.0.") == set()
+    assert names("This work is not released under the MIT License.") == set()
+    assert names("Released under the Eiffel License.") == set()
+    gpl = license_scan.TEMPLATES["GPL-3.0"][1]
+    assert names(gpl) == {"GPL-3.0"} and names(gpl.replace("GNU General", "GNU Affero General")) == {"AGPL-3.0"}
+    assert names(gpl.replace("GNU General", "GNU Lesser General").replace("program", "library")) == {"LGPL-3.0"}
+    assert names(gpl.replace("version 3", "version 2")) == {"GPL-2.0"} and names(gpl.replace("program", "collection")) == {"GPL-3.0"}
+    two, three = license_scan.TEMPLATES["BSD-2-Clause"][1], license_scan.TEMPLATES["BSD-3-Clause"][1]
+    assert names(two) == {"BSD-2-Clause"} and names(three) == {"BSD-3-Clause"}
+    assert names("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: LGPL-2.1\n") == {"MIT", "LGPL-2.1"}
+
+
+def test_license_scan_finds_what_was_planted(spark):
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [(900, None), (901, ""), (902, some(60_000)), (903, "the license of taste " * 3000)], []
+    for k in range(120):
+        text = [some(rng.randrange(1, 200))]
+        for name in rng.sample(sorted(license_scan.TEMPLATES), rng.randrange(0, 3)):
+            own = rng.choice(license_scan.TEMPLATES[name]).split()
+            if len(own) > 25 and rng.random() < 0.5:  # one changed word that names nothing
+                at = rng.choice([i for i, w in enumerate(own) if w.islower() and not license_scan.NAME.match(w) and w.isalpha()])
+                own[at] = word()
+            text += [" ".join(own) if rng.random() < 0.5 else textwrap.fill(" ".join(own), 60, initial_indent="# ", subsequent_indent="# "), some(rng.randrange(60, 200))]
+            want.append((k, name))
+        rows.append((k, rng.choice([" ", "\n\n"]).join(text)))
+    rows.append(rows[-1])
+    want += [w for w in want if w[0] == 119]
+    got = license_scan.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == sorted(want)
+    assert license_scan.scan(empty(spark, "doc_id long, text string")).count() == 0
+
+
 def test_rows_with_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline
 
