@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from tallyloom.llm.common import materialize, table
+from tallyloom.llm.common import finished, materialize, release, table
 from tallyloom.llm.queries import vocabulary
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = finished(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, maybe_in, release, signed
+from .common import bounded, key_filter, materialize, maybe_in, release, signed, slices
 
 GRAM = 32
 #: Parts of one group that a task compares in memory; groups of more go through a shuffle of window digests.
-GROUP_PARTS = 1024
+GROUP_PARTS = 8192
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -83,24 +83,36 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: i
     return np.sort(c[keep])
 
 
-def _texts(batch):
-    """Runs of whole texts of a record batch as (first row, bytes, starts, ends), about 1 MB each or one text."""
-    col = batch.column(batch.num_columns - 1)
-    raw = [(t.as_py() or "").encode() for t in col]
-    at = 0
-    while at < len(raw):
-        size, to = 0, at
-        while to < len(raw) and (to == at or size + len(raw[to]) <= 1_000_000):
-            size += len(raw[to])
-            to += 1
-        ends = np.cumsum([len(x) for x in raw[at:to]])
-        yield at, b"".join(raw[at:to]), ends - [len(x) for x in raw[at:to]], ends
-        at = to
+#: Bytes that a task hashes at a time. A longer text is taken in parts that overlap by a window, so each window lies in one.
+STRETCH = 1_000_000
+
+
+def _raw(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column back to back, without a copy, and where each text begins and the last ends."""
+    c = column.cast(pa.large_binary())
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int64)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _anchors_of(data: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
+    if len(data) <= 2 * STRETCH:
+        return anchors(data, at[:-1], at[1:], threshold)
+    parts = []  # one long text, or one with short ones
+    for lo in range(0, len(data), STRETCH):
+        hi = min(len(data), lo + STRETCH + threshold)
+        inside = np.clip(at - lo, 0, hi - lo)
+        parts.append(lo + anchors(data[lo:hi], inside[:-1], inside[1:], threshold))
+    return np.unique(np.concatenate(parts))
+
+
+KEY = ["rk", "rk2"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row key from id and content: rows that share it are the same text, and have the same result."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """A row key of 96 bits from id and content: rows that share it are the same text, and have the same result."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id", "text").alias("rk"), (F.crc32(text) - (1 << 31)).cast("int").alias("rk2"), F.col("doc_id"), text.alias("text"))
 
 
 def _anchor_rows(threshold: int):
@@ -108,17 +120,18 @@ def _anchor_rows(threshold: int):
 
     def run(batches):
         d = xxhash.xxh3_64_intdigest
-        for b in batches:
-            rk = np.asarray(b.column(0))
-            for first, data, starts, ends in _texts(b):
-                pos = anchors(np.frombuffer(data, np.uint8), starts, ends, threshold)
-                if not len(pos):
-                    continue
-                row = np.searchsorted(ends, pos, "right")
-                lo, hi = np.maximum(starts[row], pos - reach), np.minimum(ends[row], pos + threshold)
-                gram = np.array([d(data[p : p + GRAM]) for p in pos.tolist()], np.uint64).view(np.int64)
-                around = np.array([d(data[x:y], p - x) for x, y, p in zip(lo.tolist(), hi.tolist(), pos.tolist(), strict=True)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(around), pa.array(rk[first + row]), pa.array((pos - starts[row]).astype(np.int32)), pa.array((pos - lo).astype(np.int16)), pa.array((hi - pos).astype(np.int16))], names=["gram", "around", "rk", "pos", "before", "after"])
+        for b in slices(batches, 2, STRETCH):
+            data, at = _raw(b.column(2))
+            pos = _anchors_of(data, at, threshold)
+            starts, ends, view = at[:-1], at[1:], memoryview(data)
+            for k in range(0, len(pos), 20_000):
+                p = pos[k : k + 20_000]
+                row = np.searchsorted(ends, p, "right")
+                lo, hi = np.maximum(starts[row], p - reach), np.minimum(ends[row], p + threshold)
+                gram = np.array([d(view[x : x + GRAM]) for x in p.tolist()], np.uint64).view(np.int64)
+                around = np.array([d(view[x:y], q - x) for x, y, q in zip(lo.tolist(), hi.tolist(), p.tolist(), strict=True)], np.uint64).view(np.int64)
+                keys = b.select([0, 1]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(around), *keys.columns, pa.array((p - starts[row]).astype(np.int32)), pa.array((p - lo).astype(np.int16)), pa.array((hi - p).astype(np.int16))], names=["gram", "around", *KEY, "pos", "before", "after"])
 
     return run
 
@@ -127,17 +140,13 @@ def _context_rows(threshold: int):
     reach = threshold - GRAM
 
     def run(batches):
-        for b in batches:
-            rows = {"gram": [], "around": [], "lead": [], "body": []}
+        for b in slices(batches, 1, STRETCH):
             for text, needs in zip(b.column(1), b.column(0), strict=True):
-                raw = (text.as_py() or "").encode()
-                for x in needs.as_py():
-                    p = x["pos"]
-                    rows["gram"].append(x["gram"])
-                    rows["around"].append(x["around"])
-                    rows["lead"].append(min(p, reach))
-                    rows["body"].append(raw[max(0, p - reach) : p + threshold])
-            yield pa.RecordBatch.from_arrays([pa.array(rows["gram"], pa.int64()), pa.array(rows["around"], pa.int64()), pa.array(rows["lead"], pa.int32()), pa.array(rows["body"], pa.binary())], names=list(rows))
+                raw, all_ = text.as_py().encode(), needs.as_py()
+                for k in range(0, len(all_), 4096):
+                    part = all_[k : k + 4096]
+                    body = [raw[max(0, x["pos"] - reach) : x["pos"] + threshold] for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["gram"] for x in part], pa.int64()), pa.array([x["around"] for x in part], pa.int64()), pa.array([min(x["pos"], reach) for x in part], pa.int32()), pa.array(body, pa.binary())], names=["gram", "around", "lead", "body"])
 
     return run
 
@@ -241,34 +250,38 @@ def _window_rows(threshold: int):
 
 
 def repeated_ranges(docs: DataFrame, threshold: int = 200) -> DataFrame:
-    """(rk, lo, hi): byte ranges of repeated windows, as rows of the keyed input, in any order and overlapping.
+    """(rk, rk2, lo, hi): byte ranges of repeated windows, as rows of the keyed input, in any order and overlapping.
 
     Written tables cut the lineage between the passes; those that are no longer read are deleted.
     """
     reach = threshold - GRAM
-    keyed = _keyed(docs)
-    rows = materialize(keyed.select("rk", "text").mapInArrow(_anchor_rows(threshold), "gram long, around long, rk long, pos int, before short, after short"))
+    keyed = _keyed(bounded(docs))
+    rows = materialize(keyed.select(*KEY, "text").mapInArrow(_anchor_rows(threshold), "gram long, around long, rk long, rk2 int, pos int, before short, after short"))
     # Pass 1: first digits that occur twice. Counts are summed on the map side, so hot strings cost no task its balance.
     often = materialize(rows.groupBy("gram").count().where("count > 1").select("gram"))
     alive = materialize(rows.join(often, "gram"))
     release(rows)
     release(often)
     # Pass 2.
-    part = alive.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos")).alias("at"), F.first("before").alias("before"), F.first("after").alias("after"))
+    part = alive.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "pos")).alias("at"), F.first("before").alias("before"), F.first("after").alias("after"))
     part = materialize(part)
     whole = part.where("n > 1").where(f"before + after >= {threshold}").select("gram", "around", F.least(F.col("before").cast("int"), F.lit(reach)).alias("omax"), F.greatest(F.lit(0), F.lit(threshold) - F.col("after")).cast("int").alias("omin"))
     # Last pass: one member of each part of the groups that fell apart.
     split = part.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram")
-    need = materialize(part.join(split, "gram").where(f"before + after >= {threshold}").select("at.rk", F.struct("gram", "around", "at.pos").alias("need")).groupBy("rk").agg(F.collect_list("need").alias("needs")))
-    texts = maybe_in(keyed.select("rk", "text"), "rk", key_filter(need, "rk")).groupBy("rk").agg(F.first("text").alias("text"))
-    context = need.join(texts, "rk").select("needs", "text").mapInArrow(_context_rows(threshold), "gram long, around long, lead int, body binary")
+    need = materialize(part.join(split, "gram").where(f"before + after >= {threshold}").select("at.rk", "at.rk2", F.struct("gram", "around", "at.pos").alias("need")).groupBy(*KEY).agg(F.collect_list("need").alias("needs")))
+    texts = maybe_in(keyed.select(*KEY, "text"), "rk", key_filter(need, "rk")).dropDuplicates(KEY)
+    context = need.join(texts, KEY).select("needs", "text").mapInArrow(_context_rows(threshold), "gram long, around long, lead int, body binary")
     met = materialize(context.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_groups(threshold), "gram long, around long, omax int, omin int, lead int, body binary"))
-    windows = met.where("omin is null").select("gram", "around", "lead", "body").mapInArrow(_window_rows(threshold), "gram long, around long, o int, win long")
+    release(need)
+    windows = materialize(met.where("omin is null").select("gram", "around", "lead", "body").mapInArrow(_window_rows(threshold), "gram long, around long, o int, win long"))
     twice = windows.groupBy("gram", "win").count().where("count > 1").select("gram", "win")
     large = windows.join(twice, ["gram", "win"]).groupBy("gram", "around").agg(F.max("o").alias("omax"), F.min("o").alias("omin"))
     shared = met.where("omin is not null").select("gram", "around", "omax", "omin").unionByName(large)
-    best = whole.unionByName(shared).groupBy("gram", "around").agg(F.max("omax").alias("omax"), F.min("omin").alias("omin"))
-    return alive.join(best, ["gram", "around"]).select("rk", (F.col("pos") - F.col("omax")).alias("lo"), (F.col("pos") + threshold - F.col("omin")).alias("hi"))
+    # Written, so that the join below is of two plain exchanges, which Spark can split where one part holds many rows.
+    best = materialize(whole.unionByName(shared).groupBy("gram", "around").agg(F.max("omax").alias("omax"), F.min("omin").alias("omin")))
+    for t in (part, met, windows):
+        release(t)
+    return alive.join(best, ["gram", "around"]).select(*KEY, (F.col("pos") - F.col("omax")).alias("lo"), (F.col("pos") + threshold - F.col("omin")).alias("hi"))
 
 
 def _cut(raw: bytes, ranges) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -287,10 +300,9 @@ def _cut(raw: bytes, ranges) -> tuple[bytes, int, list[tuple[int, int]]]:
     return out, len(raw) - len(out), spans
 
 
-def _with_ranges(docs: DataFrame, threshold: int) -> DataFrame:
-    """Keyed rows with their list of ranges (one text's, so bounded by its length)."""
-    found = materialize(repeated_ranges(docs, threshold).groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    return _keyed(docs).join(found, "rk", "left")
+def _ranges(docs: DataFrame, threshold: int) -> DataFrame:
+    """Row keys with their list of ranges (one text's, so bounded by its length)."""
+    return materialize(repeated_ranges(docs, threshold).groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
@@ -302,12 +314,12 @@ def remove_repeats(docs: DataFrame, threshold: int = 200) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
-            done = [((raw := (t.as_py() or "").encode()), _cut(raw, r.as_py())) for t, r in zip(b.column(1), b.column(2), strict=True)]
+        for b in slices(batches, 1):
+            done = [((raw := t.as_py().encode()), _cut(raw, r.as_py())) for t, r in zip(b.column(1), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r, _ in done], pa.int64()), pa.array([n for _, (_, n, _) in done], pa.int64()), pa.array([len(s) for _, (_, _, s) in done], pa.int64()), pa.array([k for _, (k, _, _) in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_ranges(docs, threshold).select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _keyed(docs).join(_ranges(docs, threshold), KEY, "left").select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute(texts: list[bytes], threshold: int) -> list[tuple[int, int, str]]:
@@ -324,15 +336,15 @@ def brute(texts: list[bytes], threshold: int) -> list[tuple[int, int, str]]:
 def rewrite_texts(docs: DataFrame, threshold: int = 200) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes cut from text (and from n_chars, where there is one).
 
-    A cut inside a character drops that character's other bytes too. Null texts stay null, no row is dropped.
+    A cut inside a character drops that character's other bytes too. Null texts stay null, no row is dropped,
+    repeated rows are cut alike, and columns of any name are carried (the row travels as one struct).
     """
-    found = materialize(repeated_ranges(docs, threshold).groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     names = docs.columns
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             cols = list(b.columns[: len(names)])
             texts = [t.as_py() if not (r := ranges.as_py()) else _cut(t.as_py().encode(), r)[0].decode(errors="ignore") for t, ranges in zip(cols[at], b.column(len(names)), strict=True)]
             cols[at] = pa.array(texts, cols[at].type)
@@ -340,5 +352,5 @@ def rewrite_texts(docs: DataFrame, threshold: int = 200) -> DataFrame:
                 cols[count] = pa.array([n.as_py() if t is None else len(t) for t, n in zip(texts, cols[count], strict=True)], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    src = docs.withColumn("__rk", F.xxhash64("doc_id", "text")).join(found.withColumnsRenamed({"rk": "__rk", "ranges": "__ranges"}), "__rk", "left")
-    return src.select(*names, "__ranges").mapInArrow(run, docs.schema)
+    src = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.xxhash64("doc_id", "text").alias("rk"), (F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31)).cast("int").alias("rk2"))
+    return src.join(_ranges(docs, threshold), KEY, "left").select(*[F.col(f"row.`{n}`") for n in names], F.col("ranges").alias("__ranges")).mapInArrow(run, docs.schema)
