@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tomllib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import strip_bracket
@@ -27,15 +29,14 @@ FALLBACK = "claude-opus-4-8"
 RATES = ("r_input", "r_5m", "r_1h", "r_read", "r_output")
 
 
-def price_table(spark: SparkSession, overrides: dict[str, tuple] | None = None) -> DataFrame:
-    rows = [(k, True, *v) for k, v in (overrides or {}).items()] + [(k, False, *v) for k, *v in PRICES]
-    return spark.createDataFrame(rows, "price_key string, override boolean, " + ", ".join(f"{r} long" for r in RATES))
+#: The day on which the prices were taken, and the days after which they count as stale.
+PRICED_ON, STALE_DAYS = "2026-03-21", 90
 
 
-def resolve(models: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
-    """(model, price_key, source, rates) of each distinct model: exact or longest prefix, overrides first, else the fallback.
+def price_of(model: Column, overrides: dict[str, tuple] | None = None) -> Column:
+    """struct<price_key, source, rates> of a model: exact or longest prefix, overrides first, else the fallback.
 
-    The table has a dozen rows, so it is a literal of the plan: one map over the models, whatever their number.
+    The table has a dozen rows, so it is a literal of the plan: a column expression, no join.
     """
     table = [(k, True, v) for k, v in sorted((overrides or {}).items(), key=lambda x: -len(x[0]))] + [(p[0], False, p[1:]) for p in sorted(PRICES, key=lambda p: -len(p[0]))]
     fields = "struct<price_key:string,source:string," + ",".join(f"{r}:bigint" for r in RATES) + ">"
@@ -43,24 +44,31 @@ def resolve(models: DataFrame, overrides: dict[str, tuple] | None = None) -> Dat
     def row(key: str, source: str, rates) -> Column:
         return F.struct(F.lit(key), F.lit(source), *map(F.lit, rates)).cast(fields)
 
-    name = strip_bracket(F.col("model"))
-    found = F.lit(None).cast(fields)
+    name = strip_bracket(model)
+    own = next(p[1:] for p in PRICES if p[0] == FALLBACK)
+    choices = []
     for group in (True, False):
         for kind in ("exact", "prefix"):
             for key, override, rates in table:
                 if override == group:
-                    test = name == key if kind == "exact" else F.startswith(name, F.lit(key))
-                    found = F.coalesce(found, F.when(test, row(key, ("override " if override else "") + kind, rates)))
-    own = next(p[1:] for p in PRICES if p[0] == FALLBACK)
-    return models.select("model").distinct().withColumn("p", F.coalesce(found, row(FALLBACK, "fallback", own))).select("model", "p.*")
+                    choices.append((name == key if kind == "exact" else F.startswith(name, F.lit(key)), row(key, ("override " if override else "") + kind, rates)))
+    found = F.when(*choices[0])
+    for test, value in choices[1:]:
+        found = found.when(test, value)
+    return found.otherwise(row(FALLBACK, "fallback", own))
+
+
+def resolve(models: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
+    """(model, price_key, source, rates) of each distinct model."""
+    return models.select("model").distinct().withColumn("p", price_of(F.col("model"), overrides)).select("model", "p.*")
 
 
 def priced(turns: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
-    """Turns with the cost of each category and their sum in nano-dollars.
+    """Turns with their price and the cost of each category and their sum in nano-dollars.
 
     With a split by time to live only the split counts; without one all cache creation is at the 5 minute rate.
     """
-    t = turns.join(resolve(turns, overrides), "model")
+    t = turns.withColumn("p", price_of(F.col("model"), overrides)).select(*turns.columns, "p.*")
     split = F.col("has_ttl")
     t = t.withColumns({
         "cost_input": F.col("input_tokens") * F.col("r_input"),
@@ -70,3 +78,17 @@ def priced(turns: DataFrame, overrides: dict[str, tuple] | None = None) -> DataF
         "cost_output": F.col("output_tokens") * F.col("r_output"),
     })
     return t.withColumn("cost", F.col("cost_input") + F.col("cost_5m") + F.col("cost_1h") + F.col("cost_read") + F.col("cost_output"))
+
+
+def price_age(today: Column) -> tuple[Column, Column]:
+    """Days since the prices were taken, and whether they are stale."""
+    days = F.datediff(today, F.lit(PRICED_ON).cast("date"))
+    return days, days > STALE_DAYS
+
+
+def load_config(text: str) -> tuple[list[dict], dict[str, tuple]]:
+    """Subscriptions, and price overrides for priced(), of a TOML configuration: dollars for a million tokens become nano-dollars a token."""
+    found = tomllib.loads(text)
+    rates = ("base_input", "cache_write_5m", "cache_write_1h", "cache_read", "output")
+    own = {model: tuple(round(float(v[r]) * 1000) for r in rates) for model, v in found.get("pricing_override", {}).items()}
+    return list(found.get("subscription", [])), own

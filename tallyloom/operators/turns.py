@@ -31,9 +31,3 @@ def without_repeats_of_main(turns: DataFrame) -> DataFrame:
     """Agent turns whose request is also in the session's main file go; those without an id stay."""
     main = turns.where(~F.col("is_agent")).select("session_id", "request_id").distinct().withColumn("is_agent", F.lit(True))
     return turns.join(main, ["session_id", "request_id", "is_agent"], "left_anti").select(*turns.columns)
-
-
-DEDUP_SQL = """ranked as (select *, row_number() over w as rn, min(line_pos) over (partition by session_id, file_id, coalesce(request_id, chr(1) || line_pos)) as first_pos from raw
-    window w as (partition by session_id, file_id, coalesce(request_id, chr(1) || line_pos) order by line_pos desc)),
-  once as (select * exclude (rn, first_pos, line_pos), first_pos as line_pos from ranked where rn = 1),
-  kept as (select o.* from once o where not (o.is_agent and exists (select 1 from once m where not m.is_agent and m.session_id = o.session_id and m.request_id = o.request_id)))"""

@@ -1,67 +1,42 @@
-"""Queries by name over turn rows, and the SQL that says the same over the same tables.
-
-A report is one SQL text over {turns}, which Spark reads as the DataFrame that the operators build, and
-the check reads as the same rows built by SQL alone.
-"""
+"""Queries by name over turn rows and conversations. Their SQL, in oracles.py, is written apart from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.pricing import FALLBACK, PRICES, priced, resolve
+from ..functions.pricing import priced, resolve
 from ..functions.scalars import project_display_name, short_model, strip_bracket
-from ..operators.turns import DEDUP_SQL, last_of_request, without_repeats_of_main
-from ..sources.adapters import RAW_SQL, calendar, raw_turns_from_events
-from .reports import CONVERSATION_REPORTS, REPORTS
-
-
-def for_reports(kept: DataFrame) -> DataFrame:
-    """Turns with their prices, calendar columns and display names."""
-    return calendar(priced(kept)).withColumns({"display": project_display_name(F.col("project")), "bare_model": strip_bracket(F.col("model")), "short": short_model(F.col("model"))})
-
+from ..operators.graph import chain_lengths
+from ..operators.turns import last_of_request, skip_reason, without_repeats_of_main
+from ..sources.adapters import calendar, raw_turns_from_events
+from .oracles import NOW, SQL, TODAY
+from .reports import REPORTS, Facts
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated, deduplicated and priced turns with their calendar columns."""
-    return for_reports(without_repeats_of_main(last_of_request(raw_turns_from_events(spark, sf_dir))))
 
+def for_reports(kept: DataFrame, timezone: str | None = None) -> DataFrame:
+    """Turns with their prices, calendar columns (of a time zone, else the session's) and display names."""
+    return calendar(priced(kept), timezone).withColumns({"display": project_display_name(F.col("project")), "bare_model": strip_bracket(F.col("model")), "short": short_model(F.col("model"))})
 
-def tree_report(name: str, kept: DataFrame) -> DataFrame:
-    """A report over the turns of a transcript tree; the tool reports count every use within a turn."""
-    t = for_reports(kept)
-    if name in ("overview_tools", "session_top_tools"):
-        t = t.withColumn("tool", F.explode("tool_names"))
-    return kept.sparkSession.sql(REPORTS[name], turns=t)
 
+def validated(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("skip_reason", skip_reason(NOW)).where("skip_reason is null").drop("skip_reason", "is_sidechain")
 
-_VALUES = ", ".join(f"('{k}', {a}, {b}, {c}, {d}, {e})" for k, a, b, c, d, e in PRICES)
-BASE_SQL = f"""with {RAW_SQL}, {DEDUP_SQL},
-  prices(price_key, r_input, r_5m, r_1h, r_read, r_output) as (values {_VALUES}),
-  models as (select distinct model, case when contains(model, '[') and ends_with(model, ']') then split_part(model, '[', 1) else model end as bare_model from raw),
-  hits as (select m.model, m.bare_model, p.*, row_number() over (partition by m.model order by length(p.price_key) desc) as rn from models m join prices p on starts_with(m.bare_model, p.price_key)),
-  resolved as (select m.model, m.bare_model, coalesce(h.price_key, '{FALLBACK}') as price_key, case when h.price_key = m.bare_model then 'exact' when h.price_key is not null then 'prefix' else 'fallback' end as source,
-      p.r_input, p.r_5m, p.r_1h, p.r_read, p.r_output
-    from models m left join (select * from hits where rn = 1) h using (model) join prices p on p.price_key = coalesce(h.price_key, '{FALLBACK}')),
-  costed as (select k.*, r.* exclude (model), input_tokens * r_input as cost_input, case when has_ttl then cw_5m else cache_creation end * r_5m as cost_5m, case when has_ttl then cw_1h else 0 end * r_1h as cost_1h, cache_read * r_read as cost_read, output_tokens * r_output as cost_output
-    from kept k join resolved r using (model)),
-  turns as (select *, cost_input + cost_5m + cost_1h + cost_read + cost_output as cost, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, date_diff('day', date '2000-01-01', ts::date) as day_no, hour(ts) as hour, isodow(ts) - 1 as dow,
-      input_tokens + cache_creation + cache_read as context, '~' || replace(regexp_extract(project, '^-Users-[^-]*(-.*)$', 1), '-', '/') as display,
-      case when strlen(replace(model, 'claude-', '')) > 9 then regexp_replace(replace(model, 'claude-', ''), '-[0-9]{{8}}$', '') else replace(model, 'claude-', '') end as short from costed)
-"""
 
+def facts(raw: DataFrame, today: str = TODAY) -> Facts:
+    """Validated, deduplicated and priced turns, and all sessions that the records name."""
+    turns = for_reports(without_repeats_of_main(last_of_request(validated(raw))))
+    return Facts(turns, raw.groupBy("session_id").agg(F.min("project").alias("project")), today)
 
-def _report(sql: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, turns=turns(spark, sf_dir))
 
-    return query
+def tree_report(name: str, kept: DataFrame, sessions: DataFrame | None = None, today: str = TODAY, timezone: str | None = None) -> DataFrame:
+    """A report over the turns, and if given the sessions, of a transcript tree."""
+    own = kept.groupBy("session_id").agg(F.min("project").alias("project")) if sessions is None else sessions.select("session_id", "project")
+    return REPORTS[name](Facts(for_reports(kept, timezone), own, today))
 
 
-def _conversation_report(sql: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-
-    return query
+def _report(f):
+    return lambda spark, sf_dir: f(facts(raw_turns_from_events(spark, sf_dir)))
 
 
 def price_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,17 +46,76 @@ def price_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, records once a request, and turns left after the cross-file dedup, for each project."""
     raw = raw_turns_from_events(spark, sf_dir)
-    once = last_of_request(raw)
+    once = last_of_request(validated(raw))
     kept = without_repeats_of_main(once)
     tagged = [d.select("project", F.lit(k).alias("stage")) for k, d in enumerate((raw, once, kept))]
-    out = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("project").agg(*(F.count_if(F.col("stage") == k).alias(n) for k, n in enumerate(("records", "requests", "turns"))))
-    return out
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("project").agg(*(F.count_if(F.col("stage") == k).alias(n) for k, n in enumerate(("records", "requests", "turns"))))
+
+
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_turns_from_events(spark, sf_dir).groupBy(F.coalesce(skip_reason(NOW), F.lit("turn")).alias("reason")).agg(F.count("*").alias("records"))
+
+
+def shared_request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a session's main file and one of its agents both hold."""
+    once = last_of_request(validated(raw_turns_from_events(spark, sf_dir))).where("request_id <> ''")
+    main, agent = (once.where(c).select("session_id", "request_id") for c in ("not is_agent", "is_agent"))
+    return main.intersect(agent)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def last_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.last(F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(before)
+    return conversations(spark, sf_dir).withColumn("t", text).select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.col("t")).alias("user_text"))
+
+
+def autonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = conversations(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("entries"), F.count_if(F.col("role") == "assistant").alias("turns"), F.count_if(F.col("role") == "user").alias("prompts"))
+    return c.withColumn("autonomy", F.when(F.col("prompts") == 0, F.lit(0.0)).otherwise(F.col("turns") / F.col("prompts")))
+
+
+def entry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = conversations(spark, sf_dir).groupBy(F.col("role").alias("entry_type")).agg(F.count("*").alias("entries"))
+    return c.withColumn("percent", F.col("entries") * 1e2 / F.sum("entries").over(Window.partitionBy()))  # a row for each type
+
+
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, uuid, parent, ts) of the reply graph: each turn answers the one before."""
+    c = conversations(spark, sf_dir).select("conv_id", "turn").distinct()
+    return c.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("string").alias("uuid"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"), F.col("turn").alias("ts"), "conv_id")
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = conversation_nodes(spark, sf_dir)
+    known = n.select("session", F.col("uuid").alias("parent"), F.lit(True).alias("known"))
+    j = n.join(known, ["session", "parent"], "left")
+    return j.groupBy("conv_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("parent").isNull()).alias("roots"), F.count_if(F.col("parent").isNotNull() & F.col("known").isNull()).alias("orphans"))
+
+
+def longest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_lengths(conversation_nodes(spark, sf_dir)).groupBy(F.col("session").cast("long").alias("conv_id")).agg(F.max("length").alias("longest"))
+
+
+def response_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    c = conversations(spark, sf_dir).withColumn("grp", F.count_if(F.col("role") != "assistant").over(upto))
+    return c.where("role = 'assistant'").groupBy("conv_id", "grp").agg(F.count("*").alias("entries"), F.min("turn").alias("first_turn"))
 
 
-QUERIES = {name: _report(sql) for name, sql in REPORTS.items()} | {name: _conversation_report(sql) for name, sql in CONVERSATION_REPORTS.items()}
-QUERIES |= {"price_resolution": price_resolution, "dedup_counts": dedup_counts}
-ORACLE_SQL = {name: BASE_SQL + sql.format(turns="turns") for name, sql in REPORTS.items()} | {name: sql.format(conversations="conversations") for name, sql in CONVERSATION_REPORTS.items()}
-ORACLE_SQL |= {
-    "price_resolution": BASE_SQL + "select model, price_key, source, r_input, r_5m, r_1h, r_read, r_output from resolved",
-    "dedup_counts": BASE_SQL + "select r.project, r.n as records, o.n as requests, coalesce(k.n, 0) as turns from (select project, count(*) n from raw group by 1) r join (select project, count(*) n from once group by 1) o using (project) left join (select project, count(*) n from kept group by 1) k using (project)",
+QUERIES = {name: _report(f) for name, f in REPORTS.items()} | {
+    "j01_price_resolution": price_resolution,
+    "j03_dedup_counts": dedup_counts,
+    "f01_skip_reasons": skip_reasons,
+    "u03_shared_request_ids": shared_request_ids,
+    "j13_last_user_text": last_user_text,
+    "a34_autonomy": autonomy,
+    "a47_entry_types": entry_types,
+    "a45_graph_stats": graph_stats,
+    "g01_longest_chain": longest_chain,
+    "g03_response_groups": response_groups,
 }
+ORACLE_SQL = dict(SQL)

@@ -1,68 +1,653 @@
-"""The reports, as SQL over turn rows. Money stays in whole nano-dollars until the last projection."""
-
-TOKENS = "cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cache_creation) as bigint) as cache_creation, cast(sum(cache_read) as bigint) as cache_read"
-COST = "cast(sum(cost) as bigint) / 1e9 as cost_usd"
-HIT = "case when sum(context) = 0 then 0e0 else cast(sum(cache_read) as bigint) * 1e2 / cast(sum(context) as bigint) end"
-ORDER = "order by ts, file_id, line_pos"
-#: Turns with what their session's order says: number, context of the turn before.
-ORDERED = f"(select *, row_number() over (partition by session_id {ORDER}) as turn_number, lag(context) over (partition by session_id {ORDER}) as before from {{turns}})"
-SESSIONS = f"(select session_id, min(project) as project, min(display) as display, min(ts) as first_ts, max(ts) as last_ts, min(day) as day, min(month) as month, min(day_no) as day_no, count(*) as turns, sum(case when is_agent then 1 else 0 end) as agent_turns, sum(output_tokens) as output_tokens, sum(context) as context, max(context) as max_context, sum(cost) as cost, sum(case when before > 0 and context * 10 < before * 9 then 1 else 0 end) as compactions from {ORDERED} group by session_id)"
-DAYS = "(select day, month, day_no, count(*) as turns, cast(sum(cost) as bigint) as cost, cast(sum(output_tokens) as bigint) as output_tokens from {turns} group by day, month, day_no)"
-#: Runs of active days: days in a row share day_no minus their rank.
-RUNS = f"(select day_no - rn as grp, count(*) as length, max(day_no) as last_no from (select day_no, row_number() over (order by day_no) as rn from {DAYS} d) r group by day_no - rn)"
-
-REPORTS = {
-    "overview_by_model": f"select model, count(*) as turns, {TOKENS}, {COST} from {{turns}} group by model",
-    "overview_totals": f"select count(distinct session_id) as sessions, count(*) as turns, cast(sum(case when is_agent then 1 else 0 end) as bigint) as agent_turns, {TOKENS}, cast(sum(context) as bigint) as context, {COST}, {HIT} as cache_hit_rate, cast(sum(cost) as bigint) / 1e9 / count(*) as cost_per_turn, cast(sum(output_tokens) as bigint) * 1e2 / cast(sum(context) + sum(output_tokens) as bigint) as output_ratio, cast(floor(cast(sum(context) + sum(output_tokens) as bigint) / count(*)) as bigint) as tokens_per_turn from {{turns}}",
-    "overview_cost_by_category": "select cast(sum(cost_input) as bigint) / 1e9 as cost_input, cast(sum(cost_5m) as bigint) / 1e9 as cost_5m, cast(sum(cost_1h) as bigint) / 1e9 as cost_1h, cast(sum(cost_read) as bigint) / 1e9 as cost_read, cast(sum(cost_output) as bigint) / 1e9 as cost_output from {turns}",
-    "overview_hours": "select cast(hour as int) as hour, count(*) as turns from {turns} group by hour",
-    "overview_weekday_hours": "select cast(dow as int) as dow, cast(hour as int) as hour, count(*) as turns from {turns} group by dow, hour",
-    "overview_tools": "select tool, count(*) as uses from {turns} where tool is not null group by tool",
-    "overview_cache_savings": "select model, cast(sum(cache_read * (r_input - r_read)) as bigint) / 1e9 as saved_usd, cast(sum(cache_read * r_input) as bigint) / 1e9 as without_usd, cast(sum(cost_read) as bigint) / 1e9 as with_usd from {turns} group by model having cast(sum(cache_read * (r_input - r_read)) as bigint) > 10000000",
-    "overview_pricing_warnings": f"select bare_model as requested, min(price_key) as used, count(*) as turns, {COST} from {{turns}} where source = 'fallback' group by bare_model",
-    "sessions": f"select session_id, substr(session_id, 1, 8) as id8, display, cast(turns as bigint) as turns, cast(agent_turns as bigint) as agent_turns, cast(output_tokens as bigint) as output_tokens, cast(context as bigint) as context, cast(max_context as bigint) as max_context, cast(compactions as bigint) as compactions, cast(cost as bigint) / 1e9 as cost_usd from {SESSIONS} s",
-    "session_primary_model": "select session_id, model, turns from (select session_id, model, turns, row_number() over (partition by session_id order by turns desc, model) as rn from (select session_id, model, count(*) as turns from {turns} group by session_id, model) c) r where rn = 1",
-    "session_top_tools": "select session_id, tool, uses, rn as place from (select session_id, tool, uses, row_number() over (partition by session_id order by uses desc, tool) as rn from (select session_id, tool, count(*) as uses from {turns} where tool is not null group by session_id, tool) c) r where rn <= 5",
-    "session_cache_ttl_share": "select session_id, case when sum(cw_5m + cw_1h) = 0 then 0e0 else cast(sum(cw_5m) as bigint) * 1e2 / cast(sum(cw_5m + cw_1h) as bigint) end as share_5m from {turns} where has_ttl group by session_id",
-    "turn_detail": f"select session_id, cast(turn_number as bigint) as turn_number, model, context, cast(coalesce(context - before, 0) as bigint) as context_delta, coalesce(before > 0 and context * 10 < before * 9, false) as is_compaction, case when context = 0 then 0e0 else cache_read * 1e2 / context end as cache_hit_rate, stop_reason, is_agent, cost / 1e9 as cost_usd from {ORDERED} t",
-    "compactions": f"select session_id, count(*) as compactions, cast(max(before - context) as bigint) as largest_drop from {ORDERED} t where before > 0 and context * 10 < before * 9 group by session_id",
-    "session_stop_reasons": "select session_id, stop_reason, count(*) as turns from {turns} group by session_id, stop_reason",
-    "session_branches": "select session_id, git_branch, count(*) as turns from {turns} where git_branch <> '' group by session_id, git_branch",
-    "subagents": f"select session_id, file_id, count(*) as turns, cast(sum(output_tokens) as bigint) as output_tokens, {COST} from {{turns}} where is_agent group by session_id, file_id",
-    "agent_share": "select session_id, count(*) as turns, cast(sum(case when is_agent then 1 else 0 end) as bigint) as agent_turns, cast(sum(case when is_agent then 1 else 0 end) as bigint) * 1e0 / count(*) as agent_ratio from {turns} group by session_id",
-    "plugin_usage": f"select session_id, plugin, count(*) as turns, cast(sum(output_tokens) as bigint) as output_tokens, {COST} from {{turns}} where not is_agent and plugin <> '' group by session_id, plugin",
-    "projects": f"select project, min(display) as display, count(distinct session_id) as sessions, count(*) as turns, cast(sum(case when is_agent then 1 else 0 end) as bigint) as agent_turns, {TOKENS}, {COST} from {{turns}} group by project",
-    "project_primary_model": "select project, model, turns from (select project, model, turns, row_number() over (partition by project order by turns desc, model) as rn from (select project, model, count(*) as turns from {turns} group by project, model) c) r where rn = 1",
-    "top_projects_by_cost": f"select display, {COST} from {{turns}} group by display order by sum(cost) desc, display limit 5",
-    "trend_daily": f"select t.day as label, t.turns, coalesce(s.sessions, 0) as sessions, t.output_tokens, t.cost / 1e9 as cost_usd, t.cost / 1e9 / t.turns as cost_per_turn from {DAYS} t left join (select day, count(*) as sessions from {SESSIONS} x group by day) s on t.day = s.day",
-    "trend_monthly": f"select t.label, t.turns, coalesce(s.sessions, 0) as sessions, t.output_tokens, t.cost_usd from (select month as label, count(*) as turns, cast(sum(output_tokens) as bigint) as output_tokens, {COST} from {{turns}} group by month) t left join (select month, count(*) as sessions from {SESSIONS} x group by month) s on t.label = s.month",
-    "trend_top_model": "select day, model, output_tokens from (select day, model, output_tokens, row_number() over (partition by day order by output_tokens desc, model) as rn from (select day, model, cast(sum(output_tokens) as bigint) as output_tokens from {turns} group by day, model) c) r where rn = 1",
-    "trend_top3_models": "select day, model, output_tokens, cast(rn as bigint) as place from (select day, model, output_tokens, row_number() over (partition by day order by output_tokens desc, model) as rn from (select day, model, cast(sum(output_tokens) as bigint) as output_tokens from {turns} group by day, model) c) r where rn <= 3",
-    "trend_costs_rounded": f"select month, round(cast(sum(cost) as bigint) / 1e9, 2) as cost_usd, cast(sum(turns) as bigint) as turns from {DAYS} d group by month",
-    "trend_extreme_days": f"select day, cost / 1e9 as cost_usd from (select day, cost, row_number() over (order by cost, day) as rn, count(*) over () as n from {DAYS} d) r where n >= 3 and cost > 0 and cost >= (select max(cost) from (select cost, row_number() over (order by cost, day) as rn, count(*) over () as n from {DAYS} d) q where rn = cast(floor(n * 0.9) as bigint) + 1)",
-    "trend_current_month": f"select count(*) as active_days, cast(sum(turns) as bigint) as turns, cast(sum(cost) as bigint) / 1e9 as cost_usd from {DAYS} d where month = (select max(month) from {DAYS} x)",
-    "heatmap_days": f"select d.day, d.turns, coalesce(s.sessions, 0) as sessions, d.cost / 1e9 as cost_usd from {DAYS} d left join (select day, count(*) as sessions from {SESSIONS} x group by day) s on d.day = s.day",
-    "heatmap_thresholds": f"select cast(max(case when rn = cast(floor(n * 0.25) as bigint) + 1 then turns end) as bigint) as p25, cast(max(case when rn = cast(floor(n * 0.5) as bigint) + 1 then turns end) as bigint) as p50, cast(max(case when rn = cast(floor(n * 0.75) as bigint) + 1 then turns end) as bigint) as p75 from (select turns, row_number() over (order by turns, day) as rn, count(*) over () as n from {DAYS} d) r",
-    "heatmap_streaks": f"select cast(max(length) as bigint) as longest, cast(max(case when last_no = (select max(day_no) from {DAYS} d) then length else 0 end) as bigint) as current from {RUNS} r",
-    "heatmap_busiest": f"select day, turns from {DAYS} d order by turns desc, day desc limit 1",
-    "heatmap_grid": f"select day, cast(day_no + 5 - 7 * cast(floor((day_no + 5) / 7e0) as bigint) as int) as weekday, cast(cast(floor((day_no + 5) / 7e0) as bigint) - (select min(cast(floor((day_no + 5) / 7e0) as bigint)) from {DAYS} m) as int) as week from {DAYS} d",
-    "wrapped_volume": f"select count(*) as sessions, cast(sum(turns) as bigint) as turns, cast(sum(agent_turns) as bigint) as agent_turns, count(distinct display) as projects, count(distinct day) as start_days, cast(sum(cost) as bigint) / 1e9 as cost_usd, cast(sum(compactions) as bigint) as compactions from {SESSIONS} s",
-    "wrapped_peak_hour": "select cast(hour as int) as hour, turns from (select hour, count(*) as turns from {turns} group by hour) h order by turns desc, hour desc limit 1",
-    "wrapped_peak_weekday": "select cast(dow as int) as dow, turns from (select dow, count(*) as turns from {turns} group by dow) h order by turns desc, dow desc limit 1",
-    "wrapped_most_expensive_session": f"select session_id, cast(cost as bigint) / 1e9 as cost_usd from {SESSIONS} s order by cost desc, session_id limit 1",
-    "wrapped_night_share": "select cast(sum(case when hour >= 22 or hour < 6 then 1 else 0 end) as bigint) * 1e0 / count(*) as night_ratio, cast(sum(case when is_agent then 1 else 0 end) as bigint) * 1e0 / count(*) as agent_ratio from {turns}",
-    "wrapped_archetype": f"select case when agent > 0.5 then 'Delegator' when night > 0.5 then 'NightOwl' when minutes > 120 then 'Marathoner' when agent > 0.4 then 'Architect' when minutes < 20 and per_session > 10 then 'Sprinter' when projects > 10 then 'Explorer' else 'Architect' end as archetype from (select cast(sum(case when is_agent then 1 else 0 end) as bigint) * 1e0 / count(*) as agent, cast(sum(case when hour >= 22 or hour < 6 then 1 else 0 end) as bigint) * 1e0 / count(*) as night, count(*) * 1e0 / count(distinct session_id) as per_session, count(distinct display) as projects, 45.0 as minutes from {{turns}}) t",
-    "latest_session": f"select session_id, cast(turns as bigint) as turns from {SESSIONS} s order by last_ts desc, session_id limit 1",
-    "validation_checks": f"select r.session_id, r.output_tokens = s.output_tokens as output_ok, r.turns = s.turns as turns_ok, s.cost > 0 as cost_ok, s.project is not null as project_ok from (select session_id, count(*) as turns, sum(output_tokens) as output_tokens from {{turns}} group by session_id) r join {SESSIONS} s on r.session_id = s.session_id",
-    "session_size_distribution": f"select count(*) as n, cast(sum(turns) as bigint) as total, cast(min(turns) as bigint) as low, cast(max(turns) as bigint) as high, cast(max(case when rn = cast(floor(n0 / 2) as bigint) + 1 then turns end) as bigint) as median, cast(max(case when rn = cast(floor(n0 * 90 / 100) as bigint) + 1 then turns end) as bigint) as p90, cast(max(case when rn = cast(floor(n0 * 99 / 100) as bigint) + 1 then turns end) as bigint) as p99 from (select turns, row_number() over (order by turns, session_id) as rn, count(*) over () as n0 from {SESSIONS} s) r",
-    "model_names": "select distinct model, bare_model, short from {turns}",
-    "model_families": "select short as model, count(*) as turns from {turns} group by short",
-}
-
-CONVERSATION_REPORTS = {
-    "last_user_text": "select conv_id, turn, role, (case when role = 'assistant' then last_user end) as user_text from (select conv_id, turn, role, max(case when role = 'user' and text <> '' then turn end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as last_turn from {conversations}) c left join (select conv_id as u_conv, turn as u_turn, max(text) as last_user from {conversations} where role = 'user' and text <> '' group by conv_id, turn) u on u_conv = conv_id and u_turn = last_turn",
-    "autonomy": "select conv_id, count(*) as entries, cast(sum(case when role = 'assistant' then 1 else 0 end) as bigint) as turns, cast(sum(case when role = 'user' then 1 else 0 end) as bigint) as prompts, case when sum(case when role = 'user' then 1 else 0 end) = 0 then 0e0 else cast(sum(case when role = 'assistant' then 1 else 0 end) as bigint) * 1e0 / cast(sum(case when role = 'user' then 1 else 0 end) as bigint) end as autonomy from {conversations} group by conv_id",
-    "entry_types": "select role as entry_type, count(*) as entries, count(*) * 1e2 / sum(count(*)) over () as percent from {conversations} group by role",
-    "graph_stats": "select n.conv_id, count(*) as nodes, cast(sum(case when n.turn = 0 then 1 else 0 end) as bigint) as roots, cast(sum(case when n.turn > 0 and p.turn is null then 1 else 0 end) as bigint) as orphans from (select distinct conv_id, turn from {conversations}) n left join (select distinct conv_id, turn from {conversations}) p on p.conv_id = n.conv_id and p.turn = n.turn - 1 group by n.conv_id",
-    "response_groups": "select conv_id, cast(grp as bigint) as grp, count(*) as entries, min(turn) as first_turn from (select conv_id, turn, role, sum(case when role = 'assistant' then 0 else 1 end) over (partition by conv_id order by turn rows between unbounded preceding and current row) as grp from {conversations}) c where role = 'assistant' group by conv_id, grp",
-}
+"""The reports, as DataFrames over turns and sessions. Money stays in whole nano-dollars until the last projection.
+
+Keys name the operator of the inventory that a report is. Windows without a partition key run only over one row a
+calendar day, or over a histogram; everything else is grouped with map-side sums.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.pricing import RATES, price_age
+from ..functions.scalars import archetype, archetype_text, compact_number, escape_html, format_cost, format_duration, format_number, heat_glyph, project_display_name, short_model, truncate_bytes
+
+ORDER = ("ts", "file_id", "line_pos")
+NIGHT = "hour >= 22 or hour < 6"
+
+
+@dataclass
+class Facts:
+    """turns: priced, with calendar columns; all_sessions: (session_id, project) of every session, without turns too; today: a date literal."""
+
+    turns: DataFrame
+    all_sessions: DataFrame
+    today: str
+
+    @property
+    def ordered(self) -> DataFrame:
+        """Turns with what their session's order says: number, context of the turn before, whether context was compacted."""
+        w = Window.partitionBy("session_id").orderBy(*ORDER)
+        t = self.turns.withColumn("turn_number", F.row_number().over(w).cast("long")).withColumn("before", F.lag("context").over(w))
+        return t.withColumn("is_compaction", F.coalesce((F.col("before") > 0) & (F.col("context") * 10 < F.col("before") * 9), F.lit(False)))
+
+    @property
+    def sessions(self) -> DataFrame:
+        """One row a session, with zeros and no times where it has no turns."""
+        flag = lambda c: F.count_if(c)
+        per = self.ordered.groupBy("session_id").agg(
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("turns"), flag(F.col("is_agent")).alias("agent_turns"),
+            *(F.sum(c).alias(c) for c in ("output_tokens", "context", "cache_read", "cost")), F.sum(F.when(F.col("has_ttl"), F.col("cw_5m"))).alias("cw_5m"), F.sum(F.when(F.col("has_ttl"), F.col("cw_1h"))).alias("cw_1h"),
+            F.max("context").alias("max_context"), flag(F.col("is_compaction")).alias("compactions"), flag(F.col("stop_reason") == "tool_use").alias("tool_use_stops"), flag(F.col("stop_reason") == "max_tokens").alias("truncated"),
+        )
+        s = self.all_sessions.join(per, "session_id", "left").fillna(0, [c for c in per.columns if c not in ("session_id", "first_ts", "last_ts")])
+        return s.withColumns({
+            "display": F.coalesce(project_display_name(F.col("project")), F.lit("(unknown)")),
+            "minutes": F.coalesce(F.expr("(unix_micros(last_ts) - unix_micros(first_ts)) div 1000000 / 60D"), F.lit(0.0)),
+            "start_day": F.date_format("first_ts", "yyyy-MM-dd"),
+        })
+
+    @property
+    def days(self) -> DataFrame:
+        """One row an active day."""
+        return self.turns.groupBy("day").agg(F.count("*").alias("turns"), F.sum("output_tokens").alias("output_tokens"), F.sum("context").alias("context"), F.sum("cost").alias("cost"))
+
+    @property
+    def starts(self) -> DataFrame:
+        return self.sessions.where("start_day is not null").groupBy(F.col("start_day").alias("day")).agg(F.count("*").alias("sessions"))
+
+    def calendar_days(self, days: int = 0) -> DataFrame:
+        """One row for every day up to today: all since the first session (days 0) or the last `days`; days without turns are 0."""
+        first = self.sessions.agg(F.coalesce(F.min("start_day"), F.lit(self.today)).alias("d")) if days == 0 else self.turns.sparkSession.range(1).select(F.date_format(F.date_sub(F.lit(self.today).cast("date"), days - 1), "yyyy-MM-dd").alias("d"))
+        grid = first.select(F.explode(F.expr(f"case when d <= '{self.today}' then sequence(cast(d as date), date '{self.today}') else array() end")).alias("date")).select(F.date_format("date", "yyyy-MM-dd").alias("day"))
+        return grid.join(self.days, "day", "left").join(self.starts, "day", "left").fillna(0, ["turns", "cost", "output_tokens", "context", "sessions"])
+
+
+REPORTS: dict[str, Callable[[Facts], DataFrame]] = {}
+
+
+def report(name: str):
+    def add(f):
+        REPORTS[name] = f
+        return f
+
+    return add
+
+
+def usd(c: Column | str) -> Column:
+    return F.col(c) / 1e9 if isinstance(c, str) else c / 1e9
+
+
+def share(part: Column, whole: Column, of: float = 1e2) -> Column:
+    """part / whole, times 100 or what `of` says; 0 where the whole is 0."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(part * F.lit(of) / whole)
+
+
+def tokens() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation", "cache_read")]
+
+
+def money() -> Column:
+    return usd(F.sum("cost")).alias("cost_usd")
+
+
+def first_of(df: DataFrame, keys: list[str], *order: Column | str, rows: int = 1, rank: str | None = None) -> DataFrame:
+    """The first rows of each group, with their rank if it is named."""
+    out = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= rows)
+    return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
+
+
+# Overview
+
+
+@report("a03_overview_by_model")
+def overview_by_model(f: Facts) -> DataFrame:
+    return f.turns.groupBy("model").agg(F.count("*").alias("turns"), *tokens(), money())
+
+
+@report("a04_overview_totals")
+def overview_totals(f: Facts) -> DataFrame:
+    t = f.turns.agg(F.count("*").alias("turns"), F.count_if("is_agent").alias("agent_turns"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("output_tokens", "context", "cost")))
+    return f.all_sessions.agg(F.count("*").alias("sessions")).crossJoin(t).select("sessions", "turns", "agent_turns", "output_tokens", "context", usd("cost").alias("cost_usd"))  # one row each
+
+
+@report("a05_cost_by_category")
+def cost_by_category(f: Facts) -> DataFrame:
+    return f.turns.agg(*(usd(F.sum(c)).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")))
+
+
+@report("a06_hours")
+def hours(f: Facts) -> DataFrame:
+    grid = f.turns.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    return grid.join(f.turns.groupBy("hour").agg(F.count("*").alias("turns")), "hour", "left").fillna(0, ["turns"])
+
+
+@report("a07_weekday_hours")
+def weekday_hours(f: Facts) -> DataFrame:
+    grid = f.turns.sparkSession.range(168).select((F.col("id") % 7).cast("int").alias("dow"), F.expr("cast(id div 7 as int)").alias("hour"))
+    return grid.join(f.turns.groupBy("dow", "hour").agg(F.count("*").alias("turns")), ["dow", "hour"], "left").fillna(0, ["turns"])
+
+
+def tool_uses(f: Facts, *by: str) -> DataFrame:
+    """Every use counts, several in one turn too."""
+    return f.turns.select(*by, F.explode("tool_names").alias("tool")).groupBy(*by, "tool").agg(F.count("*").alias("uses"))
+
+
+@report("a08_tools")
+def tools(f: Facts) -> DataFrame:
+    return tool_uses(f)
+
+
+@report("a09_cache_hit_rate")
+def cache_hit_rate(f: Facts) -> DataFrame:
+    return f.turns.agg(share(F.coalesce(F.sum("cache_read"), F.lit(0)), F.coalesce(F.sum("context"), F.lit(0))).alias("cache_hit_rate"))
+
+
+def savings(f: Facts) -> DataFrame:
+    return f.turns.groupBy("model").agg(F.sum(F.col("cache_read") * F.col("r_input")).alias("without"), F.sum("cost_read").alias("with"))
+
+
+@report("a10_cache_savings")
+def cache_savings(f: Facts) -> DataFrame:
+    return savings(f).select("model", (F.col("without") - F.col("with")).alias("saved")).where("saved > 10000000").select("model", usd("saved").alias("saved_usd"))
+
+
+@report("a10_cache_savings_total")
+def cache_savings_total(f: Facts) -> DataFrame:
+    s = savings(f).agg(F.coalesce(F.sum("without"), F.lit(0)).alias("w"), F.coalesce(F.sum("with"), F.lit(0)).alias("a"))
+    return s.select(usd(F.col("w") - F.col("a")).alias("saved_usd"), usd("w").alias("without_usd"), usd("a").alias("with_usd"), share(F.col("w") - F.col("a"), F.col("w")).alias("saved_percent"))
+
+
+@report("a11_subscription_value")
+def subscription_value(f: Facts, monthly_usd: float = 200.0) -> DataFrame:
+    cost = f.turns.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"))
+    return cost.select(F.lit(monthly_usd).alias("monthly_usd"), usd("cost").alias("api_usd"), (usd("cost") / monthly_usd).alias("multiplier"))
+
+
+@report("a12_efficiency")
+def efficiency(f: Facts) -> DataFrame:
+    t = f.turns.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("output_tokens", "context", "cost")), F.count("*").alias("n"))
+    return t.select(share(F.col("output_tokens"), F.col("context")).alias("output_ratio"), share(usd("cost"), F.col("n"), 1.0).alias("cost_per_turn"), F.coalesce(F.expr("try_divide(output_tokens - output_tokens % nullif(n, 0), n)"), F.lit(0)).cast("long").alias("tokens_per_turn"))
+
+
+@report("a13_pricing_warnings")
+def pricing_warnings(f: Facts) -> DataFrame:
+    return f.turns.where("source = 'fallback'").groupBy(F.col("bare_model").alias("requested")).agg(F.min("price_key").alias("used"), F.count("*").alias("turns"), money())
+
+
+@report("a14_session_summaries")
+def session_summaries(f: Facts) -> DataFrame:
+    top = first_of(tool_uses(f, "session_id"), ["session_id"], F.desc("uses"), "tool", rows=5, rank="place")
+    top = top.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "tool", "uses"))), lambda x: F.concat(x["tool"], F.lit(":"), x["uses"])), ",").alias("top_tools"))
+    return f.sessions.join(session_primary_model(f).select("session_id", "model"), "session_id", "left").join(top, "session_id", "left").select(
+        "session_id", F.substring("session_id", 1, 8).alias("id8"), "display", "minutes", F.coalesce("model", F.lit("")).alias("model"), "turns", "agent_turns", "output_tokens", "context", "max_context",
+        share(F.col("cache_read"), F.col("context")).alias("cache_hit_rate"), share(F.col("cw_5m"), F.col("cw_5m") + F.col("cw_1h")).alias("share_5m"), "compactions", usd("cost").alias("cost_usd"), "tool_use_stops",
+        F.coalesce("top_tools", F.lit("")).alias("top_tools"), share(F.col("output_tokens"), F.col("context")).alias("output_ratio"), share(usd("cost"), F.col("turns"), 1.0).alias("cost_per_turn"),
+    )
+
+
+def primary_model(f: Facts, key: str) -> DataFrame:
+    counts = f.turns.groupBy(key, "model").agg(F.count("*").alias("turns"))
+    return first_of(counts, [key], F.desc("turns"), "model").select(key, "model", "turns")
+
+
+@report("a16_session_primary_model")
+def session_primary_model(f: Facts) -> DataFrame:
+    return primary_model(f, "session_id")
+
+
+@report("a16_project_primary_model")
+def project_primary_model(f: Facts) -> DataFrame:
+    return primary_model(f, "project")
+
+
+@report("t02_session_top_tools")
+def session_top_tools(f: Facts) -> DataFrame:
+    return first_of(tool_uses(f, "session_id"), ["session_id"], F.desc("uses"), "tool", rows=5, rank="place")
+
+
+@report("a44_overview_insights")
+def overview_insights(f: Facts) -> DataFrame:
+    """Daily average over whole days between first and last turn (1 at least), compactions, peak context, mean minutes of sessions that last."""
+    s = f.sessions.agg(F.sum("cost").alias("cost"), F.min("first_ts").alias("a"), F.max("last_ts").alias("b"), F.sum("compactions").alias("compactions"), F.count_if(F.col("compactions") > 0).alias("compacted_sessions"), F.max("max_context").alias("peak_context"), F.sum(F.expr("case when minutes > 0 then (unix_micros(last_ts) - unix_micros(first_ts)) div 1000000 end")).alias("secs"), F.count_if(F.col("minutes") > 0).alias("lasting"))
+    days = F.greatest(F.lit(1), F.expr("(unix_micros(b) - unix_micros(a)) div 86400000000"))
+    return s.select(days.cast("long").alias("days"), (usd("cost") / days).alias("daily_usd"), "compactions", "compacted_sessions", "peak_context", share(F.coalesce("secs", F.lit(0)) / 60.0, F.col("lasting"), 1.0).alias("mean_minutes"))
+
+
+@report("a44_top_sessions")
+def top_sessions(f: Facts) -> DataFrame:
+    s = f.sessions.orderBy(F.desc("cost"), "session_id").limit(3)
+    return s.select(F.substring("session_id", 1, 8).alias("id8"), truncate_bytes(F.col("display"), 25).alias("project"), "turns", format_duration(F.col("minutes")).alias("duration"), format_cost(F.col("cost")).alias("cost"))
+
+
+# Projects
+
+
+@report("a15_projects")
+def projects(f: Facts, top_n: int = 0, project: str | None = None) -> DataFrame:
+    """Every session counts for its project, without turns too. top_n 0: all; project: only names that hold it (the raw name, case counts)."""
+    own = f.sessions.withColumn("project", F.coalesce("project", F.lit("(unknown)")))
+    t = f.turns.groupBy("session_id").agg(*tokens())
+    s = own.drop("output_tokens", "cache_read").join(t, "session_id", "left").fillna(0, ["input_tokens", "output_tokens", "cache_creation", "cache_read"])
+    if project is not None:
+        s = s.where(F.contains("project", F.lit(project)))
+    out = s.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.sum("agent_turns").alias("agent_turns"), *tokens(), F.sum("cost").alias("cost"))
+    out = out.join(project_primary_model(f).select("project", "model"), "project", "left")
+    out = out.select("project", project_display_name(F.col("project")).alias("display"), "sessions", "turns", "agent_turns", "input_tokens", "output_tokens", "cache_creation", "cache_read", usd("cost").alias("cost_usd"), F.coalesce("model", F.lit("")).alias("primary_model"))
+    return out.orderBy(F.desc("cost_usd"), "project").limit(top_n) if top_n else out
+
+
+@report("t01_top_projects")
+def top_projects(f: Facts) -> DataFrame:
+    return projects(f, top_n=5)
+
+
+@report("f06_projects_by_name")
+def projects_by_name(f: Facts) -> DataFrame:
+    return projects(f, project="proj1")
+
+
+@report("p19_project_sessions")
+def project_sessions(f: Facts) -> DataFrame:
+    """Sessions with turns by display name, each with its project's cache rate and its place by cost (J12)."""
+    s = f.sessions.where("turns > 0")
+    rate = s.groupBy("display").agg(share(F.sum("cache_read"), F.sum("context")).alias("project_cache_rate"))
+    placed = s.withColumn("place", F.row_number().over(Window.partitionBy("display").orderBy(F.desc("cost"), "session_id")).cast("long"))
+    return placed.join(rate, "display").select("display", "session_id", "turns", usd("cost").alias("cost_usd"), "place", "project_cache_rate")
+
+
+# Sessions
+
+
+@report("f07_sessions_by_prefix")
+def sessions_by_prefix(f: Facts, prefix: str = "s0001-") -> DataFrame:
+    return f.sessions.where(F.startswith("session_id", F.lit(prefix))).select("session_id", "turns")
+
+
+def one_session(f: Facts, prefix: str) -> str:
+    """The id that a prefix names; none or several are errors."""
+    found = [r.session_id for r in sessions_by_prefix(f, prefix).limit(2).collect()]
+    if len(found) != 1:
+        raise LookupError(f"{'no' if not found else 'more than one'} session begins with {prefix!r}")
+    return found[0]
+
+
+@report("f12_session_search")
+def session_search(f: Facts, text: str = "PROJ3", family: str = "opus") -> DataFrame:
+    """Sessions whose id or project holds the text in any case and whose main model is of the family."""
+    s = f.sessions.join(session_primary_model(f).select("session_id", "model"), "session_id")
+    low = F.lit(text.lower())
+    own = F.contains(F.lower("session_id"), low) | F.contains(F.lower("display"), low)
+    return s.where(own & (F.split(short_model(F.col("model")), "-")[0] == family)).select("session_id", "display", "model")
+
+
+@report("w06_turn_detail")
+def turn_detail(f: Facts) -> DataFrame:
+    own = F.when(F.col("has_ttl"), F.coalesce("cw_5m", F.lit(0))).otherwise(0), F.when(F.col("has_ttl"), F.coalesce("cw_1h", F.lit(0))).otherwise(0)
+    return f.ordered.select(
+        "session_id", "turn_number", "ts", "model", "input_tokens", "output_tokens", own[0].cast("long").alias("cache_write_5m"), own[1].cast("long").alias("cache_write_1h"), "cache_read", "context", share(F.col("cache_read"), F.col("context")).alias("cache_hit_rate"),
+        usd("cost").alias("cost_usd"), *(usd(c).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")), "stop_reason", "is_agent", "is_compaction", F.coalesce(F.col("context") - F.col("before"), F.lit(0)).alias("context_delta"), F.array_join("tool_names", ",").alias("tools"),
+    )
+
+
+@report("w01_compactions")
+def compactions(f: Facts) -> DataFrame:
+    return f.ordered.where("is_compaction").groupBy("session_id").agg(F.count("*").alias("compactions"), F.max(F.col("before") - F.col("context")).alias("largest_drop"))
+
+
+@report("a30_subagents")
+def subagents(f: Facts) -> DataFrame:
+    return f.turns.where("is_agent").groupBy("session_id", "file_id").agg(F.count("*").alias("turns"), F.sum("output_tokens").alias("output_tokens"), money())
+
+
+@report("a32_agent_summary")
+def agent_summary(f: Facts) -> DataFrame:
+    return f.turns.where("is_agent and entry_agent_id <> ''").groupBy("session_id", F.col("entry_agent_id").alias("agent_id")).agg(F.count("*").alias("turns"), F.sum("output_tokens").alias("output_tokens"), money())
+
+
+@report("a33_session_histograms")
+def session_histograms(f: Facts) -> DataFrame:
+    """(session_id, kind, value, turns): stop reasons, and service tiers, speeds, regions and branches that are not empty."""
+    kinds = {"stop_reason": "stop_reason", "tier": "service_tier", "speed": "speed", "geo": "inference_geo", "branch": "git_branch"}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds.items())))
+    return f.turns.select("session_id", pairs.alias("x")).select("session_id", "x.*").where("value is not null and (value <> '' or kind = 'stop_reason')").groupBy("session_id", "kind", "value").agg(F.count("*").alias("turns"))
+
+
+@report("a34_session_totals")
+def session_totals(f: Facts) -> DataFrame:
+    writes = F.col("cw_5m") + F.col("cw_1h")
+    return f.sessions.select("session_id", "minutes", "max_context", "compactions", share(F.col("cw_5m"), writes).alias("share_5m"), share(F.col("cw_1h"), writes).alias("share_1h"), "truncated", usd("cost").alias("cost_usd"))
+
+
+@report("a51_turn_counters")
+def turn_counters(f: Facts) -> DataFrame:
+    return f.sessions.select("session_id", "turns", "agent_turns", (F.col("turns") - F.col("agent_turns")).alias("main_turns"))
+
+
+def usage_by(f: Facts, name: str) -> DataFrame:
+    return f.turns.where(~F.col("is_agent") & (F.col(name) != "")).groupBy("session_id", name).agg(F.count("*").alias("turns"), F.sum("output_tokens").alias("output_tokens"), money())
+
+
+@report("a27_plugin_usage")
+def plugin_usage(f: Facts) -> DataFrame:
+    return usage_by(f, "plugin")
+
+
+@report("a28_skill_usage")
+def skill_usage(f: Facts) -> DataFrame:
+    return usage_by(f, "skill")
+
+
+@report("t05_latest_session")
+def latest_session(f: Facts) -> DataFrame:
+    return f.sessions.where("last_ts is not null").orderBy(F.desc("last_ts"), "session_id").limit(1).select("session_id", "turns")
+
+
+@report("t06_session_order")
+def session_order(f: Facts) -> DataFrame:
+    """Sessions by the first turn of their main file, latest first, those without one last; a session's neighbours are what a list shows."""
+    main = f.turns.where("not is_agent").groupBy("session_id").agg(F.min("ts").alias("main_ts"))
+    return f.all_sessions.join(main, "session_id", "left").select("session_id", "main_ts").orderBy(F.desc_nulls_last("main_ts"), "session_id").limit(20)
+
+
+def histogram_places(counts: DataFrame, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: for each name the value at a place (from 0) of the sorted rows, from how often each value stands: the window runs over distinct values."""
+    w = Window.orderBy(value)
+    h = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    at = lambda place: F.min(F.when(F.col("upto") > place(F.col("all")), F.col(value)))
+    return h.agg(*(at(p).alias(name) for name, p in places.items()))
+
+
+@report("a46_session_sizes")
+def session_sizes(f: Facts) -> DataFrame:
+    """Distribution of turns a session: places n/2, n*90/100 and n*99/100 of the sorted counts, as whole numbers."""
+    counts = f.sessions.groupBy("turns").agg(F.count("*").alias("n"))
+    places = {"low": lambda n: F.lit(0), "median": lambda n: F.floor(n / 2), "p90": lambda n: F.floor(n * 90 / 100), "p99": lambda n: F.floor(n * 99 / 100), "high": lambda n: n - 1}
+    total = counts.agg(F.sum("n").alias("sessions"), F.sum(F.col("n") * F.col("turns")).alias("total"))
+    return histogram_places(counts, "turns", places).crossJoin(total).withColumn("mean", share(F.col("total"), F.col("sessions"), 1.0))  # one row each
+
+
+@report("p08_session_kpis")
+def session_kpis(f: Facts) -> DataFrame:
+    s = f.sessions.agg(F.count("*").alias("sessions"), F.sum("cost").alias("cost"), F.sum(F.expr("coalesce((unix_micros(last_ts) - unix_micros(first_ts)) div 1000000, 0)")).alias("secs"))
+    return s.select("sessions", usd("cost").alias("cost_usd"), share(usd("cost"), F.col("sessions"), 1.0).alias("cost_per_session"), share(F.col("secs") / 60.0, F.col("sessions"), 1.0).alias("mean_minutes"))
+
+
+@report("p17_session_bubbles")
+def session_bubbles(f: Facts) -> DataFrame:
+    s = f.sessions.where("turns > 0")
+    top = s.agg(F.greatest(F.lit(1), F.max("output_tokens")).alias("top"))
+    return s.crossJoin(top).select("session_id", "turns", usd("cost").alias("cost_usd"), (3 + 20.0 * F.col("output_tokens") / F.col("top")).alias("radius"), share(usd("cost"), F.col("turns"), 1.0).alias("cost_per_turn"))  # top is one row
+
+
+@report("p18_context_series")
+def context_series(f: Facts) -> DataFrame:
+    return f.ordered.select("session_id", "turn_number", "context", share(F.col("cache_read"), F.col("context")).alias("cache_hit_rate"))
+
+
+@report("p06_overview_kpis")
+def overview_kpis(f: Facts) -> DataFrame:
+    s = f.sessions.agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.sum("agent_turns").alias("agent"), F.sum("cost").alias("cost"), F.count_distinct("start_day").alias("start_days"), F.max("max_context").alias("peak_context"), F.sum(F.expr("coalesce((unix_micros(last_ts) - unix_micros(first_ts)) div 1000000, 0)")).alias("secs"))
+    return s.select(share(F.col("agent"), F.col("turns")).alias("agent_percent"), (usd("cost") / F.greatest(F.lit(1), F.col("start_days"))).alias("daily_usd"), "peak_context", share(F.col("secs") / 60.0, F.col("sessions"), 1.0).alias("mean_minutes"))
+
+
+@report("p12_date_range")
+def date_range(f: Facts) -> DataFrame:
+    return f.sessions.agg(F.min("start_day").alias("first_day"), F.max("start_day").alias("last_day"))
+
+
+# Trend
+
+
+def trend(f: Facts, days: int = 0, monthly: bool = False) -> DataFrame:
+    """Turns by their day and sessions by their first turn's; days: only from today - days on (days + 1 dates), 0: from 2000 on. Labels without turns vanish."""
+    since = F.lit("2000-01-01") if days == 0 else F.date_format(F.date_sub(F.lit(f.today).cast("date"), days), "yyyy-MM-dd")
+    label = (lambda c: F.substring(c, 1, 7)) if monthly else F.col
+    t = f.turns.where(F.col("day") >= since).groupBy(label("day").alias("label")).agg(F.min("day").alias("date"), F.count("*").alias("turns"), *tokens(), *(usd(F.sum(c)).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")), F.sum("cost").alias("cost"))
+    s = f.sessions.where(F.col("start_day") >= since).groupBy(label("start_day").alias("label")).agg(F.count("*").alias("sessions"))
+    return t.join(s, "label", "left").fillna(0, ["sessions"]).withColumn("cost_usd", usd("cost")).withColumn("cost_per_turn", usd("cost") / F.col("turns")).drop("cost")
+
+
+@report("a17_trend_daily")
+def trend_daily(f: Facts) -> DataFrame:
+    return trend(f)
+
+
+@report("a17_trend_monthly")
+def trend_monthly(f: Facts) -> DataFrame:
+    return trend(f, monthly=True)
+
+
+@report("f09_trend_last_week")
+def trend_last_week(f: Facts) -> DataFrame:
+    return trend(f, days=7)
+
+
+def model_days(f: Facts, rows: int) -> DataFrame:
+    return first_of(f.turns.groupBy("day", "model").agg(F.sum("output_tokens").alias("output_tokens")), ["day"], F.desc("output_tokens"), "model", rows=rows, rank="place")
+
+
+@report("a18_trend_top_model")
+def trend_top_model(f: Facts) -> DataFrame:
+    return model_days(f, 1).drop("place")
+
+
+@report("p11_top3_models")
+def top3_models(f: Facts) -> DataFrame:
+    return model_days(f, 3)
+
+
+@report("p01_months_rounded")
+def months_rounded(f: Facts) -> DataFrame:
+    d = trend(f).groupBy(F.substring("label", 1, 7).alias("label")).agg(F.sum("sessions").alias("sessions"), F.sum("turns").alias("turns"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.round(F.col("cost_usd") * 1e9).cast("long")).alias("cost"))
+    return d.select("label", "sessions", "turns", "output_tokens", F.round(usd("cost"), 2).alias("cost_usd"), F.round(share(usd("cost"), F.col("turns"), 1.0), 4).alias("cost_per_turn"))
+
+
+@report("p02_extreme_days")
+def extreme_days(f: Facts) -> DataFrame:
+    counts = f.days.groupBy("cost").agg(F.count("*").alias("n"))
+    limit = histogram_places(counts, "cost", {"limit": lambda n: F.floor(n * 9 / 10)}).crossJoin(counts.agg(F.sum("n").alias("all")))
+    return f.days.crossJoin(limit).where("all >= 3 and cost > 0 and cost >= limit").select("day", usd("cost").alias("cost_usd"))  # limit is one row
+
+
+@report("p03_trend_kpis")
+def trend_kpis(f: Facts) -> DataFrame:
+    d = f.days.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.count("*").alias("periods"))
+    return d.select(usd("cost").alias("cost_usd"), "turns", share(usd("cost"), F.col("periods"), 1.0).alias("mean_usd"), share(usd("cost"), F.col("turns"), 1.0).alias("cost_per_turn"))
+
+
+@report("p09_current_month")
+def current_month(f: Facts) -> DataFrame:
+    months = f.days.groupBy(F.substring("day", 1, 7).alias("month")).agg(F.count("*").alias("active_days"), F.sum("turns").alias("turns"), F.sum("output_tokens").alias("output_tokens"), money())
+    return months.orderBy(F.desc("month")).limit(1)
+
+
+@report("p10_monthly_table")
+def monthly_table(f: Facts) -> DataFrame:
+    return trend(f, monthly=True).select("label", "sessions", "turns", "output_tokens", "cost_usd", "cost_per_turn")
+
+
+# Heatmap
+
+
+@report("a19_heatmap_days")
+def heatmap_days(f: Facts) -> DataFrame:
+    return f.calendar_days().select("day", "turns", "sessions", usd("cost").alias("cost_usd"))
+
+
+@report("f10_heatmap_window")
+def heatmap_window(f: Facts) -> DataFrame:
+    return f.calendar_days(14).select("day", "turns", "sessions", usd("cost").alias("cost_usd"))
+
+
+def thresholds(days: DataFrame) -> DataFrame:
+    """p25, p50, p75 of the turns of active days: place floor(n p), 1 at least and never falling; (1, 2, 3) without any."""
+    counts = days.where("turns > 0").groupBy("turns").agg(F.count("*").alias("n"))
+    p = histogram_places(counts, "turns", {"p25": lambda n: F.floor(n * 0.25), "p50": lambda n: F.floor(n * 0.5), "p75": lambda n: F.floor(n * 0.75)})
+    p = p.select(F.coalesce(F.greatest("p25", F.lit(1)), F.lit(1)).alias("p25"), F.coalesce("p50", F.lit(2)).alias("p50"), F.coalesce("p75", F.lit(3)).alias("p75"))
+    return p.select("p25", F.greatest("p25", "p50").alias("p50"), F.greatest("p25", "p50", "p75").alias("p75"))
+
+
+@report("h01_heatmap_thresholds")
+def heatmap_thresholds(f: Facts) -> DataFrame:
+    return thresholds(f.calendar_days())
+
+
+def streaks(active: DataFrame) -> DataFrame:
+    """(length, last): runs of days in a row of distinct days (day: yyyy-MM-dd)."""
+    n = F.datediff(F.col("day").cast("date"), F.lit("2000-01-01").cast("date"))
+    d = active.select("day", (n - F.row_number().over(Window.orderBy("day"))).alias("run"))
+    return d.groupBy("run").agg(F.count("*").alias("length"), F.max("day").alias("last"))
+
+
+@report("a20_heatmap_stats")
+def heatmap_stats(f: Facts, days: int = 0) -> DataFrame:
+    """Days, active days, the streak that ends today (0 if today has no turn), the longest streak, and the busiest day (the latest of several)."""
+    d = f.calendar_days(days)
+    runs = streaks(d.where("turns > 0")).agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_streak"), F.coalesce(F.max(F.when(F.col("last") == f.today, F.col("length"))), F.lit(0)).alias("current_streak"))
+    stats = d.agg(F.count("*").alias("total_days"), F.count_if(F.col("turns") > 0).alias("active_days"), F.max(F.when(F.col("turns") > 0, F.struct("turns", "day"))).alias("b"))
+    return stats.crossJoin(runs).select("total_days", "active_days", "current_streak", "longest_streak", F.col("b.day").alias("busiest_day"), F.col("b.turns").alias("busiest_turns"))  # one row each
+
+
+@report("h05_heatmap_levels")
+def heatmap_levels(f: Facts) -> DataFrame:
+    t = F.col("turns")
+    level = F.when(t == 0, 0).when(t < F.col("p25"), 1).when(t < F.col("p50"), 2).when(t < F.col("p75"), 3).otherwise(4)
+    return f.calendar_days().crossJoin(heatmap_thresholds(f)).select("day", level.alias("level"), heat_glyph(level).alias("glyph"))  # thresholds are one row
+
+
+@report("h06_calendar_grid")
+def calendar_grid(f: Facts) -> DataFrame:
+    """Weekday (Monday 0) and week of each day, weeks counted from the Monday on or before the first day; month: a label where it begins."""
+    d = f.calendar_days().withColumn("date", F.col("day").cast("date"))
+    first = d.agg(F.to_date(F.date_trunc("week", F.min("date"))).alias("monday"))
+    return d.crossJoin(first).select("day", F.weekday("date").alias("weekday"), F.expr("cast(datediff(date, monday) div 7 as int)").alias("week"), F.when(F.dayofmonth("date") == 1, F.date_format("date", "MMM")).otherwise("").alias("month"))  # first is one row
+
+
+@report("p04_quantile_levels")
+def quantile_levels(f: Facts) -> DataFrame:
+    """Levels 0 to 4 of active days by P25, 50, 75 and 95 of the cost's cents at place floor(p (n - 1)), forced to rise."""
+    d = f.days.withColumn("cents", F.floor(F.col("cost") / 10_000_000).cast("long")).where("cents > 0")
+    counts = d.groupBy("cents").agg(F.count("*").alias("n"))
+    q = histogram_places(counts, "cents", {f"q{p}": (lambda n, p=p: F.floor((n - 1) * p / 100)) for p in (25, 50, 75, 95)})
+    q = q.select(F.greatest("q25", F.lit(1)).alias("l1"), F.greatest("q50", F.col("q25") + 1).alias("l2"), F.greatest("q75", F.col("q50") + 1).alias("l3"), F.greatest("q95", F.col("q75") + 1).alias("l4"))
+    level = F.when(F.col("cents") <= F.col("l1"), 1).when(F.col("cents") <= F.col("l2"), 2).when(F.col("cents") <= F.col("l3"), 3).otherwise(4)
+    return d.crossJoin(q).select("day", "cents", level.alias("level"))  # q is one row
+
+
+@report("t07_active_days")
+def active_days(f: Facts) -> DataFrame:
+    """The dashboard's payload: active days only, in order; a day with sessions alone has none of its turns."""
+    both = f.days.join(f.starts, "day", "full").fillna(0, ["turns", "cost", "sessions"])
+    return both.select("day", "turns", usd("cost").alias("cost_usd"), "sessions").orderBy("day")
+
+
+# Wrapped
+
+
+def of_year(f: Facts, year: int) -> Facts:
+    """Only sessions whose first turn is of the year, with all of their turns."""
+    ids = f.sessions.where(F.year("first_ts") == year).select("session_id")
+    return Facts(f.turns.join(ids, "session_id", "left_semi"), f.all_sessions.join(ids, "session_id", "left_semi"), f.today)
+
+
+YEAR = 2024
+
+
+@report("a21_wrapped")
+def wrapped(f: Facts, year: int = YEAR) -> DataFrame:
+    """One row: volume, days, averages, peaks, archetype. Mean minutes only over sessions that last; peaks: the last of several."""
+    y = of_year(f, year)
+    s = y.sessions.agg(F.count("*").alias("sessions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("turns", "agent_turns", "output_tokens", "context", "cost")), F.count_distinct("display").alias("projects"), F.sum(F.expr("case when minutes > 0 then (unix_micros(last_ts) - unix_micros(first_ts)) div 1000000 end")).alias("secs"), F.count_if(F.col("minutes") > 0).alias("lasting"))
+    t = y.turns.agg(F.count_distinct("day").alias("active_days"), F.count_if(F.expr(NIGHT)).alias("night"))
+    runs = streaks(y.turns.select("day").distinct()).agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_streak"))
+    peak = y.turns.groupBy("hour").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "hour")).alias("h")).crossJoin(y.turns.groupBy("dow").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "dow")).alias("d")))
+    today = F.lit(f.today).cast("date")
+    all_days = F.when(F.year(today) == year, F.dayofyear(today)).when(F.year(today) > year, F.dayofyear(F.lit(f"{year}-12-31").cast("date"))).otherwise(0)
+    minutes = share(F.coalesce("secs", F.lit(0)) / 60.0, F.col("lasting"), 1.0)
+    kind = archetype(share(F.col("agent_turns"), F.col("turns"), 1.0), share(F.col("night"), F.col("turns"), 1.0), minutes, share(F.col("turns"), F.col("sessions"), 1.0), F.col("projects"))
+    return s.crossJoin(t).crossJoin(runs).crossJoin(peak).select(  # one row each
+        F.lit(year).alias("year"), "sessions", "turns", "agent_turns", "output_tokens", F.col("context").alias("input_tokens"), usd("cost").alias("cost_usd"), "projects", "active_days", all_days.cast("long").alias("total_days"), F.greatest(F.lit(0), all_days - F.col("active_days")).cast("long").alias("ghost_days"), "longest_streak",
+        minutes.alias("mean_minutes"), share(usd("cost"), F.col("sessions"), 1.0).alias("cost_per_session"), share(F.col("output_tokens"), F.col("context")).alias("output_ratio"), F.coalesce("h.hour", F.lit(0)).alias("peak_hour"),
+        F.element_at(F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))), F.coalesce("d.dow", F.lit(0)) + 1).alias("peak_weekday"), kind.alias("archetype"),
+    )
+
+
+@report("a25_model_distribution")
+def model_distribution(f: Facts) -> DataFrame:
+    return of_year(f, YEAR).turns.groupBy("model").agg(F.count("*").alias("turns"))
+
+
+@report("t03_wrapped_top_projects")
+def wrapped_top_projects(f: Facts) -> DataFrame:
+    return of_year(f, YEAR).sessions.groupBy("display").agg(F.sum("cost").alias("cost")).orderBy(F.desc("cost"), "display").limit(5).select("display", usd("cost").alias("cost_usd"))
+
+
+@report("t03_wrapped_top_tools")
+def wrapped_top_tools(f: Facts) -> DataFrame:
+    return tool_uses(of_year(f, YEAR)).orderBy(F.desc("uses"), "tool").limit(5)
+
+
+@report("t04_wrapped_extremes")
+def wrapped_extremes(f: Facts) -> DataFrame:
+    """The dearest and the longest session, the first of several; P14: the dearest one's share of the cost, the longest in hours."""
+    s = of_year(f, YEAR).sessions
+    dear, long = (s.orderBy(F.desc(c), "session_id").limit(1) for c in ("cost", "minutes"))
+    total = s.agg(F.sum("cost").alias("total"))
+    a = dear.crossJoin(total).select(F.lit("dearest").alias("kind"), "session_id", "display", usd("cost").alias("value"), (usd("cost") / F.greatest(usd("total"), F.lit(0.01)) * 100).alias("share_or_hours"))  # one row each
+    return a.unionByName(long.select(F.lit("longest").alias("kind"), "session_id", "display", F.col("minutes").alias("value"), (F.col("minutes") / 60).alias("share_or_hours")))
+
+
+@report("x25_archetypes")
+def archetypes(f: Facts) -> DataFrame:
+    """Label and description of each archetype, over the rule's own examples."""
+    spark = f.turns.sparkSession
+    rows = [(0.6, 0.1, 45.0, 20.0, 3), (0.3, 0.6, 45.0, 20.0, 3), (0.3, 0.1, 150.0, 20.0, 3), (0.45, 0.1, 90.0, 20.0, 3), (0.1, 0.1, 15.0, 15.0, 3), (0.1, 0.1, 45.0, 8.0, 15), (0.1, 0.1, 45.0, 5.0, 3)]
+    e = spark.createDataFrame(rows, "agent double, night double, minutes double, per_session double, projects int")
+    kind = archetype(*(F.col(c) for c in e.columns))
+    label, text = archetype_text(kind)
+    return e.select("*", kind.alias("archetype"), label.alias("label"), text.alias("description"))
+
+
+# Names and figures as text
+
+
+@report("p16_model_families")
+def model_families(f: Facts) -> DataFrame:
+    return f.turns.select(F.lower(F.split("short", "-")[0]).alias("family")).distinct()
+
+
+@report("x02_model_names")
+def model_names(f: Facts) -> DataFrame:
+    return f.turns.select("model", "bare_model", "short").distinct()
+
+
+@report("p13_chart_orders")
+def chart_orders(f: Facts) -> DataFrame:
+    """(chart, place, name): models by turns, ten tools by uses, five projects by cost."""
+    lists = {"models": (f.turns.groupBy("model").agg(F.count("*").alias("v")), "model", 100), "tools": (tool_uses(f).withColumnRenamed("uses", "v"), "tool", 10), "projects": (f.turns.groupBy("display").agg(F.sum("cost").alias("v")), "display", 5)}
+    out = None
+    for chart, (df, name, rows) in lists.items():
+        part = first_of(df.select(F.lit(chart).alias("chart"), F.col(name).alias("name"), "v"), ["chart"], F.desc("v"), "name", rows=rows, rank="place").select("chart", "place", "name")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@report("x03_figures_as_text")
+def figures_as_text(f: Facts) -> DataFrame:
+    s = f.sessions
+    return s.select("session_id", format_number(F.col("context")).alias("context"), format_cost(F.col("cost")).alias("cost"), format_duration(F.col("minutes")).alias("duration"), truncate_bytes(F.col("display"), 12).alias("project"), compact_number(F.col("context")).alias("compact"), escape_html(F.col("display")).alias("html"))
+
+
+@report("x16_price_age")
+def age_of_prices(f: Facts) -> DataFrame:
+    days, stale = price_age(F.lit("2026-07-01").cast("date"))
+    return f.turns.sparkSession.range(1).select(days.alias("days"), stale.alias("stale"))
+
+
+@report("s24_price_table")
+def price_table(f: Facts) -> DataFrame:
+    return f.turns.select("price_key", *RATES).distinct()

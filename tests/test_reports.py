@@ -5,10 +5,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tallyloom.functions.pricing import priced, resolve
+from tallyloom.functions.pricing import load_config, priced, resolve
 from tallyloom.operators.turns import last_of_request, without_repeats_of_main
-from tallyloom.plans.registry import ORACLE_SQL, QUERIES
+from tallyloom.functions.scalars import compact_number, escape_html, escape_script, format_cost, format_duration, truncate_bytes
+from tallyloom.operators.graph import chain_lengths
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES, tree_report
+from tallyloom.plans.reports import streaks, thresholds
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,6 +30,7 @@ def duck():
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{SF}/{f}')")
+    con.execute("set timezone = 'UTC'")
     return con
 
 
@@ -53,3 +58,76 @@ def test_dedup(spark):
     once = last_of_request(t)
     assert {(r.request_id, r.line_pos, r.output_tokens) for r in once.where("not is_agent").collect()} == {("r1", 1, 20), (None, 3, 5), ("", 4, 5)}
     assert [r.request_id for r in without_repeats_of_main(once).where("is_agent").collect()] == ["r2"]
+
+
+def test_three_sessions(spark):
+    """Three sessions of two projects, with every figure worked out by hand."""
+    rows = [("11111111-a", "-Users-dev-alpha", "2025-03-10 10:00:00", "claude-opus-4-6", 1000, 500), ("11111111-a", "-Users-dev-alpha", "2025-03-10 10:05:00", "claude-opus-4-6", 2000, 800), ("11111111-a", "-Users-dev-alpha", "2025-03-12 14:00:00", "claude-opus-4-6", 500, 200), ("22222222-b", "-Users-dev-beta", "2025-03-15 09:00:00", "claude-sonnet-4-5", 3000, 1500), ("22222222-b", "-Users-dev-beta", "2025-03-15 09:30:00", "claude-sonnet-4-5", 1000, 400), ("33333333-c", "-Users-dev-alpha", "2025-04-02 11:00:00", "claude-opus-4-6", 800, 300)]
+    t = spark.createDataFrame(rows, "session_id string, project string, at string, model string, input_tokens long, output_tokens long").withColumn("ts", F.to_timestamp("at"))
+    t = t.selectExpr("*", "0L as cache_creation", "0L as cache_read", "false as has_ttl", "0L as cw_5m", "0L as cw_1h", "false as is_agent", "-1L as file_id", "monotonically_increasing_id() as line_pos", "'end_turn' as stop_reason", "array() as tool_names")
+    get = lambda name, **k: tree_report(name, t, today="2025-04-03", **k).collect()
+    total, rate = get("a04_overview_totals")[0], get("a12_efficiency")[0]
+    assert (total.sessions, total.turns, total.context, total.output_tokens) == (3, 6, 8300, 3700) and math.isclose(total.cost_usd, 0.107)
+    assert math.isclose(rate.output_ratio, 44.578313, rel_tol=1e-6) and rate.tokens_per_turn == 616
+    i = get("a44_overview_insights")[0]
+    assert (i.compactions, i.compacted_sessions, i.peak_context, i.days) == (2, 2, 3000, 23)
+    assert {(r.label, r.sessions, r.turns) for r in get("a17_trend_monthly")} == {("2025-03", 2, 5), ("2025-04", 1, 1)}
+    h = get("a20_heatmap_stats")[0]
+    assert (h.total_days, h.active_days, h.current_streak, h.longest_streak, h.busiest_day) == (25, 4, 0, 1, "2025-03-15")
+    assert {r.model: round(r.cost_usd, 4) for r in get("a03_overview_by_model")} == {"claude-opus-4-6": 0.0665, "claude-sonnet-4-5": 0.0405}
+    assert [r.project for r in get("t01_top_projects")] == ["-Users-dev-alpha", "-Users-dev-beta"]
+    # Another zone moves turns to another day; a session without turns counts as a session.
+    assert {r.day for r in get("t07_active_days", timezone="Pacific/Kiritimati")} >= {"2025-03-11", "2025-03-13"}
+    more = spark.createDataFrame([(k, "p") for k in ("11111111-a", "22222222-b", "33333333-c", "empty")], "session_id string, project string")
+    assert get("a04_overview_totals", sessions=more)[0].sessions == 4
+
+
+def test_streaks_and_thresholds(spark):
+    days = spark.createDataFrame([(f"2025-01-0{d}", n) for d, n in ((1, 1), (2, 2), (3, 3), (5, 4), (6, 0))], "day string, turns long")
+    assert max(r.length for r in streaks(days).collect()) == 3
+    assert tuple(thresholds(days).first()) == (2, 3, 4)
+    assert tuple(thresholds(days.where("turns < 0")).first()) == (1, 2, 3)
+
+
+def test_chains_follow_the_latest_child(spark):
+    """a-b-c-d; b has an older child x; y and z hang on a parent that is not there; one lone root."""
+    edges = [("a", None, 1), ("b", "a", 2), ("x", "b", 3), ("c", "b", 4), ("d", "c", 5), ("y", "gone", 1), ("z", "y", 2), ("r", None, 9)]
+    nodes = spark.createDataFrame([("s", u, p, t) for u, p, t in edges] + [("t", "a", None, 1)], "session string, uuid string, parent string, ts long")
+    assert {(r.session, r.uuid, r.length) for r in chain_lengths(nodes).collect()} == {("s", "a", 4), ("s", "y", 2), ("s", "r", 1), ("t", "a", 1)}
+
+
+def test_texts(spark):
+    row = spark.sql("select 'héé日本x' as t, 12345678 as n, -1234500000000L as c, 0.5D as s, 59.5D as m, 125.2D as h, \"<a href='x'>&\" as e")
+    cut = [row.select(truncate_bytes(F.col("t"), n)).first()[0] for n in (20, 10, 8, 6, 4)]
+    assert cut == ["héé日本x", "héé...", "héé...", "hé...", "h..."]
+    got = row.select(compact_number(F.col("n")), format_cost(F.col("c")), *(format_duration(F.col(c)) for c in "smh"), escape_html(F.col("e")), escape_script(F.lit("</script><!-- x"))).first()
+    assert tuple(got) == ("12.35M", "-$1,234.50", "30s", "60m", "2h5m", "&lt;a href=&#x27;x&#x27;&gt;&amp;", "<\\/script><\\!-- x")
+
+
+def test_configuration(spark):
+    text = '[[subscription]]\nstart_date = "2026-01-01"\nmonthly_price_usd = 100.0\n[[subscription]]\nstart_date = "2026-03-01"\nmonthly_price_usd = 200.0\nplan = "max"\n[pricing_override.claude-x]\nbase_input = 1.0\ncache_write_5m = 1.25\ncache_write_1h = 2.0\ncache_read = 0.1\noutput = 5.0\n'
+    subscriptions, overrides = load_config(text)
+    assert [s["monthly_price_usd"] for s in subscriptions] == [100.0, 200.0] and overrides == {"claude-x": (1000, 1250, 2000, 100, 5000)}
+    got = {r.model: (r.price_key, r.source, r.r_output) for r in resolve(spark.createDataFrame([("claude-x",), ("claude-x-9",), ("claude-opus-4-6",)], "model string"), overrides).collect()}
+    assert got == {"claude-x": ("claude-x", "override exact", 5000), "claude-x-9": ("claude-x", "override prefix", 5000), "claude-opus-4-6": ("claude-opus-4-6", "exact", 25000)}
+
+
+def test_one_session_by_prefix(spark):
+    from tallyloom.plans.registry import facts
+    from tallyloom.plans.reports import one_session
+    from tallyloom.sources.adapters import raw_turns_from_events, raw_turns_from_lineitem
+
+    f = facts(raw_turns_from_events(spark, SF))
+    full = f.all_sessions.first().session_id
+    assert one_session(f, full) == full
+    for prefix in ("s", "nothing"):
+        with pytest.raises(LookupError):
+            one_session(f, prefix)
+    lines = facts(raw_turns_from_lineitem(spark, SF))
+    assert lines.turns.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_prices_need_no_join(spark):
+    """One scan and one exchange: the price is a column expression."""
+    plan = QUERIES["a03_overview_by_model"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2

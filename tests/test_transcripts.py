@@ -115,8 +115,8 @@ def test_hooks_metadata_graph(read):
 
 
 def test_reports_over_a_tree(read):
-    assert {r.tool: r.uses for r in tree_report("overview_tools", read[3]).collect()} == {"Bash": 2, "Edit": 1}
-    total = tree_report("overview_totals", read[3]).first()
+    assert {r.tool: r.uses for r in tree_report("a08_tools", read[3]).collect()} == {"Bash": 2, "Edit": 1}
+    total = tree_report("a04_overview_totals", read[3]).first()
     assert (total.sessions, total.turns, total.agent_turns) == (2, 8, 4)
 
 
