@@ -171,6 +171,7 @@ SQL = {
     "f01_skip_reasons": "select case when is_sidechain and not is_agent then 'sidechain' when model = '<synthetic>' then 'synthetic' when input_tokens + output_tokens + cache_creation + cache_read = 0 then 'invalid' else 'turn' end as reason, count(*) as records from raw group by 1",
     "u03_shared_request_ids": "select distinct session_id, request_id from once where is_agent and request_id is not null and (session_id, request_id) in (select (session_id, request_id) from once where not is_agent)",
 }
+SQL["k08_dashboard_sessions"] = f"select * exclude (id8, cache_hit_rate), case when context > 0 then cache_hit_rate end as cache_hit_rate from ({SQL['a14_session_summaries']})"
 SQL = {name: BASE + sql for name, sql in SQL.items()}
 
 # Over conversations: an entry is a row, its node the turn's number, its parent the number before.

@@ -11,6 +11,7 @@ from ..operators.graph import chain_lengths
 from ..operators.turns import last_of_request, skip_reason, without_repeats_of_main
 from ..sources.adapters import calendar, raw_turns_from_events
 from .oracles import NOW, SQL, TODAY
+from .payloads import PAYLOADS
 from .reports import REPORTS, Facts
 
 
@@ -106,7 +107,7 @@ def response_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("role = 'assistant'").groupBy("conv_id", "grp").agg(F.count("*").alias("entries"), F.min("turn").alias("first_turn"))
 
 
-QUERIES = {name: _report(f) for name, f in REPORTS.items()} | {
+QUERIES = {name: _report(f) for name, f in (REPORTS | PAYLOADS).items()} | {
     "j01_price_resolution": price_resolution,
     "j03_dedup_counts": dedup_counts,
     "f01_skip_reasons": skip_reasons,

@@ -34,7 +34,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -131,3 +131,26 @@ def test_prices_need_no_join(spark):
     """One scan and one exchange: the price is a column expression."""
     plan = QUERIES["a03_overview_by_model"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2
+
+
+def test_payloads_hold_the_reports(spark, tmp_path):
+    import json
+
+    from tallyloom.plans import payloads
+
+    get = {n: json.loads(QUERIES[n](spark, SF).first().json) for n in QUERIES if n.startswith("k0") and n not in ("k02_session_json", "k08_dashboard_sessions")}
+    o = get["k01_overview_json"]
+    assert [m["cost_usd"] for m in o["models"]] == sorted((m["cost_usd"] for m in o["models"]), reverse=True) and len(o["hours"]) == 24
+    assert math.isclose(sum(m["cost_usd"] for m in o["models"]), o["total_cost_usd"]) and math.isclose(sum(o["cost_by_category"].values()), o["total_cost_usd"])
+    assert sum(p["sessions"] for p in get["k03_projects_json"]["projects"]) == o["total_sessions"]
+    assert sum(e["turns"] for e in get["k04_trend_json"]["entries"]) == o["total_turns"] and get["k04_trend_json"]["group_label"] == "Day"
+    assert get["k05_wrapped_json"]["turns"] == o["total_turns"] and len(get["k05_wrapped_json"]["extremes"]) == 2
+    h = get["k06_heatmap_json"]
+    assert len(h["daily"]) == h["stats"]["totalDays"] and len(h["thresholds"]) == 3 and [d["date"] for d in h["daily"]] == sorted(d["date"] for d in h["daily"])
+    d = get["k07_dashboard_json"]
+    assert all(x["turns"] + x["sessions"] > 0 for x in d["heatmap"]) and d["overview"]["sessions"] == o["total_sessions"]
+    s = QUERIES["k02_session_json"](spark, SF).orderBy("session_id").first()
+    one = json.loads(s.json)
+    assert one["session_id"] == s.session_id and [t["turn_number"] for t in one.get("turns", [])] == list(range(1, one.get("turn_count", 0) + 1))
+    payloads.write(QUERIES["k03_projects_json"](spark, SF), str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first().value) == get["k03_projects_json"]
