@@ -11,19 +11,22 @@ from tallyloom.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold. Null and empty texts stay, repeated rows are judged alike, an empty table stays empty, all columns are kept."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest doc_id, null behind all others. Rows equal in doc_id and text become one; null, empty and wordless texts are near copies of each other."""
     return simhash.keep_first(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without the strings of 200 bytes that stand elsewhere too. Null texts stay null; n_chars, if there is one, follows the text."""
     return suffix_dedup.rewrite_texts(docs, 200)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # By row and not by doc_id, which may be null or stand for several texts.
+    """Rows that hold no benchmark item. By row and not by doc_id, which may be null or stand for several texts; null and empty texts stay; an empty benchmark drops nothing."""
     keyed = docs.withColumn("__key", simhash.row_key())
     leaks = decontaminate.find_leaks(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return keyed.join(materialize(leaks.select(F.col("doc_id").alias("__key")).distinct()), "__key", "left_anti").select(*docs.columns)

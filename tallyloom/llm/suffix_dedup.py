@@ -267,12 +267,13 @@ def repeated_ranges(docs: DataFrame, threshold: int = 200) -> DataFrame:
     part = materialize(part)
     whole = part.where("n > 1").where(f"before + after >= {threshold}").select("gram", "around", F.least(F.col("before").cast("int"), F.lit(reach)).alias("omax"), F.greatest(F.lit(0), F.lit(threshold) - F.col("after")).cast("int").alias("omin"))
     # Last pass: one member of each part of the groups that fell apart.
-    split = part.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram")
+    split = materialize(part.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram"))
     need = materialize(part.join(split, "gram").where(f"before + after >= {threshold}").select("at.rk", "at.rk2", F.struct("gram", "around", "at.pos").alias("need")).groupBy(*KEY).agg(F.collect_list("need").alias("needs")))
     texts = maybe_in(keyed.select(*KEY, "text"), "rk", key_filter(need, "rk")).dropDuplicates(KEY)
     context = need.join(texts, KEY).select("needs", "text").mapInArrow(_context_rows(threshold), "gram long, around long, lead int, body binary")
     met = materialize(context.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_groups(threshold), "gram long, around long, omax int, omin int, lead int, body binary"))
     release(need)
+    release(split)
     windows = materialize(met.where("omin is null").select("gram", "around", "lead", "body").mapInArrow(_window_rows(threshold), "gram long, around long, o int, win long"))
     twice = windows.groupBy("gram", "win").count().where("count > 1").select("gram", "win")
     large = windows.join(twice, ["gram", "win"]).groupBy("gram", "around").agg(F.max("o").alias("omax"), F.min("o").alias("omin"))

@@ -7,13 +7,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, slices
 
 #: Labelled texts that training may read, toxic and clean alike. Bounds the fit, not what is scored.
 TRAIN_TEXTS = 6000
+#: Bytes of text that training may read in all: beyond them the last texts in the order of their hash are left out.
+TRAIN_BYTES = 64_000_000
 LANDMARKS = 128
 ORDER, SPAN, DECAY = 3, 6, 0.6
 WIDTH = 24
@@ -233,7 +235,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_TEXTS)
     lab = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(fold != 2)
     part = [lab.where(F.col("toxic") == k).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(limit // 4 if k else limit - limit // 4) for k in (0, 1)]
     ids = part[0].unionByName(part[1]).select("doc_id", "toxic").distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("at", F.xxhash64("doc_id", "toxic", "text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    # A window without a key over at most `limit` labels' rows: the sum of the sizes up to each.
+    upto = F.sum("size").over(Window.orderBy("at", "doc_id", "toxic", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("doc_id", "text", "toxic").collect()
     return sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text or ""))
 
 

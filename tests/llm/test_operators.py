@@ -436,3 +436,49 @@ def test_leaks_with_a_changed_or_missing_answer(spark):
     rows.append((900, " ".join(word() for _ in range(300))))
     got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == want
+
+
+def test_url_filter_awkward_tables(spark):
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = [(1, "http://a.test/en/1", "x"), (1, "http://a.test/en/1", "y"), (2, "HTTP://B.test/en/2", None), (None, None, None), (3, "x" * 50_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = sorted((r.page_id or 0, r.host, r.verdict) for r in url_filter.judge(pages, labels).collect())
+    assert len(got) == len(rows) and got[1] == got[2] and got[0] == (0, "", "allow") and got[3][1] == "b.test"
+    none = empty(spark, "page_id long, url string")
+    assert url_filter.judge(none, labels).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, labels.where("doc_id > 9")).collect()} == {"allow"}
+
+
+def test_toxicity_empty_and_bounded(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(docs.where("doc_id = -5"), labels).count() == 0
+    whole = toxicity.training_rows(docs, labels)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 5000)
+    some = toxicity.training_rows(docs.repartition(5), labels)
+    assert 0 < len(some) < len(whole) and sum(len((r.text or "").encode()) for r in some) <= 5000
+    assert some == toxicity.training_rows(docs, labels) and set(some) <= set(whole)
+
+
+def test_rewrite_texts(spark):
+    """Null and repeated rows, cuts within characters, columns of clashing names."""
+    shared = "é" * 150  # 300 bytes
+    rows = [(1, "a " * 20 + shared, 9, "x"), (2, shared + "b", 9, "y"), (3, None, 9, "z"), (4, "", 9, None), (5, "日" * 80, 9, "w"), (None, "short", 9, "v")]
+    d = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, n_chars long, rk string")
+    got = sorted(((r.doc_id or 0, r.text, r.n_chars, r.rk) for r in suffix_dedup.rewrite_texts(d, 200).collect()), key=str)
+    want = {i: b"" if t is None else t.encode() for i, t, _, _ in rows}
+    brute = dict(zip([*want, 6], suffix_dedup.brute([*want.values(), want[1]], 200), strict=True))
+    assert [g[0] for g in got] == [0, 1, 1, 2, 3, 4, 5] and got[4] == (3, None, 9, "z")
+    for i, text, n, _ in got:
+        if i not in (0, 3):
+            assert len(text.encode()) == len(want[i]) - brute[i][0] and n == len(text)
+    assert suffix_dedup.rewrite_texts(d.where("doc_id = 77"), 200).count() == 0
+
+
+def test_long_texts_in_stretches(monkeypatch, spark):
+    """Texts over several stretches: the anchors are those of the whole text."""
+    rng = random.Random(41)
+    text = bytes(rng.choice(b"abcd ") for _ in range(30_000))
+    data, at = np.frombuffer(text, np.uint8), np.array([0, 12_000, 12_150, 30_000])
+    whole = suffix_dedup.anchors(data, at[:-1], at[1:], 200)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 5_000)
+    assert suffix_dedup._anchors_of(data, at, 200).tolist() == whole.tolist()
