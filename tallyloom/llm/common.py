@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -49,6 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def forgotten(df: DataFrame) -> DataFrame:
+    """materialize(), after which the shuffle files behind the table go: the cleaner deletes them once the driver has collected what refers to them."""
+    out = materialize(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of materialize() that no later read needs."""
     spark, path = df.sparkSession, df._scratch_path
