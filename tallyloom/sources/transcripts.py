@@ -431,3 +431,19 @@ def workflow_runs(spark: SparkSession, home: str, subagents: DataFrame) -> DataF
     out = snap.join(per, ["session_id", "run_id"], "full").fillna(0, ["agents", "turns", "output_tokens", "tokens", "cost"])
     journal = journals(spark, home).select("session_id", "run_id", F.size("entries").alias("journal_entries"))
     return out.join(scripts(spark, home), ["session_id", "run_id"], "left").join(journal, ["session_id", "run_id"], "left")
+
+
+def load_sidecars(spark: SparkSession, home: str, session_id: str) -> tuple[DataFrame, DataFrame]:
+    """One session's agent sidecars and workflow runs (those with a snapshot or agents; what the agents did is not read here)."""
+    own = F.col("session_id") == session_id
+    agents = files(spark, home).where("is_agent").where(own).select("session_id", "run_id", *(F.lit(0).cast("long").alias(n) for n in ("turns", "output_tokens", "tokens", "cost")))
+    return agent_meta(spark, home).where(own), workflow_runs(spark, home, agents).where(own)
+
+
+def load_all(spark: SparkSession, home: str, now: str) -> dict[str, DataFrame]:
+    """The tables of a tree, by name: files, entries, records, turns, sessions (with what their entries say), quality, session_quality and global_quality."""
+    f, e = files(spark, home), entries(spark, home)
+    r = records(e, now)
+    t = turns(r)
+    q = quality(e, r)
+    return {"files": f, "entries": e, "records": r, "turns": t, "sessions": sessions(f, t).join(metadata(e), "session_id", "left"), "quality": q, "session_quality": session_quality(f, q, r, t), "global_quality": global_quality(f, q, t)}

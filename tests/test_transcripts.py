@@ -232,3 +232,11 @@ def test_shapes(spark):
     assert (one.durationMs, one.content, one.hookCount) == (5, None, None)
     d = over({"f": [1, "x", {"b": 1, "a": [2]}]}, {"f": {}}, {"f": []}, {"f": 1.5}, {"f": None}, {"f": {"k": 1, "c": 2}}, {"f": [[1]]})
     assert values(d, S.shape(S.field("f", "variant"))) == ["array[int,obj{a,b},string]", "obj{empty}", "array[empty]", "float", "null", "obj{c,k}", "array[array[int]]"]
+
+
+def test_load_all_and_sidecars(spark, home):
+    t = T.load_all(spark, home, NOW)
+    s = {r.session_id: (r.title, r.turns, r.is_orphan) for r in t["sessions"].collect()}
+    assert s == {MAIN: ("mine", 7, False), LOST: (None, 1, True)} and t["global_quality"].first().agent_files == 5
+    meta, runs = T.load_sidecars(spark, home, MAIN)
+    assert [r.agent_type for r in meta.collect()] == ["builder"] and {(r.run_id, r.agents) for r in runs.collect()} == {("wf_1", 1), ("wf_2", 0)}
