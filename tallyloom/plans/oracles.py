@@ -112,7 +112,7 @@ SQL = {
     "p19_project_sessions": f"select display, session_id, turns, cost / 1e9 as cost_usd, row_number() over (partition by display order by cost desc, session_id) as place, {_pct('(sum(cache_read) over (partition by display))::bigint', '(sum(context) over (partition by display))::bigint')} as project_cache_rate from sess where turns > 0",
     "f07_sessions_by_prefix": "select session_id, turns from sess where session_id like 's0001-%'",
     "f12_session_search": f"select session_id, display, model from sess join ({_FIRST_MODEL}) m using (session_id) where (session_id ilike '%proj3%' or display ilike '%proj3%') and replace(model, 'claude-', '') like 'opus-%'",
-    "w06_turn_detail": f"select session_id, turn_number, ts, model, input_tokens, output_tokens, case when has_ttl then cw_5m else 0 end as cache_write_5m, case when has_ttl then cw_1h else 0 end as cache_write_1h, cache_read, context, {_pct('cache_read', 'context')} as cache_hit_rate, cost / 1e9 as cost_usd, cost_input / 1e9 as cost_input, cost_5m / 1e9 as cost_5m, cost_1h / 1e9 as cost_1h, cost_read / 1e9 as cost_read, cost_output / 1e9 as cost_output, stop_reason, is_agent, is_compaction, coalesce(context - before, 0) as context_delta, array_to_string(tool_names, ',') as tools from marked",
+    "w06_turn_detail": f"select session_id, turn_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts, model, input_tokens, output_tokens, case when has_ttl then cw_5m else 0 end as cache_write_5m, case when has_ttl then cw_1h else 0 end as cache_write_1h, cache_read, context, {_pct('cache_read', 'context')} as cache_hit_rate, cost / 1e9 as cost_usd, cost_input / 1e9 as cost_input, cost_5m / 1e9 as cost_5m, cost_1h / 1e9 as cost_1h, cost_read / 1e9 as cost_read, cost_output / 1e9 as cost_output, stop_reason, is_agent, is_compaction, coalesce(context - before, 0) as context_delta, array_to_string(tool_names, ',') as tools from marked",
     "w01_compactions": "select session_id, count(*) as compactions, max(before - context) as largest_drop from marked where is_compaction group by 1",
     "a30_subagents": f"select session_id, file_id, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where is_agent group by 1, 2",
     "a32_agent_summary": f"select session_id, entry_agent_id as agent_id, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where is_agent group by 1, 2",
@@ -122,7 +122,7 @@ SQL = {
     "a27_plugin_usage": f"select session_id, plugin, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where not is_agent and plugin = 'toolkit' group by 1, 2",
     "a28_skill_usage": f"select session_id, skill, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where not is_agent and skill = 'review' group by 1, 2",
     "t05_latest_session": "select session_id, turns from sess where last_ts = (select max(last_ts) from sess) order by 1 limit 1",
-    "t06_session_order": "select session_id, main_ts from (select session_id, min(ts) filter (not is_agent) as main_ts from all_sessions left join turns using (session_id) group by 1) order by main_ts desc nulls last, session_id limit 20",
+    "t06_session_order": "select session_id, strftime(main_ts, '%Y-%m-%d %H:%M:%S.%f') as main_ts from (select session_id, min(ts) filter (not is_agent) as main_ts from all_sessions left join turns using (session_id) group by 1) order by main_ts desc nulls last, session_id limit 20",
     "a46_session_sizes": f"select {_nth('sess', 'turns', '0')} as low, {_nth('sess', 'turns', 'n // 2')} as median, {_nth('sess', 'turns', 'n * 90 // 100')} as p90, {_nth('sess', 'turns', 'n * 99 // 100')} as p99, max(turns) as high, count(*) as sessions, sum(turns)::bigint as total, sum(turns)::bigint / count(*) as mean from sess",
     "p08_session_kpis": f"select count(*) as sessions, {USD}, sum(cost)::bigint / 1e9 / count(*) as cost_per_session, sum(secs)::bigint / 60 / count(*) as mean_minutes from sess",
     "p17_session_bubbles": "select session_id, turns, cost / 1e9 as cost_usd, 3 + 20.0::double * output_tokens / (select max(output_tokens) from sess) as radius, cost / 1e9 / turns as cost_per_turn from sess where turns > 0",

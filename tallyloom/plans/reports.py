@@ -16,6 +16,7 @@ from ..functions.pricing import RATES, price_age
 from ..functions.scalars import archetype, archetype_text, compact_number, escape_html, format_cost, format_duration, format_number, heat_glyph, project_display_name, short_model, truncate_bytes
 
 ORDER = ("ts", "file_id", "line_pos")
+STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 NIGHT = "hour >= 22 or hour < 6"
 
 
@@ -288,7 +289,7 @@ def session_search(f: Facts, text: str = "PROJ3", family: str = "opus") -> DataF
 def turn_detail(f: Facts) -> DataFrame:
     own = F.when(F.col("has_ttl"), F.coalesce("cw_5m", F.lit(0))).otherwise(0), F.when(F.col("has_ttl"), F.coalesce("cw_1h", F.lit(0))).otherwise(0)
     return f.ordered.select(
-        "session_id", "turn_number", "ts", "model", "input_tokens", "output_tokens", own[0].cast("long").alias("cache_write_5m"), own[1].cast("long").alias("cache_write_1h"), "cache_read", "context", share(F.col("cache_read"), F.col("context")).alias("cache_hit_rate"),
+        "session_id", "turn_number", F.date_format("ts", STAMP).alias("ts"), "model", "input_tokens", "output_tokens", own[0].cast("long").alias("cache_write_5m"), own[1].cast("long").alias("cache_write_1h"), "cache_read", "context", share(F.col("cache_read"), F.col("context")).alias("cache_hit_rate"),
         usd("cost").alias("cost_usd"), *(usd(c).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")), "stop_reason", "is_agent", "is_compaction", F.coalesce(F.col("context") - F.col("before"), F.lit(0)).alias("context_delta"), F.array_join("tool_names", ",").alias("tools"),
     )
 
@@ -350,7 +351,7 @@ def latest_session(f: Facts) -> DataFrame:
 def session_order(f: Facts) -> DataFrame:
     """Sessions by the first turn of their main file, latest first, those without one last; a session's neighbours are what a list shows."""
     main = f.turns.where("not is_agent").groupBy("session_id").agg(F.min("ts").alias("main_ts"))
-    return f.all_sessions.join(main, "session_id", "left").select("session_id", "main_ts").orderBy(F.desc_nulls_last("main_ts"), "session_id").limit(20)
+    return f.all_sessions.join(main, "session_id", "left").orderBy(F.desc_nulls_last("main_ts"), "session_id").limit(20).select("session_id", F.date_format("main_ts", STAMP).alias("main_ts"))
 
 
 def histogram_places(counts: DataFrame, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
