@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, html_text, license_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, embedding_dedup, filter_audit, hard_negatives, html_text, language_id, license_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from .common import table
 
 #: Vocabulary file of the tokenizer; None: the public one of this name, wherever it is installed.
@@ -62,11 +62,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_toxicity, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_html_text, pipeline)}
-ORACLE_SQL = {"op8_url_filter": url_filter.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_embedding_dedup, op4_license_scan, op5_substring_dedup, op6_toxicity, op7_suffix_dedup, op8_url_filter, op9_simhash, op10_html_text, op11_language_id, op12_filter_audit, op13_hard_negatives, pipeline)}
+ORACLE_SQL = {"op8_url_filter": url_filter.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
