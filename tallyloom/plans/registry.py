@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import priced, resolve
 from ..functions.scalars import project_display_name, short_model, strip_bracket
 from ..operators.graph import chain_lengths
-from ..operators.turns import last_of_request, skip_reason, without_repeats_of_main
+from ..operators.scan import carry_last, running_sum
+from ..operators.turns import last_of_request, requests, skip_reason, without_repeats_of_main
 from ..sources.adapters import calendar, raw_turns_from_events
 from .oracles import NOW, SQL, TODAY
 from .payloads import PAYLOADS
@@ -26,8 +27,8 @@ def validated(raw: DataFrame) -> DataFrame:
 
 def facts(raw: DataFrame, today: str = TODAY) -> Facts:
     """Validated, deduplicated and priced turns, and all sessions that the records name."""
-    turns = for_reports(without_repeats_of_main(last_of_request(validated(raw))))
-    return Facts(turns, raw.groupBy("session_id").agg(F.min("project").alias("project")), today)
+    base = for_reports(requests(raw.withColumn("skip_reason", skip_reason(NOW)).drop("is_sidechain")))
+    return Facts(base.where("kept").drop("kept", "named"), raw.groupBy("session_id").agg(F.min("project").alias("project")), today, base)
 
 
 def tree_report(name: str, kept: DataFrame, sessions: DataFrame | None = None, today: str = TODAY, timezone: str | None = None) -> DataFrame:
@@ -68,10 +69,18 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
+#: Turns of a conversation that a task scans as one block.
+BLOCK_TURNS = 256
+
+
+def _block() -> Column:
+    return F.floor(F.col("turn") / BLOCK_TURNS)
+
+
 def last_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    text = F.last(F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("text")), ignorenulls=True).over(before)
-    return conversations(spark, sf_dir).withColumn("t", text).select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.col("t")).alias("user_text"))
+    said = F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("text"))
+    c = carry_last(conversations(spark, sf_dir), ["conv_id"], _block(), "turn", said, "t")
+    return c.select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.col("t")).alias("user_text"))
 
 
 def autonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +111,7 @@ def longest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = conversations(spark, sf_dir).withColumn("grp", F.count_if(F.col("role") != "assistant").over(upto))
+    c = running_sum(conversations(spark, sf_dir), ["conv_id"], _block(), "turn", (F.coalesce(F.col("role"), F.lit("")) != "assistant").cast("int"), "grp")
     return c.where("role = 'assistant'").groupBy("conv_id", "grp").agg(F.count("*").alias("entries"), F.min("turn").alias("first_turn"))
 
 

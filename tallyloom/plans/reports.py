@@ -6,6 +6,7 @@ calendar day, or over a histogram; everything else is grouped with map-side sums
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import RATES, price_age
 from ..functions.scalars import archetype, archetype_text, compact_number, escape_html, format_cost, format_duration, format_number, heat_glyph, project_display_name, short_model, truncate_bytes
+from ..operators.selection import select_places
 
 ORDER = ("ts", "file_id", "line_pos")
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -27,6 +29,7 @@ class Facts:
     turns: DataFrame
     all_sessions: DataFrame
     today: str
+    base: DataFrame | None = None  # what turns come from, with the records that are none: one pass tells turns and sessions
 
     @property
     def ordered(self) -> DataFrame:
@@ -60,11 +63,46 @@ class Facts:
     def starts(self) -> DataFrame:
         return self.sessions.where("start_day is not null").groupBy(F.col("start_day").alias("day")).agg(F.count("*").alias("sessions"))
 
+    @property
+    def hours(self) -> DataFrame:
+        """One row an hour in which a session has turns, and one without an hour for a session's records that are none, in one pass.
+
+        Each with the session's first and last turn and its project, by a window over a session's hours, of which
+        the calendar bounds the number, and not over its turns.
+        """
+        base = self.base
+        if base is None:
+            base = self.turns.withColumn("kept", F.lit(True)).unionByName(self.all_sessions.select("session_id", F.col("project").alias("named"), F.lit(False).alias("kept")), allowMissingColumns=True)
+        own = lambda c: F.when(F.col("kept"), F.col(c))
+        names = ("input_tokens", "output_tokens", "cache_creation", "cache_read", "context", "cost", "cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")
+        per = base.groupBy("session_id", *(own(c).alias(c) for c in ("day", "hour", "dow"))).agg(
+            F.count_if("kept").alias("turns"), F.count_if(F.col("kept") & F.col("is_agent")).alias("agent_turns"), *(F.coalesce(F.sum(own(c)), F.lit(0)).alias(c) for c in names),
+            F.min(own("ts")).alias("first_ts"), F.max(own("ts")).alias("last_ts"), F.min("named").alias("named"),
+        )
+        w = Window.partitionBy("session_id")
+        return per.withColumns({"session_first": F.min("first_ts").over(w), "session_last": F.max("last_ts").over(w), "project": F.min("named").over(w)}).drop("named")
+
     def calendar_days(self, days: int = 0) -> DataFrame:
-        """One row for every day up to today: all since the first session (days 0) or the last `days`; days without turns are 0."""
-        first = self.sessions.agg(F.coalesce(F.min("start_day"), F.lit(self.today)).alias("d")) if days == 0 else self.turns.sparkSession.range(1).select(F.date_format(F.date_sub(F.lit(self.today).cast("date"), days - 1), "yyyy-MM-dd").alias("d"))
-        grid = first.select(F.explode(F.expr(f"case when d <= '{self.today}' then sequence(cast(d as date), date '{self.today}') else array() end")).alias("date")).select(F.date_format("date", "yyyy-MM-dd").alias("day"))
-        return grid.join(self.days, "day", "left").join(self.starts, "day", "left").fillna(0, ["turns", "cost", "output_tokens", "context", "sessions"])
+        """One row for every day up to today: all since the first session (days 0) or the last `days`; days without turns are 0.
+
+        Days are grouped once; a session counts on the day of its first turn. The days in between come from each
+        day and the next one, over one row a calendar day.
+        """
+        today = dt.date.fromisoformat(self.today)
+        ends = [self.today] + ([(today - dt.timedelta(days - 1)).isoformat()] if days else [])
+        sums = ("turns", "cost", "output_tokens", "context")
+        active = self.hours.where("hour is not null").groupBy("day").agg(*(F.sum(c).alias(c) for c in sums), F.count_if(F.col("first_ts") == F.col("session_first")).alias("sessions"))
+        edge = self.turns.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ends))).alias("day"), *(F.lit(0).cast("long").alias(c) for c in (*sums, "sessions")))
+        d = active.unionByName(edge).groupBy("day").agg(*(F.sum(c).alias(c) for c in (*sums, "sessions")))
+        if days:
+            d = d.where(F.col("day").between(ends[1], ends[0]))
+        else:
+            first = F.min(F.when(F.col("sessions") > 0, F.col("day"))).over(Window.partitionBy())
+            d = d.withColumn("first", first).where(F.col("day") <= self.today).where("first is null or first <= '" + self.today + "'")
+        after = F.lead("day").over(Window.orderBy("day"))
+        span = F.sequence(F.col("day").cast("date"), F.coalesce(F.date_sub(after.cast("date"), 1), F.col("day").cast("date")))
+        out = d.select(*sums, "sessions", span.alias("span")).select("*", F.posexplode("span").alias("n", "date"))
+        return out.select(F.date_format("date", "yyyy-MM-dd").alias("day"), *(F.when(F.col("n") == 0, F.col(c)).otherwise(0).alias(c) for c in (*sums, "sessions")))
 
 
 REPORTS: dict[str, Callable[[Facts], DataFrame]] = {}
@@ -354,21 +392,19 @@ def session_order(f: Facts) -> DataFrame:
     return f.all_sessions.join(main, "session_id", "left").orderBy(F.desc_nulls_last("main_ts"), "session_id").limit(20).select("session_id", F.date_format("main_ts", STAMP).alias("main_ts"))
 
 
-def histogram_places(counts: DataFrame, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row: for each name the value at a place (from 0) of the sorted rows, from how often each value stands: the window runs over distinct values."""
-    w = Window.orderBy(value)
-    h = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    at = lambda place: F.min(F.when(F.col("upto") > place(F.col("all")), F.col(value)))
-    return h.agg(*(at(p).alias(name) for name, p in places.items()))
+def places_row(f: Facts | DataFrame, found: dict[str, int | None]) -> DataFrame:
+    """One row of the values that select_places() found."""
+    spark = (f.turns if isinstance(f, Facts) else f).sparkSession
+    return spark.range(1).select(*(F.lit(v).cast("long").alias(name) for name, v in found.items()))
 
 
 @report("a46_session_sizes")
 def session_sizes(f: Facts) -> DataFrame:
     """Distribution of turns a session: places n/2, n*90/100 and n*99/100 of the sorted counts, as whole numbers."""
     counts = f.sessions.groupBy("turns").agg(F.count("*").alias("n"))
-    places = {"low": lambda n: F.lit(0), "median": lambda n: F.floor(n / 2), "p90": lambda n: F.floor(n * 90 / 100), "p99": lambda n: F.floor(n * 99 / 100), "high": lambda n: n - 1}
+    found = select_places(counts, "turns", {"low": lambda n: 0, "median": lambda n: n // 2, "p90": lambda n: n * 90 // 100, "p99": lambda n: n * 99 // 100, "high": lambda n: n - 1}, "n")
     total = counts.agg(F.sum("n").alias("sessions"), F.sum(F.col("n") * F.col("turns")).alias("total"))
-    return histogram_places(counts, "turns", places).crossJoin(total).withColumn("mean", share(F.col("total"), F.col("sessions"), 1.0))  # one row each
+    return places_row(f, found).crossJoin(total).withColumn("mean", share(F.col("total"), F.col("sessions"), 1.0))  # one row each
 
 
 @report("p08_session_kpis")
@@ -449,9 +485,9 @@ def months_rounded(f: Facts) -> DataFrame:
 
 @report("p02_extreme_days")
 def extreme_days(f: Facts) -> DataFrame:
-    counts = f.days.groupBy("cost").agg(F.count("*").alias("n"))
-    limit = histogram_places(counts, "cost", {"limit": lambda n: F.floor(n * 9 / 10)}).crossJoin(counts.agg(F.sum("n").alias("all")))
-    return f.days.crossJoin(limit).where("all >= 3 and cost > 0 and cost >= limit").select("day", usd("cost").alias("cost_usd"))  # limit is one row
+    """Days of the dearest tenth, of three days at least."""
+    found = select_places(f.days, "cost", {"limit": lambda n: n * 9 // 10 if n >= 3 else -1})
+    return f.days.where(F.col("cost") >= F.lit(found["limit"]).cast("long")).where("cost > 0").select("day", usd("cost").alias("cost_usd"))
 
 
 @report("p03_trend_kpis")
@@ -486,10 +522,9 @@ def heatmap_window(f: Facts) -> DataFrame:
 
 def thresholds(days: DataFrame) -> DataFrame:
     """p25, p50, p75 of the turns of active days: place floor(n p), 1 at least and never falling; (1, 2, 3) without any."""
-    counts = days.where("turns > 0").groupBy("turns").agg(F.count("*").alias("n"))
-    p = histogram_places(counts, "turns", {"p25": lambda n: F.floor(n * 0.25), "p50": lambda n: F.floor(n * 0.5), "p75": lambda n: F.floor(n * 0.75)})
-    p = p.select(F.coalesce(F.greatest("p25", F.lit(1)), F.lit(1)).alias("p25"), F.coalesce("p50", F.lit(2)).alias("p50"), F.coalesce("p75", F.lit(3)).alias("p75"))
-    return p.select("p25", F.greatest("p25", "p50").alias("p50"), F.greatest("p25", "p50", "p75").alias("p75"))
+    found = select_places(days.where("turns > 0"), "turns", {"p25": lambda n: n // 4, "p50": lambda n: n // 2, "p75": lambda n: n * 3 // 4})
+    p25, p50, p75 = (found[k] or k_th for k, k_th in (("p25", 1), ("p50", 2), ("p75", 3)))
+    return places_row(days, {"p25": max(p25, 1), "p50": max(p25, p50, 1), "p75": max(p25, p50, p75, 1)})
 
 
 @report("h01_heatmap_thresholds")
@@ -497,9 +532,29 @@ def heatmap_thresholds(f: Facts) -> DataFrame:
     return thresholds(f.calendar_days())
 
 
+def day_number(day: Column) -> Column:
+    return F.datediff(day.cast("date"), F.lit("2000-01-01").cast("date"))
+
+
+def streak_runs(days: Column) -> Column:
+    """Array of (length, last) of the runs of days in a row of an array of distinct day numbers; the calendar bounds it."""
+    kind = "array<struct<length:bigint,last:int>>"
+
+    def add(runs: Column, day: Column) -> Column:
+        tail = F.element_at(runs, -1)
+        more = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["last"] == day - 1)
+        return F.when(more, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct((tail["length"] + 1).alias("length"), day.alias("last"))))).otherwise(F.concat(runs, F.array(F.struct(F.lit(1).cast("long").alias("length"), day.alias("last"))))).cast(kind)
+
+    return F.aggregate(F.sort_array(days), F.array().cast(kind), add)
+
+
+def longest(runs: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(runs, lambda r: r["length"])), F.lit(0))
+
+
 def streaks(active: DataFrame) -> DataFrame:
     """(length, last): runs of days in a row of distinct days (day: yyyy-MM-dd)."""
-    n = F.datediff(F.col("day").cast("date"), F.lit("2000-01-01").cast("date"))
+    n = day_number(F.col("day"))
     d = active.select("day", (n - F.row_number().over(Window.orderBy("day"))).alias("run"))
     return d.groupBy("run").agg(F.count("*").alias("length"), F.max("day").alias("last"))
 
@@ -508,9 +563,11 @@ def streaks(active: DataFrame) -> DataFrame:
 def heatmap_stats(f: Facts, days: int = 0) -> DataFrame:
     """Days, active days, the streak that ends today (0 if today has no turn), the longest streak, and the busiest day (the latest of several)."""
     d = f.calendar_days(days)
-    runs = streaks(d.where("turns > 0")).agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_streak"), F.coalesce(F.max(F.when(F.col("last") == f.today, F.col("length"))), F.lit(0)).alias("current_streak"))
-    stats = d.agg(F.count("*").alias("total_days"), F.count_if(F.col("turns") > 0).alias("active_days"), F.max(F.when(F.col("turns") > 0, F.struct("turns", "day"))).alias("b"))
-    return stats.crossJoin(runs).select("total_days", "active_days", "current_streak", "longest_streak", F.col("b.day").alias("busiest_day"), F.col("b.turns").alias("busiest_turns"))  # one row each
+    active = F.col("turns") > 0
+    stats = d.agg(F.count("*").alias("total_days"), F.count_if(active).alias("active_days"), F.max(F.when(active, F.struct("turns", "day"))).alias("b"), F.collect_set(F.when(active, day_number(F.col("day")))).alias("days"))
+    runs = streak_runs(F.col("days"))
+    today = F.datediff(F.lit(f.today).cast("date"), F.lit("2000-01-01").cast("date"))
+    return stats.select("total_days", "active_days", F.coalesce(F.array_max(F.transform(F.filter(runs, lambda r: r["last"] == today), lambda r: r["length"])), F.lit(0)).alias("current_streak"), longest(runs).alias("longest_streak"), F.col("b.day").alias("busiest_day"), F.col("b.turns").alias("busiest_turns"))
 
 
 @report("h05_heatmap_levels")
@@ -532,9 +589,9 @@ def calendar_grid(f: Facts) -> DataFrame:
 def quantile_levels(f: Facts) -> DataFrame:
     """Levels 0 to 4 of active days by P25, 50, 75 and 95 of the cost's cents at place floor(p (n - 1)), forced to rise."""
     d = f.days.withColumn("cents", F.floor(F.col("cost") / 10_000_000).cast("long")).where("cents > 0")
-    counts = d.groupBy("cents").agg(F.count("*").alias("n"))
-    q = histogram_places(counts, "cents", {f"q{p}": (lambda n, p=p: F.floor((n - 1) * p / 100)) for p in (25, 50, 75, 95)})
-    q = q.select(F.greatest("q25", F.lit(1)).alias("l1"), F.greatest("q50", F.col("q25") + 1).alias("l2"), F.greatest("q75", F.col("q50") + 1).alias("l3"), F.greatest("q95", F.col("q75") + 1).alias("l4"))
+    found = select_places(d, "cents", {f"q{p}": (lambda n, p=p: (n - 1) * p // 100) for p in (25, 50, 75, 95)})
+    q25, q50, q75, q95 = (found[f"q{p}"] or 0 for p in (25, 50, 75, 95))
+    q = places_row(f, {"l1": max(q25, 1), "l2": max(q50, q25 + 1), "l3": max(q75, q50 + 1), "l4": max(q95, q75 + 1)})
     level = F.when(F.col("cents") <= F.col("l1"), 1).when(F.col("cents") <= F.col("l2"), 2).when(F.col("cents") <= F.col("l3"), 3).otherwise(4)
     return d.crossJoin(q).select("day", "cents", level.alias("level"))  # q is one row
 
@@ -561,16 +618,25 @@ YEAR = 2024
 @report("a21_wrapped")
 def wrapped(f: Facts, year: int = YEAR) -> DataFrame:
     """One row: volume, days, averages, peaks, archetype. Mean minutes only over sessions that last; peaks: the last of several."""
-    y = of_year(f, year)
-    s = y.sessions.agg(F.count("*").alias("sessions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("turns", "agent_turns", "output_tokens", "context", "cost")), F.count_distinct("display").alias("projects"), F.sum(F.expr("case when minutes > 0 then (unix_micros(last_ts) - unix_micros(first_ts)) div 1000000 end")).alias("secs"), F.count_if(F.col("minutes") > 0).alias("lasting"))
-    t = y.turns.agg(F.count_distinct("day").alias("active_days"), F.count_if(F.expr(NIGHT)).alias("night"))
-    runs = streaks(y.turns.select("day").distinct()).agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_streak"))
-    peak = y.turns.groupBy("hour").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "hour")).alias("h")).crossJoin(y.turns.groupBy("dow").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "dow")).alias("d")))
+    h = f.hours.where("hour is not null").where(F.year("session_first") == year)
+    own = ("session_id", "project", "session_first", "session_last")
+    cube = h.groupingSets([own, ["day"], ["hour"], ["dow"], []], *own, "day", "hour", "dow").agg(
+        F.when(F.grouping("session_id") == 0, "session").when(F.grouping("day") == 0, "day").when(F.grouping("hour") == 0, "hour").when(F.grouping("dow") == 0, "dow").otherwise("all").alias("kind"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("turns", "agent_turns", "output_tokens", "context", "cost")),
+    )
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    secs = F.expr("(unix_micros(session_last) - unix_micros(session_first)) div 1000000")
+    s = cube.agg(
+        F.count(of("session", F.lit(1))).alias("sessions"), *(F.coalesce(F.sum(of("all", F.col(c))), F.lit(0)).alias(c) for c in ("turns", "agent_turns", "output_tokens", "context", "cost")),
+        F.count_distinct(of("session", F.coalesce(project_display_name(F.col("project")), F.lit("(unknown)")))).alias("projects"), F.sum(of("session", F.when(secs > 0, secs))).alias("secs"), F.count(of("session", F.when(secs > 0, 1))).alias("lasting"),
+        F.count(of("day", F.lit(1))).alias("active_days"), F.coalesce(F.sum(of("hour", F.when(F.expr(NIGHT), F.col("turns")))), F.lit(0)).alias("night"), F.collect_set(of("day", day_number(F.col("day")))).alias("days"),
+        F.max(of("hour", F.struct(F.col("turns").alias("n"), "hour"))).alias("h"), F.max(of("dow", F.struct(F.col("turns").alias("n"), "dow"))).alias("d"),
+    ).withColumn("longest_streak", longest(streak_runs(F.col("days"))))
     today = F.lit(f.today).cast("date")
     all_days = F.when(F.year(today) == year, F.dayofyear(today)).when(F.year(today) > year, F.dayofyear(F.lit(f"{year}-12-31").cast("date"))).otherwise(0)
     minutes = share(F.coalesce("secs", F.lit(0)) / 60.0, F.col("lasting"), 1.0)
     kind = archetype(share(F.col("agent_turns"), F.col("turns"), 1.0), share(F.col("night"), F.col("turns"), 1.0), minutes, share(F.col("turns"), F.col("sessions"), 1.0), F.col("projects"))
-    return s.crossJoin(t).crossJoin(runs).crossJoin(peak).select(  # one row each
+    return s.select(
         F.lit(year).alias("year"), "sessions", "turns", "agent_turns", "output_tokens", F.col("context").alias("input_tokens"), usd("cost").alias("cost_usd"), "projects", "active_days", all_days.cast("long").alias("total_days"), F.greatest(F.lit(0), all_days - F.col("active_days")).cast("long").alias("ghost_days"), "longest_streak",
         minutes.alias("mean_minutes"), share(usd("cost"), F.col("sessions"), 1.0).alias("cost_per_session"), share(F.col("output_tokens"), F.col("context")).alias("output_ratio"), F.coalesce("h.hour", F.lit(0)).alias("peak_hour"),
         F.element_at(F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))), F.coalesce("d.dow", F.lit(0)) + 1).alias("peak_weekday"), kind.alias("archetype"),

@@ -3,18 +3,19 @@
 Layouts under <home>/projects: <project>/<uuid>.jsonl (main), <project>/agent-<id>.jsonl (agent of the session
 that its first line names), <project>/<uuid>/subagents/agent-<id>.jsonl, and the same below
 subagents/workflows/wf_<run>. Files are read as splittable text: a line's place is the start of its split and a
-number that grows within it. Only the carry of the last user text gathers a file, and of that its turns' columns and
-not its raw lines. A missing folder is an empty tree.
+number that grows within it. Nothing gathers a file: the last user text is carried by a scan over its splits. A missing
+folder is an empty tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pricing import priced
 from ..functions.scalars import one_of, truncate_bytes
 from ..operators.graph import chain_lengths
+from ..operators.scan import carry_last
 from ..operators.turns import last_of_request, skip_reason, without_repeats_of_main
 from .shapes import field as _field
 from .shapes import shape
@@ -47,7 +48,7 @@ def _tree(spark: SparkSession, home: str, kind: str, pattern: str, **options) ->
     return spark.read.format(kind).options(pathGlobFilter=pattern, recursiveFileLookup="true", **options).load(root)
 
 
-def _path() -> Column:
+def source_path() -> Column:
     return F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
 
 
@@ -70,7 +71,7 @@ def lines(spark: SparkSession, home: str, pattern: str = "*.jsonl") -> DataFrame
     text = _tree(spark, home, "text", pattern, lineSep="\n")
     if text is None:
         return spark.createDataFrame([], "path string, line_pos struct<block: bigint, n: bigint>, value string")
-    return text.select(_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_pos"), "value")
+    return text.select(source_path().alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_pos"), "value")
 
 
 #: Up to so many agent files without a session folder are broadcast to the lines; more are joined.
@@ -87,8 +88,16 @@ def _with_session(df: DataFrame, named: DataFrame) -> DataFrame:
     """df with session_id: the main file's stem, an agent's folder, or what its first line names, or its own stem."""
     if named.limit(LOOSE + 1).count() <= LOOSE:
         named = F.broadcast(named)
-    session = F.when(F.col("is_agent"), F.coalesce("dir", "named", "stem")).otherwise(F.col("stem"))
-    return df.join(named, "path", "left").withColumn("session_id", session).drop("named", "dir")
+    return df.join(named, "path", "left").withColumn("session_id", _session()).drop("named", "dir")
+
+
+def _session() -> Column:
+    return F.when(F.col("is_agent"), F.coalesce("dir", "named", "stem")).otherwise(F.col("stem"))
+
+
+def in_sessions(files: DataFrame) -> DataFrame:
+    """Rows of whole transcript files (path, named: what the first line names), with their file's columns."""
+    return _laid_out(files).withColumn("session_id", _session()).drop("dir")
 
 
 def files(spark: SparkSession, home: str) -> DataFrame:
@@ -108,7 +117,12 @@ def entries(spark: SparkSession, home: str) -> DataFrame:
     """
     # A line's file columns come from its path; only agents without a session folder are joined, with their few names.
     raw = lines(spark, home)
-    e = _with_session(_laid_out(raw), _first_names(raw)).withColumn("v", F.try_parse_json("value")).withColumn("entry_type", _field("type"))
+    return parsed(_with_session(_laid_out(raw), _first_names(raw)))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines (value) with v, entry_type, a and status."""
+    e = lines.withColumn("v", F.try_parse_json("value")).withColumn("entry_type", _field("type"))
     e = e.withColumn("a", F.when(F.col("entry_type") == "assistant", F.from_json("value", ASSISTANT, PERMISSIVE)))
     use = F.col("a.message.usage")
     negative = sum((F.coalesce((use[n] < 0).cast("int"), F.lit(0)) for n in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")), F.lit(0)) > 0
@@ -146,12 +160,14 @@ TIERS, SPEEDS = ("standard", "priority", "batch"), ("standard", "fast")
 
 
 def records(entries: DataFrame, now: str) -> DataFrame:
-    """Assistant entries as turn rows with skip_reason (null: a turn), before any dedup.
+    """Assistant entries as turn rows with skip_reason (null: a turn), before any dedup, and the last user text before each in its file."""
+    rows = carry_last(record_rows(entries, now), ["path"], F.col("line_pos.block"), "line_pos", F.col("said"), "user_text")
+    return rows.where("entry_type = 'assistant'").drop("said", "entry_type")
 
-    Columns are taken before the window that carries the last user text on, so a file's raw lines are not sorted.
-    """
+
+def record_rows(entries: DataFrame, now: str) -> DataFrame:
+    """Assistant and user entries as rows of a turn's columns; said: a user entry's text."""
     use = F.col("a.message.usage")
-    before = Window.partitionBy("path").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, -1)
     blocks = F.col("a.message.content")
     tools = F.filter(blocks, lambda b: b["type"] == "tool_use")
     known = lambda t: F.when(t.isin("text", "tool_use", "tool_result", "thinking"), t).otherwise("other")
@@ -179,7 +195,6 @@ def records(entries: DataFrame, now: str) -> DataFrame:
         F.col("a.gitBranch").alias("git_branch"), F.col("a.attributionPlugin").alias("plugin"), F.col("a.attributionSkill").alias("skill"),
         F.when(F.col("entry_type") == "user", truncate_bytes(user_text(), 503)).alias("said"),
     )
-    rows = rows.withColumn("user_text", F.last("said", ignorenulls=True).over(before)).where("entry_type = 'assistant'").drop("said", "entry_type")
     return rows.withColumn("skip_reason", skip_reason(now))
 
 
@@ -206,7 +221,7 @@ def agent_meta(spark: SparkSession, home: str) -> DataFrame:
     text = _tree(spark, home, "text", "*.meta.json", wholetext="true")
     if text is None:
         return spark.createDataFrame([], "session_id string, stem string, agent_type string, description string")
-    path = F.regexp_replace(_path(), r"\.meta\.json$", ".jsonl")
+    path = F.regexp_replace(source_path(), r"\.meta\.json$", ".jsonl")
     m = _laid_out(text.select(path.alias("path"), F.from_json("value", META, PERMISSIVE).alias("m"))).where("is_agent and dir is not null and m is not null and m._corrupt is null")
     first = m.groupBy(F.col("dir").alias("session_id"), "stem").agg(F.min_by("m", F.struct(F.col("run_id").isNotNull(), "path")).alias("m"))
     return first.select("session_id", "stem", F.col("m.agentType").alias("agent_type"), F.col("m.description").alias("description"))
@@ -426,7 +441,7 @@ def workflow_runs(spark: SparkSession, home: str, subagents: DataFrame) -> DataF
         snap = spark.createDataFrame([], "session_id string, run_id string").select("*", *(F.lit(None).cast(t).alias(n) for n, (_, t) in said.items()))
     else:
         place = r"/projects/[^/]+/([^/]+)/workflows/(wf_[^/]+)\.json$"
-        snap = text.select(F.regexp_extract(_path(), place, 1).alias("session_id"), F.regexp_extract(_path(), place, 2).alias("run_id"), F.try_parse_json("value").alias("v")).where(F.rlike("session_id", F.lit(UUID)))
+        snap = text.select(F.regexp_extract(source_path(), place, 1).alias("session_id"), F.regexp_extract(source_path(), place, 2).alias("run_id"), F.try_parse_json("value").alias("v")).where(F.rlike("session_id", F.lit(UUID)))
         snap = snap.select("session_id", "run_id", *(_field(p, t).alias(n) for n, (p, t) in said.items()))
     out = snap.join(per, ["session_id", "run_id"], "full").fillna(0, ["agents", "turns", "output_tokens", "tokens", "cost"])
     journal = journals(spark, home).select("session_id", "run_id", F.size("entries").alias("journal_entries"))
