@@ -75,15 +75,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], l
 
 
 def _counted(batches):
-    """(lang, bucket, n): n-grams of all words of a task's texts."""
-    held: dict[str, np.ndarray] = {}
+    """(lang, bucket, n): n-grams of all words of a task's texts; bucket -1: how many single letters and edges."""
+    held: dict[str, np.ndarray] = {}  # the last place is that of bucket -1
 
     def flushed():
         for lang, n in held.items():
             at = np.flatnonzero(n)
             for k in range(0, len(at), 50_000):
                 some = at[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(np.where(some == BUCKETS, -1, some).astype(np.int32)), pa.array(n[some])], names=["lang", "bucket", "n"])
         held.clear()
 
     for b in slices(batches, 1):
@@ -91,12 +91,13 @@ def _counted(batches):
             _, word, names = words_of(b.filter(pc.equal(b.column(0), lang)).column(1))
             if lang not in held and len(held) >= HELD:
                 yield from flushed()
-            n, times = held.setdefault(lang, np.zeros(BUCKETS, np.int64)), np.bincount(word, minlength=len(names))
+            n, times = held.setdefault(lang, np.zeros(BUCKETS + 1, np.int64)), np.bincount(word, minlength=len(names))
             for at, to in stretches(names):
                 if times[at:to].any():
                     of, _, bucket, valid = grams(names[at:to].to_pylist())
                     for g, ok in zip(bucket, valid, strict=True):
-                        n += np.bincount(g[ok], times[at:to][of[ok]], BUCKETS).astype(np.int64)
+                        n[:BUCKETS] += np.bincount(g[ok], times[at:to][of[ok]], BUCKETS).astype(np.int64)
+                    n[BUCKETS] += int(times[at:to][of[valid[0]]].sum())
     yield from flushed()
 
 
@@ -125,16 +126,15 @@ class Model:
 
 
 def fit(docs: DataFrame, usable: Column) -> Model:
-    """A model of the usable rows' lang and text, all of them. Counts are added up on the executors; at most BUCKETS rows a language reach the driver."""
+    """A model of the usable rows' lang and text, all of them. Counts are added up on the executors; at most BUCKETS + 1 rows a language reach the driver."""
     rows = bounded(docs).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     summed = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(pc.unique(summed["lang"]).to_pylist())
-    counts = np.zeros((BUCKETS, len(langs)), np.float32)
+    counts = np.zeros((BUCKETS + 1, len(langs)), np.float32)
     if langs:
         at = np.asarray(pc.index_in(summed["lang"].combine_chunks(), pa.array(langs)))
         counts[np.asarray(summed["bucket"]), at] = np.asarray(summed["n"])
-    # Edges and letters: what single characters add up to. Buckets of order 1 are told from the rest by counting anew.
-    return Model(langs, counts, counts.sum(axis=0, dtype=np.float64).astype(np.float32) / ORDER)
+    return Model(langs, counts[:-1], counts[-1])
 
 
 def proportions(row: np.ndarray, times: np.ndarray, like: np.ndarray, rows: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
