@@ -187,10 +187,15 @@ def _term_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c[0], b.schema.field(0).type), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["item", "term", "tf", "size"])
 
 
+def keyed(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text): the items, each with a key of its id and text, as items may share an id."""
+    rows = benchmark.where("item_id is not null and text is not null")
+    return rows.select(F.sha2(F.concat_ws("\u0000", F.col("item_id").cast("string"), "text"), 256).alias("item"), "item_id", "text")
+
+
 def index_rows(benchmark: DataFrame) -> DataFrame:
     """(item, term, size, weight): BM25 of each item's terms as a share of the item's score against itself, over all items."""
-    items = benchmark.select(F.col("item_id").alias("item"), "text").where("item_id is not null and text is not null")
-    tf = materialize(items.mapInArrow(_term_rows, f"item {benchmark.schema['item_id'].dataType.simpleString()}, term string, tf long, size long").groupBy("item", "term").agg(F.max("tf").alias("tf"), F.max("size").alias("size")))
+    tf = materialize(keyed(benchmark).select("item", "text").mapInArrow(_term_rows, "item string, term string, tf long, size long").groupBy("item", "term").agg(F.max("tf").alias("tf"), F.max("size").alias("size")))
     n, mean = tf.groupBy("item").agg(F.max("size").alias("size")).agg(F.count("*"), F.avg("size")).first()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -202,13 +207,13 @@ def shards(benchmark: DataFrame):
     """Lists of index shards, one for each length class; all shards of a list have at most about SHARD_POSTINGS postings and are broadcast together."""
     rows = materialize(index_rows(benchmark))
     parts = max(1, -(-rows.count() // SHARD_POSTINGS))
-    texts = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").alias("item")).agg(F.max("text").alias("text"))
+    texts = keyed(benchmark).groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("text").alias("text"))
     for k in range(parts):
         own = F.pmod(F.xxhash64("item"), F.lit(parts)) == k
         got, text = rows.where(own).toArrow().sort_by([("item", "ascending"), ("term", "ascending")]), texts.where(own).toArrow()
         if not got.num_rows:
             continue
-        text = dict(zip(text["item"].to_pylist(), text["text"].to_pylist(), strict=True))
+        name, text = (dict(zip(text["item"].to_pylist(), text[c].to_pylist(), strict=True)) for c in ("item_id", "text"))
         term = got["term"].combine_chunks().dictionary_encode()
         index, codes = {t: k for k, t in enumerate(term.dictionary.to_pylist())}, np.asarray(term.indices).astype(np.int64)
         item = got["item"].combine_chunks().dictionary_encode()
@@ -219,8 +224,8 @@ def shards(benchmark: DataFrame):
         for width in np.unique(stride).tolist():
             at = stride == width
             some, place = np.unique(item[at], return_inverse=True)
-            names = [ids[i] for i in some.tolist()]
-            group.append(Shard(index, codes[at], place, weight[at], names, [text[i] for i in names], width))
+            keys = [ids[i] for i in some.tolist()]
+            group.append(Shard(index, codes[at], place, weight[at], [name[i] for i in keys], [text[i] for i in keys], width))
         yield group
 
 
@@ -250,8 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
     (a short answer with the words before it). One row a document and item, of its best passage (the first
     among equals; word: where it begins).
 
-    Null or empty texts hold nothing; null items are left out, and of items that share an id the largest
-    text counts; repeated rows give repeated rows; a null doc_id stays null. Only doc_id, text and item_id,
+    Null or empty texts hold nothing; null items are left out; items that share an id are searched each, and
+    a document has one row of the best of them; repeated rows give repeated rows; a null doc_id stays null. Only doc_id, text and item_id,
     text are read. The index is broadcast in lists of shards of at most about SHARD_POSTINGS postings; a
     larger benchmark takes one pass over the documents for each list.
     """

@@ -89,7 +89,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     and each pair of blocks is one task's tile product. A tile returns link counts and a spanning star of
     each of its groups, never the pairs. Vectors that are null, empty, zero, or hold null or non-finite
     components, link with nothing; vectors of different lengths do not link. Repeated rows count as vectors
-    of their own; a row with a null vec_id is returned and counts as a link, but names no component.
+    of their own, those that share a vec_id too; a row with a null vec_id is returned and counts as a link, but
+    names no component.
     """
     kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # as exact as given
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
@@ -97,8 +98,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     # +0.0: one zero for both signs.
     src = src.withColumn("embedding", F.when(fine, F.transform("embedding", lambda x: x + F.lit(0.0)).cast(f"array<{kind}>")))
     rep = src.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    # A key of their own, as classes of null ids have no smallest one; classes with an id keep it.
-    rep = materialize(rep.withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("embedding")) - 1)))
+    # A class's key is its row's number in the written table: ids may be null or stand for several vectors.
+    rep = materialize(rep.withColumn("rep", F.monotonically_increasing_id()))
     lengths = materialize(rep.groupBy(F.size("embedding").alias("dim")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("g")))
     dealt = rep.withColumn("dim", F.size("embedding"))
     few = lengths.limit(LENGTHS + 1).collect()
@@ -111,7 +112,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = materialize(tiles.groupBy("own", "other", "dim").applyInArrow(_tiles(threshold), "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    # Classes without an id (negative keys of their own) may be a component's smallest node: take the smallest real id.
+    # A component's smallest key need not be that of its smallest id.
     group = rep.join(comp.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     low = group.groupBy("component").agg(F.min("low").alias("component_id"))
     done = group.join(low, "component").join(links, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")

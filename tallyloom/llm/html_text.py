@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where markup may begin; what follows is looked for once, from there on.
+OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 #: HTML's white space; a no-break space counts too once references are decoded.
 SPACE = re.compile(r"\s+")
@@ -52,70 +55,170 @@ def is_aside(tag: str, names: str, inside: bool) -> bool:
     return False
 
 
+class Scanner:
+    """Ends of markup in a page, in time linear in its length however malformed: what was found once is kept."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none: dict[str, int] = {}  # of what there is none from a place on
+        self.stop = (0, -1)  # no stop character lies between the two
+        self.closed: dict[int, int] = {}
+        self.dead: set[int] = set()  # places behind a quoted value from which no tag ends
+
+    def find(self, what: str, at: int) -> int:
+        """Place of the next `what`; -1, without another search, behind a place that had none."""
+        if at >= self.none.get(what, len(self.page)):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none[what] = at
+        return found
+
+    def next_stop(self, at: int) -> int:
+        if not self.stop[0] <= at <= self.stop[1]:
+            m = STOP.search(self.page, at)
+            self.stop = at, m.start() if m else len(self.page)
+        return self.stop[1]
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, not within quotes; -1 if none does."""
+        page, passed = self.page, []
+        while at not in self.dead:
+            stop = self.next_stop(at)
+            if stop == len(page):
+                break
+            if page[stop] == ">":
+                return stop
+            if stop not in self.closed:
+                self.closed[stop] = self.find(page[stop], stop + 1)
+            if self.closed[stop] < 0:
+                break
+            at = self.closed[stop] + 1
+            passed.append(at)
+        self.dead.update(passed)
+        return -1
+
+
+def markup(page: str):
+    """(start, end, CDATA text, slash, name, attributes) of each piece of markup, each looked for behind the one that `send` names; name is None but for tags."""
+    scan, at = Scanner(page), 0
+    while m := OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        piece = None
+        if m[1]:
+            end = scan.find("-->", at)
+            piece = start, len(page) if end < 0 else end + 3, "", "", None, ""
+        elif m[5]:
+            end = scan.tag_end(at)
+            if end >= 0:
+                piece = start, end + 1, "", m[4], m[5].lower(), page[at:end]
+        else:
+            end = scan.find("]]>", at) if m[2] else -1
+            if end >= 0:
+                piece = start, end + 3, page[at:end], "", None, ""
+            elif (end := scan.find(">", start + 2)) >= 0:
+                piece = start, end + 1, "", "", None, ""
+        if piece is None:
+            at = start + 1
+        else:
+            at = yield piece
+            at = piece[1] if at is None else at
+
+
+class Stack:
+    """Open elements that may change the kind of text, with counts, so that no question walks the stack."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, str]] = []
+        self.names: Counter = Counter()
+        self.kinds: Counter = Counter()
+
+    def push(self, name: str, kind: str) -> None:
+        self.items.append((name, kind))
+        self.names[name] += 1
+        self.kinds[kind] += 1
+
+    def pop(self) -> str:
+        name, kind = self.items.pop()
+        self.names[name] -= 1
+        self.kinds[kind] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        """Elements up to the innermost of a name, if one is open."""
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
+    def kind(self) -> str:
+        return "aside" if self.kinds["aside"] else "body" if self.kinds["body"] else "open"
+
+
+#: Elements that are no part of the stack unless their attributes say what they hold.
+LIGHT = frozenset("p li b i a em strong td tr".split())
+
+
 def lines_of(page: str) -> list[tuple[str, str, int]]:
     """(text, kind, length of its text that is not in links) of each line; kind: body, aside or open."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []  # open elements that change the kind
+    stack = Stack()
     parts: list[str] = []
     linked = links = 0
-    at = 0
-
-    def kind() -> str:
-        kinds = [k for _, k in stack]
-        return "aside" if "aside" in kinds else "body" if "body" in kinds else "open"
 
     def end_line() -> None:
         nonlocal parts, linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append((text, kind(), max(0, len(text) - linked)))
+            out.append((text, stack.kind(), max(0, len(text) - linked)))
         parts, linked = [], 0
 
-    size = len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+    def add(text: str) -> None:
+        nonlocal linked
         if text:
             parts.append(text)
             linked += len(text) * (links > 0)
-        if not m:
+
+    pieces, at, back = markup(page), 0, None
+    while True:
+        try:
+            start, end, cdata, slash, name, given = pieces.send(back)
+        except StopIteration:
             break
-        at = m.end()
-        if m[1]:
-            parts.append(html.escape(m[1], False))
-        if not m[3]:
+        back = None
+        add(page[at:start])
+        at = end
+        if cdata:
+            parts.append(html.escape(cdata, False))
+        if not name:
             continue
-        name = m[3].lower()
-        if not m[2] and name in RAW:
+        if not slash and name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            at = back = close.end() if close else len(page)
             continue
         if name in BLOCK:
             end_line()
-            if not m[2] and name != "br" and stack and stack[-1][0] == "p":
+            if not slash and name != "br" and stack.items and stack.items[-1][0] == "p":
                 stack.pop()  # a block ends a paragraph that was left open
         if name == "a":
-            links = 0 if m[2] else 1
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            links = 0 if slash else 1
+        if slash:
+            stack.close(name)
             continue
-        if name in VOID or name in ("p", "li", "b", "i", "a", "em", "strong", "td", "tr") and not m[4]:
+        if name in VOID or name in LIGHT and not given:
             continue
-        inside = any(k == "body" for _, k in stack)
+        inside = stack.kinds["body"] > 0
         # An article's own heading is part of it.
         what = "aside" if name in ASIDE and not (name == "header" and inside) else "body" if name in BODY else ""
-        if m[4]:
-            found = {(a[0] or a[4]).lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[4])}
+        if given:
+            found = {(a[0] or a[4]).lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(given)}
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
             if hidden or found.get("role", "").lower() in ASIDE_ROLE or is_aside(name, found.get("class", "") + " " + found.get("id", ""), inside):
                 what = "aside"
             elif found.get("role") == "main":
                 what = "body"
-        if name not in ("p", "li", "b", "i", "a", "em", "strong", "td", "tr") or what:
-            stack.append((name, what))
+        if name not in LIGHT or what:
+            stack.push(name, what)
+    add(page[at:])
     end_line()
     return out
 

@@ -3,6 +3,7 @@
 import json
 import random
 import textwrap
+import time
 import zlib
 from hashlib import sha256
 
@@ -482,3 +483,27 @@ def test_long_texts_in_stretches(monkeypatch, spark):
     whole = suffix_dedup.anchors(data, at[:-1], at[1:], 200)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 5_000)
     assert suffix_dedup._anchors_of(data, at, 200).tolist() == whole.tolist()
+
+
+def test_items_and_vectors_that_share_an_id(spark):
+    """Two benchmark items of one id are searched each; two vectors of one id are linked each by itself."""
+    one, two = ("what is the name of the tall mountain that stands behind the old village church in the far north", "how many grey geese fly over the long river when the first cold wind of autumn comes down")
+    pad = " ".join(f"filler{k}" for k in range(60))
+    items = spark.createDataFrame([(1, one), (1, two), (2, "why does the quick red fox run from the slow brown hound every single morning of the week")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"{pad} {one} {pad}"), (11, f"{pad} {two} {pad}"), (12, f"{one} {pad} {two}"), (13, pad)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(10, 1), (11, 1), (12, 1)]
+    x, y = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    rows = [(1, x), (1, y), (2, [1.0, 0.02, 0.0, 0.1]), (3, [0.0, 1.0, 0.12, 0.0]), (-5, [0.0, 0.0, 1.0, 1.0]), (None, [0.0, 0.0, 1.0, 1.1])]
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(-5, 1, -5), (0, 1, -5), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<a ", "<div>", "<![CDATA[", "<!x", "<a b='", '<p class="a'])
+def test_malformed_pages_take_linear_time(piece):
+    small, large = ("".join([piece] * (size // len(piece))) for size in (100_000, 1_000_000))
+    took = []
+    for page in (small, small, large):
+        began = time.process_time()
+        html_text.lines_of(page)
+        took.append(time.process_time() - began)
+    assert took[2] < 40 * took[1] + 0.2
