@@ -7,6 +7,7 @@ import tomllib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefixes import longest_prefix
 from .scalars import strip_bracket
 
 # Thousandths of a dollar for a million tokens (nano-dollars a token):
@@ -58,9 +59,31 @@ def price_of(model: Column, overrides: dict[str, tuple] | None = None) -> Column
     return found.otherwise(row(FALLBACK, "fallback", own))
 
 
+#: Up to so many override prices are conditions of the plan; more are joined.
+CHAIN = 64
+
+
+def _joined(df: DataFrame, overrides: dict[str, tuple]) -> DataFrame:
+    """df with the columns of price_of(), by a join of its models with the override table; the built-in prices stay conditions."""
+    spark = df.sparkSession
+    table = spark.createDataFrame([(k, *v) for k, v in overrides.items()], "o_key string, " + ", ".join(f"o_{r} long" for r in RATES))
+    own = longest_prefix(df, strip_bracket(F.col("model")), table, "o_key").withColumn("p", price_of(F.col("model")))
+    source = F.when(F.col("o_key") == strip_bracket(F.col("model")), "override exact").otherwise("override prefix")
+    found = F.col("o_key").isNotNull()
+    price = [F.coalesce("o_key", "p.price_key").alias("price_key"), F.when(found, source).otherwise(F.col("p.source")).alias("source"), *(F.when(found, F.col(f"o_{r}")).otherwise(F.col(f"p.{r}")).alias(r) for r in RATES)]
+    return own.select(*df.columns, *price)
+
+
+def with_prices(df: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
+    """df (model) with price_key, source and rates."""
+    if overrides and len(overrides) > CHAIN:
+        return _joined(df, overrides)
+    return df.withColumn("p", price_of(F.col("model"), overrides)).select(*df.columns, "p.*")
+
+
 def resolve(models: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
     """(model, price_key, source, rates) of each distinct model."""
-    return models.select("model").distinct().withColumn("p", price_of(F.col("model"), overrides)).select("model", "p.*")
+    return with_prices(models.select("model").distinct(), overrides)
 
 
 def priced(turns: DataFrame, overrides: dict[str, tuple] | None = None) -> DataFrame:
@@ -68,7 +91,7 @@ def priced(turns: DataFrame, overrides: dict[str, tuple] | None = None) -> DataF
 
     With a split by time to live only the split counts; without one all cache creation is at the 5 minute rate.
     """
-    t = turns.withColumn("p", price_of(F.col("model"), overrides)).select(*turns.columns, "p.*")
+    t = with_prices(turns, overrides)
     split = F.col("has_ttl")
     t = t.withColumns({
         "cost_input": F.col("input_tokens") * F.col("r_input"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.pricing import FALLBACK, PRICES
 from ..functions.scalars import ARCHETYPES
 
 TODAY, NOW = "2024-01-28", "2024-12-31 00:00:00"
-_VALUES = ", ".join(f"('{k}', {a}, {b}, {c}, {d}, {e})" for k, a, b, c, d, e in PRICES)
+# Prices in nano-dollars a token (input, 5 minutes, 1 hour, read, output), and the model of unknown ones.
+_VALUES = """('claude-opus-4-8', 5000, 6250, 10000, 500, 25000), ('claude-opus-4-7', 5000, 6250, 10000, 500, 25000), ('claude-opus-4-6', 5000, 6250, 10000, 500, 25000), ('claude-opus-4-5', 5000, 6250, 10000, 500, 25000),
+  ('claude-opus-4-1', 15000, 18750, 30000, 1500, 75000), ('claude-opus-4', 15000, 18750, 30000, 1500, 75000), ('claude-sonnet-4-6', 3000, 3750, 6000, 300, 15000), ('claude-sonnet-4-5', 3000, 3750, 6000, 300, 15000),
+  ('claude-sonnet-4', 3000, 3750, 6000, 300, 15000), ('claude-haiku-4-5', 1000, 1250, 2000, 100, 5000), ('claude-haiku-3-5', 800, 1000, 1600, 80, 4000), ('claude-3-haiku', 250, 300, 500, 30, 1250)"""
+FALLBACK = "claude-opus-4-8"
 BASE = f"""with raw as (
   select 's' || lpad(user_id::varchar, 4, '0') || '-' || strftime(ts, '%Y%m%d') as session_id, '-Users-dev-proj' || (user_id % 12) as project,
     case when event_id % 41 = 0 then '<synthetic>' else case event_type when 'purchase' then 'claude-opus-4-6' when 'signup' then 'claude-sonnet-4-5-20250929' when 'view' then 'claude-haiku-4-5' when 'click' then 'claude-opus-4-8[1m]' else 'claude-future-x-1' end end as model,
@@ -122,7 +125,7 @@ SQL = {
     "a27_plugin_usage": f"select session_id, plugin, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where not is_agent and plugin = 'toolkit' group by 1, 2",
     "a28_skill_usage": f"select session_id, skill, count(*) as turns, sum(output_tokens)::bigint as output_tokens, {USD} from turns where not is_agent and skill = 'review' group by 1, 2",
     "t05_latest_session": "select session_id, turns from sess where last_ts = (select max(last_ts) from sess) order by 1 limit 1",
-    "t06_session_order": "select session_id, strftime(main_ts, '%Y-%m-%d %H:%M:%S.%f') as main_ts from (select session_id, min(ts) filter (not is_agent) as main_ts from all_sessions left join turns using (session_id) group by 1) order by main_ts desc nulls last, session_id limit 20",
+    "t06_session_order": "select session_id, strftime(main_ts, '%Y-%m-%d %H:%M:%S.%f') as main_ts from (select session_id, min(ts) filter (not is_agent) as main_ts from all_sessions left join turns using (session_id) group by 1) order by main_ts desc nulls last, session_id",
     "a46_session_sizes": f"select {_nth('sess', 'turns', '0')} as low, {_nth('sess', 'turns', 'n // 2')} as median, {_nth('sess', 'turns', 'n * 90 // 100')} as p90, {_nth('sess', 'turns', 'n * 99 // 100')} as p99, max(turns) as high, count(*) as sessions, sum(turns)::bigint as total, sum(turns)::bigint / count(*) as mean from sess",
     "p08_session_kpis": f"select count(*) as sessions, {USD}, sum(cost)::bigint / 1e9 / count(*) as cost_per_session, sum(secs)::bigint / 60 / count(*) as mean_minutes from sess",
     "p17_session_bubbles": "select session_id, turns, cost / 1e9 as cost_usd, 3 + 20.0::double * output_tokens / (select max(output_tokens) from sess) as radius, cost / 1e9 / turns as cost_per_turn from sess where turns > 0",
@@ -155,17 +158,19 @@ SQL = {
     "t03_wrapped_top_projects": f"select display, {USD} from y group by 1 order by sum(cost) desc, display limit 5",
     "t03_wrapped_top_tools": "select tool, count(*) as uses from uses where session_id in (select session_id from y) group by 1 order by 2 desc, 1 limit 5",
     "t04_wrapped_extremes": "(select 'dearest' as kind, session_id, display, cost / 1e9 as value, cost / 1e9 / greatest((select sum(cost)::bigint from y) / 1e9, 0.01) * 100 as share_or_hours from y order by cost desc, session_id limit 1) union all (select 'longest', session_id, display, minutes, minutes / 60 from y order by minutes desc, session_id limit 1)",
-    "x25_archetypes": f"select agent, night, minutes, per_session, projects, archetype, label, description from (select *, {_ARCHETYPE} as archetype from (values (0.6::double, 0.1::double, 45.0::double, 20.0::double, 3::int), (0.3, 0.6, 45.0, 20.0, 3), (0.3, 0.1, 150.0, 20.0, 3), (0.45, 0.1, 90.0, 20.0, 3), (0.1, 0.1, 15.0, 15.0, 3), (0.1, 0.1, 45.0, 8.0, 15), (0.1, 0.1, 45.0, 5.0, 3)) v(agent, night, minutes, per_session, projects)) join (values "
+    "x25_archetypes": f"""select month, strftime((month || '-01')::date, '%b') as short, archetype, label, description from (select *, {_ARCHETYPE} as archetype from (select month, sum(agent_turns) / sum(turns) as agent, sum(night) / sum(turns) as night, coalesce(sum(secs) filter (secs > 0) / 60 / nullif(count(*) filter (secs > 0), 0), 0) as minutes, sum(turns) / count(*) as per_session, count(distinct display) as projects
+      from (select strftime(first_ts, '%Y-%m') as month, s.*, (select count(*) from turns t where t.session_id = s.session_id and hour in (22, 23, 0, 1, 2, 3, 4, 5)) as night from sess s where turns > 0) group by month)) join (values """
     + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in ARCHETYPES.items())
     + ") n(archetype, label, description) using (archetype)",
     "p16_model_families": "select distinct split_part(lower(short), '-', 1) as family from turns",
     "x02_model_names": "select distinct model, bare_model, short from turns",
     "p13_chart_orders": " union all ".join(
-        f"select '{chart}' as chart, (row_number() over (order by v desc, name))::int as place, name from ({sql}) qualify place <= {n}" for chart, sql, n in (("models", "select model as name, count(*) as v from turns group by 1", 100), ("tools", "select tool as name, count(*) as v from uses group by 1", 10), ("projects", "select display as name, sum(cost) as v from turns group by 1", 5))
+        f"select '{chart}' as chart, (row_number() over (order by v desc, name))::int as place, name from ({sql}) qualify place <= {n}" for chart, sql, n in (("models", "select model as name, count(*) as v from turns group by 1", 1000000), ("tools", "select tool as name, count(*) as v from uses group by 1", 10), ("projects", "select display as name, sum(cost) as v from turns group by 1", 5))
     ),
     "x03_figures_as_text": f"select session_id, format('{{:,}}', context) as context, {_COST} as cost, {_DURATION} as duration, display as project, case when sess.context >= 1000000 then format('{{:.2f}}M', sess.context / 1e6) when sess.context >= 10000 then format('{{:.1f}}K', sess.context / 1e3) else format('{{:,}}', sess.context) end as compact, display as html from sess",
-    "x16_price_age": "select (date '2026-07-01' - date '2026-03-21')::int as days, true as stale",
-    "s24_price_table": "select distinct price_key, r_input, r_5m, r_1h, r_read, r_output from turns",
+    "x16_price_age": "select day, (day::date - date '2026-03-21')::int as days, day::date - date '2026-03-21' > 90 as stale from days",
+    "s24_price_table": "select price_key, r_input, r_5m, r_1h, r_read, r_output, coalesce(turns, 0) as turns from prices left join (select price_key, count(*) as turns from turns group by 1) using (price_key)",
+    "t08_table_sort": f"select project, (row_number() over (order by display desc, project))::int as by_name, (row_number() over (order by cost_usd, project))::int as by_cost from ({_PROJECTS})",
     "j01_price_resolution": "select model, price_key, source, r_input, r_5m, r_1h, r_read, r_output from resolved join prices using (price_key)",
     "j03_dedup_counts": "select project, count(*) as records, (select count(*) from once o where o.project = raw.project) as requests, (select count(*) from kept k where k.project = raw.project) as turns from raw group by 1",
     "f01_skip_reasons": "select case when is_sidechain and not is_agent then 'sidechain' when model = '<synthetic>' then 'synthetic' when input_tokens + output_tokens + cache_creation + cache_read = 0 then 'invalid' else 'turn' end as reason, count(*) as records from raw group by 1",
@@ -174,6 +179,7 @@ SQL = {
 SQL["k08_dashboard_sessions"] = f"select * exclude (id8, cache_hit_rate), case when context > 0 then cache_hit_rate end as cache_hit_rate from ({SQL['a14_session_summaries']})"
 SQL = {name: BASE + sql for name, sql in SQL.items()}
 
+_LONGEST = "select conv_id, max(length) as longest from (select conv_id, count(*) as length from (select conv_id, turn - row_number() over (partition by conv_id order by turn) as run from (select distinct conv_id, turn from conversations)) group by conv_id, run) group by 1"
 # Over conversations: an entry is a row, its node the turn's number, its parent the number before.
 SQL |= {
     "j13_last_user_text": "select conv_id, turn, role, case when role = 'assistant' then (select arg_max(text, turn) from conversations u where u.conv_id = c.conv_id and u.turn < c.turn and u.role = 'user' and u.text <> '') end as user_text from conversations c",
@@ -181,5 +187,11 @@ SQL |= {
     "a47_entry_types": "select role as entry_type, count(*) as entries, count(*) * 1e2 / (select count(*) from conversations) as percent from conversations group by 1",
     "a45_graph_stats": "select conv_id, count(*) as nodes, count(*) filter (turn = 0) as roots, count(*) filter (turn > 0 and not exists (select 1 from conversations p where p.conv_id = n.conv_id and p.turn = n.turn - 1)) as orphans from (select distinct conv_id, turn from conversations) n group by 1",
     "g01_longest_chain": "select conv_id, max(length) as longest from (select conv_id, count(*) as length from (select conv_id, turn - row_number() over (partition by conv_id order by turn) as run from (select distinct conv_id, turn from conversations)) group by conv_id, run) group by 1",
+    "a46_chain_buckets": f"select bucket, (select count(*) from ({_LONGEST}) where longest >= low and (high is null or longest <= high)) as n from (values ('0..1', 0::bigint, 1::bigint), ('2..10', 2, 10), ('11..50', 11, 50), ('51..200', 51, 200), ('201..1000', 201, 1000), ('>1000', 1001, null)) b(bucket, low, high)",
+    "a46_root_histogram": "select roots, count(*) as sessions from (select conv_id, count(distinct turn) filter (turn = 0) as roots from conversations group by 1) group by 1",
+    "a46_graph_sizes": " union all ".join(
+        f"select '{kind}' as kind, {_nth(f'({t})', kind, '0')} as low, {_nth(f'({t})', kind, 'n // 2')} as median, {_nth(f'({t})', kind, 'n * 90 // 100')} as p90, {_nth(f'({t})', kind, 'n * 99 // 100')} as p99, max({kind}) as high, count(*) as sessions, sum({kind})::bigint as total, sum({kind})::bigint / count(*) as mean from ({t})"
+        for kind, t in (("nodes", "select count(distinct turn) as nodes from conversations group by conv_id"), ("roots", "select count(distinct turn) filter (turn = 0) as roots from conversations group by conv_id"), ("longest", _LONGEST))
+    ),
     "g03_response_groups": "select conv_id, first_user as grp, count(*) as entries, min(turn) as first_turn from (select conv_id, turn, role, (select count(*) from conversations u where u.conv_id = c.conv_id and u.turn < c.turn and u.role <> 'assistant') as first_user from conversations c) where role = 'assistant' group by 1, 2",
 }

@@ -38,26 +38,50 @@ def _json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def overview(f: R.Facts) -> DataFrame:
-    """Totals, models by cost, at most 20 tools, cost by category, hours, cache savings, warnings."""
+def overview(f: R.Facts, subscription_usd: float | None = None) -> DataFrame:
+    """Totals, models by cost, at most 20 tools, cost by category, hours, cache savings, warnings, and what a subscription is worth if its price is given."""
+    f = f.written()
     total = R.overview_totals(f).select(*(F.col(c).alias(f"total_{c}") for c in ("sessions", "turns", "agent_turns", "output_tokens", "context", "cost_usd")))
+    worth = [R.subscription_value(f, subscription_usd).select(F.struct("*").alias("subscription_value"))] if subscription_usd else []
     return _json(_together(
-        total, R.efficiency(f), R.cache_hit_rate(f), R.cost_by_category(f).select(F.struct("cost_input", (F.col("cost_5m") + F.col("cost_1h")).alias("cache_write"), "cost_read", "cost_output").alias("cost_by_category")),
+        *worth, total, R.efficiency(f), R.cache_hit_rate(f), R.cost_by_category(f).select(F.struct("cost_input", (F.col("cost_5m") + F.col("cost_1h")).alias("cache_write"), "cost_read", "cost_output").alias("cost_by_category")),
         _list(R.overview_by_model(f), "models", "-cost_usd", "model"), _list(R.tools(f), "top_tools", "-uses", "tool", most=20), _list(R.hours(f), "hours", "hour"),
         R.cache_savings_total(f).select(F.struct("*").alias("cache_savings")), _list(R.pricing_warnings(f), "pricing_warnings", "-cost_usd", "requested"),
     ))
 
 
-def session(f: R.Facts) -> DataFrame:
-    """(session_id, json): each session with its turns in order and its histograms; the hit rate is read tokens over context tokens."""
+def session(f: R.Facts, more: DataFrame | None = None) -> DataFrame:
+    """(session_id, json): each session with its turns in order, its histograms, plugins, skills and agents; the hit rate is read tokens over context tokens.
+
+    more: further columns by session_id (extras() of a transcript tree), null where a session has none.
+    """
+    f = f.written()
     detail = R.turn_detail(f)
     names = [c for c in detail.columns if c != "session_id"]
     turns = detail.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("turns"), F.count("*").alias("turn_count"), R.share(F.sum("cache_read"), F.sum("context")).alias("cache_hit_rate"))
     counts = R.session_histograms(f).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("kind", "value", F.col("turns").alias("n")))).alias("counts"))
     s = R.session_totals(f).join(turns, "session_id", "left").join(counts, "session_id", "left")
+    for name, part in (("plugins", R.plugin_usage(f)), ("skills", R.skill_usage(f)), ("subagents", R.agent_summary(f))):
+        s = s.join(_by_session(part, name), "session_id", "left")
+    if more is not None:
+        s = s.join(more, "session_id", "left")
     return s.select("session_id", F.to_json(F.struct(*s.columns)).alias("json"))
 
 
+def _by_session(df: DataFrame, name: str) -> DataFrame:
+    """(session_id, name): the other columns of a session's rows as a sorted array."""
+    return df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != "session_id")))).alias(name))
+
+
+def extras(sessions: DataFrame, metadata: DataFrame, hooks: DataFrame, types: DataFrame, runs: DataFrame) -> DataFrame:
+    """What the tables of a transcript tree say of a session besides turns: title, tags, is_orphan, hooks, subagent types, workflows."""
+    out = sessions.select("session_id", "is_orphan").join(metadata.select("session_id", "title", "tags"), "session_id", "left")
+    plain = runs.select("session_id", "run_id", "workflow", "status", "duration_ms", "agents", "turns", "output_tokens", "tokens", (F.col("cost") / 1e9).alias("cost_usd"))
+    for name, part in (("hooks", hooks), ("subagent_types", types.select("session_id", "agent_type", "agents", "turns", "output_tokens", (F.col("cost") / 1e9).alias("cost_usd"))), ("workflows", plain)):
+        out = out.join(_by_session(part, name), "session_id", "left")
+    return out
+
+
 def projects(f: R.Facts, top_n: int = 0) -> DataFrame:
     return _json(_list(R.projects(f, top_n), "projects", "-cost_usd", "project"))
 
@@ -66,9 +90,9 @@ def trend(f: R.Facts, days: int = 0, monthly: bool = False) -> DataFrame:
     return _json(_list(R.trend(f, days, monthly), "entries", "date").withColumn("group_label", F.lit("Month" if monthly else "Day")))
 
 
-def wrapped(f: R.Facts, year: int = R.YEAR) -> DataFrame:
+def wrapped(f: R.Facts, year: int = R.YEAR, prompts: DataFrame | None = None) -> DataFrame:
     lists = (_list(R.wrapped_top_projects(f), "top_projects", "-cost_usd", "display"), _list(R.wrapped_top_tools(f), "top_tools", "-uses", "tool"), _list(R.model_distribution(f), "model_distribution", "-turns", "model"), _list(R.wrapped_extremes(f), "extremes", "kind"))
-    return _json(_together(R.wrapped(f, year), *lists))
+    return _json(_together(R.wrapped(f, year, prompts), *lists))
 
 
 def heatmap(f: R.Facts, days: int = 0) -> DataFrame:
@@ -91,6 +115,7 @@ def dashboard(f: R.Facts, escaped: bool = False) -> DataFrame:
 
     Its list of sessions grows without bound, so it is no part of this one row but rows of dashboard_sessions().
     """
+    f = f.written()
     parts = (
         R.overview_totals(f).select(F.struct("*").alias("overview")), _list(R.overview_by_model(f), "models", "-cost_usd", "model"), _list(R.projects(f, 20), "projects", "-cost_usd", "project"), _list(R.trend(f), "trend", "date"),
         _list(R.active_days(f), "heatmap", "day"), R.wrapped(f).select(F.struct("*").alias("wrapped")),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import priced, resolve
 from ..functions.scalars import project_display_name, short_model, strip_bracket
-from ..operators.graph import chain_lengths
+from ..operators.graph import bucketed, chain_lengths
 from ..operators.scan import carry_last, running_sum
 from ..operators.turns import last_of_request, requests, skip_reason, without_repeats_of_main
 from ..sources.adapters import calendar, raw_turns_from_events
 from .oracles import NOW, SQL, TODAY
 from .payloads import PAYLOADS
-from .reports import REPORTS, Facts
+from .reports import REPORTS, Facts, distribution
 
 
 def for_reports(kept: DataFrame, timezone: str | None = None) -> DataFrame:
@@ -110,6 +110,26 @@ def longest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_lengths(conversation_nodes(spark, sf_dir)).groupBy(F.col("session").cast("long").alias("conv_id")).agg(F.max("length").alias("longest"))
 
 
+def chain_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by the length of their longest chain."""
+    return bucketed(longest_chain(spark, sf_dir), "longest").select("bucket", "n")
+
+
+def root_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_stats(spark, sf_dir).groupBy("roots").agg(F.count("*").alias("sessions"))
+
+
+def graph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, sessions, low, median, p90, p99, high, total, mean) of nodes, roots and longest chain of a conversation."""
+    stats, longest = graph_stats(spark, sf_dir), longest_chain(spark, sf_dir)
+    kinds = {"nodes": stats.select(F.col("nodes").alias("v")), "roots": stats.select(F.col("roots").alias("v")), "longest": longest.select(F.col("longest").alias("v"))}
+    out = None
+    for kind, values in kinds.items():
+        one = distribution(values.groupBy("v").agg(F.count("*").alias("n")), "v").withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def response_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = running_sum(conversations(spark, sf_dir), ["conv_id"], _block(), "turn", (F.coalesce(F.col("role"), F.lit("")) != "assistant").cast("int"), "grp")
     return c.where("role = 'assistant'").groupBy("conv_id", "grp").agg(F.count("*").alias("entries"), F.min("turn").alias("first_turn"))
@@ -124,6 +144,9 @@ QUERIES = {name: _report(f) for name, f in (REPORTS | PAYLOADS).items()} | {
     "a34_autonomy": autonomy,
     "a47_entry_types": entry_types,
     "a45_graph_stats": graph_stats,
+    "a46_chain_buckets": chain_buckets,
+    "a46_root_histogram": root_histogram,
+    "a46_graph_sizes": graph_sizes,
     "g01_longest_chain": longest_chain,
     "g03_response_groups": response_groups,
 }

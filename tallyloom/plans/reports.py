@@ -10,11 +10,13 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pricing import RATES, price_age
+from ..functions.pricing import PRICES, RATES, price_age
 from ..functions.scalars import archetype, archetype_text, compact_number, escape_html, format_cost, format_duration, format_number, heat_glyph, project_display_name, short_model, truncate_bytes
+from ..operators.ordering import sort_columns
 from ..operators.selection import select_places
 
 ORDER = ("ts", "file_id", "line_pos")
@@ -63,6 +65,21 @@ class Facts:
     def starts(self) -> DataFrame:
         return self.sessions.where("start_day is not null").groupBy(F.col("start_day").alias("day")).agg(F.count("*").alias("sessions"))
 
+    def written(self) -> Facts:
+        """The same facts over base as a table, for payloads of many reports: the records are read once.
+
+        In the shared folder where the session names one in spark.checkpoint.dir, else kept on the executors' disks.
+        """
+        if self.base is None:
+            return self
+        spark = self.base.sparkSession
+        if at := spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir(at)
+            base = self.base.checkpoint()
+        else:
+            base = self.base.persist(StorageLevel.DISK_ONLY)
+        return Facts(base.where("kept").drop("kept", "named"), base.groupBy("session_id").agg(F.min("named").alias("project")), self.today, base)
+
     @property
     def hours(self) -> DataFrame:
         """One row an hour in which a session has turns, and one without an hour for a session's records that are none, in one pass.
@@ -315,11 +332,14 @@ def one_session(f: Facts, prefix: str) -> str:
 
 
 @report("f12_session_search")
-def session_search(f: Facts, text: str = "PROJ3", family: str = "opus") -> DataFrame:
-    """Sessions whose id or project holds the text in any case and whose main model is of the family."""
+def session_search(f: Facts, text: str = "PROJ3", family: str = "opus", titles: DataFrame | None = None) -> DataFrame:
+    """Sessions whose id, project or title holds the text in any case and whose main model is of the family. titles: (session_id, title), from a tree's metadata()."""
     s = f.sessions.join(session_primary_model(f).select("session_id", "model"), "session_id")
     low = F.lit(text.lower())
     own = F.contains(F.lower("session_id"), low) | F.contains(F.lower("display"), low)
+    if titles is not None:
+        s = s.join(titles.select("session_id", "title"), "session_id", "left")
+        own = own | F.coalesce(F.contains(F.lower("title"), low), F.lit(False))
     return s.where(own & (F.split(short_model(F.col("model")), "-")[0] == family)).select("session_id", "display", "model")
 
 
@@ -389,7 +409,7 @@ def latest_session(f: Facts) -> DataFrame:
 def session_order(f: Facts) -> DataFrame:
     """Sessions by the first turn of their main file, latest first, those without one last; a session's neighbours are what a list shows."""
     main = f.turns.where("not is_agent").groupBy("session_id").agg(F.min("ts").alias("main_ts"))
-    return f.all_sessions.join(main, "session_id", "left").orderBy(F.desc_nulls_last("main_ts"), "session_id").limit(20).select("session_id", F.date_format("main_ts", STAMP).alias("main_ts"))
+    return f.all_sessions.join(main, "session_id", "left").orderBy(F.desc_nulls_last("main_ts"), "session_id").select("session_id", F.date_format("main_ts", STAMP).alias("main_ts"))
 
 
 def places_row(f: Facts | DataFrame, found: dict[str, int | None]) -> DataFrame:
@@ -398,13 +418,17 @@ def places_row(f: Facts | DataFrame, found: dict[str, int | None]) -> DataFrame:
     return spark.range(1).select(*(F.lit(v).cast("long").alias(name) for name, v in found.items()))
 
 
+def distribution(counts: DataFrame, value: str) -> DataFrame:
+    """One row of how often (n) each value stands: places n/2, n*90/100 and n*99/100 of the sorted values, ends, number, sum and mean."""
+    found = select_places(counts, value, {"low": lambda n: 0, "median": lambda n: n // 2, "p90": lambda n: n * 90 // 100, "p99": lambda n: n * 99 // 100, "high": lambda n: n - 1}, "n")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"), F.coalesce(F.sum(F.col("n") * F.col(value)), F.lit(0)).alias("total"))
+    return places_row(counts, found).crossJoin(total).withColumn("mean", share(F.col("total"), F.col("sessions"), 1.0))  # one row each
+
+
 @report("a46_session_sizes")
 def session_sizes(f: Facts) -> DataFrame:
-    """Distribution of turns a session: places n/2, n*90/100 and n*99/100 of the sorted counts, as whole numbers."""
-    counts = f.sessions.groupBy("turns").agg(F.count("*").alias("n"))
-    found = select_places(counts, "turns", {"low": lambda n: 0, "median": lambda n: n // 2, "p90": lambda n: n * 90 // 100, "p99": lambda n: n * 99 // 100, "high": lambda n: n - 1}, "n")
-    total = counts.agg(F.sum("n").alias("sessions"), F.sum(F.col("n") * F.col("turns")).alias("total"))
-    return places_row(f, found).crossJoin(total).withColumn("mean", share(F.col("total"), F.col("sessions"), 1.0))  # one row each
+    """Distribution of turns a session."""
+    return distribution(f.sessions.groupBy("turns").agg(F.count("*").alias("n")), "turns")
 
 
 @report("p08_session_kpis")
@@ -442,10 +466,11 @@ def date_range(f: Facts) -> DataFrame:
 def trend(f: Facts, days: int = 0, monthly: bool = False) -> DataFrame:
     """Turns by their day and sessions by their first turn's; days: only from today - days on (days + 1 dates), 0: from 2000 on. Labels without turns vanish."""
     since = F.lit("2000-01-01") if days == 0 else F.date_format(F.date_sub(F.lit(f.today).cast("date"), days), "yyyy-MM-dd")
-    label = (lambda c: F.substring(c, 1, 7)) if monthly else F.col
-    t = f.turns.where(F.col("day") >= since).groupBy(label("day").alias("label")).agg(F.min("day").alias("date"), F.count("*").alias("turns"), *tokens(), *(usd(F.sum(c)).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")), F.sum("cost").alias("cost"))
-    s = f.sessions.where(F.col("start_day") >= since).groupBy(label("start_day").alias("label")).agg(F.count("*").alias("sessions"))
-    return t.join(s, "label", "left").fillna(0, ["sessions"]).withColumn("cost_usd", usd("cost")).withColumn("cost_per_turn", usd("cost") / F.col("turns")).drop("cost")
+    label = F.substring("day", 1, 7) if monthly else F.col("day")
+    sums = ("turns", "input_tokens", "output_tokens", "cache_creation", "cache_read", "cost")
+    h = f.hours.where("hour is not null").where(F.col("day") >= since)
+    t = h.groupBy(label.alias("label")).agg(F.min("day").alias("date"), *(F.sum(c).alias(c) for c in sums), *(usd(F.sum(c)).alias(c) for c in ("cost_input", "cost_5m", "cost_1h", "cost_read", "cost_output")), F.count_if(F.col("first_ts") == F.col("session_first")).alias("sessions"))
+    return t.withColumn("cost_usd", usd("cost")).withColumn("cost_per_turn", usd("cost") / F.col("turns")).drop("cost")
 
 
 @report("a17_trend_daily")
@@ -616,8 +641,15 @@ YEAR = 2024
 
 
 @report("a21_wrapped")
-def wrapped(f: Facts, year: int = YEAR) -> DataFrame:
-    """One row: volume, days, averages, peaks, archetype. Mean minutes only over sessions that last; peaks: the last of several."""
+def wrapped(f: Facts, year: int = YEAR, prompts: DataFrame | None = None) -> DataFrame:
+    """One row: volume, days, averages, peaks, archetype. Mean minutes only over sessions that last; peaks: the last of several.
+
+    prompts: (session_id, user_entries), from a tree's metadata(); with them also user_prompts and autonomy_ratio, turns a prompt (0 without any).
+    """
+    if prompts is not None:
+        years = f.hours.where("hour is not null").where(F.year("session_first") == year).select("session_id").distinct()
+        asked = prompts.join(years, "session_id", "left_semi").agg(F.coalesce(F.sum("user_entries"), F.lit(0)).alias("user_prompts"))
+        return wrapped(f, year).crossJoin(asked).withColumn("autonomy_ratio", share(F.col("turns"), F.col("user_prompts"), 1.0))  # one row each
     h = f.hours.where("hour is not null").where(F.year("session_first") == year)
     own = ("session_id", "project", "session_first", "session_last")
     cube = h.groupingSets([own, ["day"], ["hour"], ["dow"], []], *own, "day", "hour", "dow").agg(
@@ -670,13 +702,14 @@ def wrapped_extremes(f: Facts) -> DataFrame:
 
 @report("x25_archetypes")
 def archetypes(f: Facts) -> DataFrame:
-    """Label and description of each archetype, over the rule's own examples."""
-    spark = f.turns.sparkSession
-    rows = [(0.6, 0.1, 45.0, 20.0, 3), (0.3, 0.6, 45.0, 20.0, 3), (0.3, 0.1, 150.0, 20.0, 3), (0.45, 0.1, 90.0, 20.0, 3), (0.1, 0.1, 15.0, 15.0, 3), (0.1, 0.1, 45.0, 8.0, 15), (0.1, 0.1, 45.0, 5.0, 3)]
-    e = spark.createDataFrame(rows, "agent double, night double, minutes double, per_session double, projects int")
-    kind = archetype(*(F.col(c) for c in e.columns))
-    label, text = archetype_text(kind)
-    return e.select("*", kind.alias("archetype"), label.alias("label"), text.alias("description"))
+    """Of the sessions that began in each month: the archetype, its label and description, and the month's short name."""
+    h = f.hours.where("hour is not null").withColumn("month", F.date_format("session_first", "yyyy-MM"))
+    s = h.groupBy("month", "session_id", "session_first", "session_last", "project").agg(F.sum("turns").alias("turns"), F.sum("agent_turns").alias("agent"), F.sum(F.when(F.expr(NIGHT), F.col("turns")).otherwise(0)).alias("night"))
+    secs = F.expr("(unix_micros(session_last) - unix_micros(session_first)) div 1000000")
+    m = s.groupBy("month").agg(F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in ("turns", "agent", "night")), F.sum(F.when(secs > 0, secs)).alias("secs"), F.count(F.when(secs > 0, 1)).alias("lasting"), F.count_distinct(project_display_name(F.col("project"))).alias("projects"))
+    kind = archetype(F.col("agent") / F.col("turns"), F.col("night") / F.col("turns"), share(F.coalesce("secs", F.lit(0)) / 60.0, F.col("lasting"), 1.0), F.col("turns") / F.col("sessions"), F.col("projects"))
+    label, text = archetype_text(F.col("archetype"))
+    return m.withColumn("archetype", kind).select("month", F.date_format(F.concat("month", F.lit("-01")).cast("date"), "MMM").alias("short"), "archetype", label.alias("label"), text.alias("description"))
 
 
 # Names and figures as text
@@ -694,11 +727,11 @@ def model_names(f: Facts) -> DataFrame:
 
 @report("p13_chart_orders")
 def chart_orders(f: Facts) -> DataFrame:
-    """(chart, place, name): models by turns, ten tools by uses, five projects by cost."""
-    lists = {"models": (f.turns.groupBy("model").agg(F.count("*").alias("v")), "model", 100), "tools": (tool_uses(f).withColumnRenamed("uses", "v"), "tool", 10), "projects": (f.turns.groupBy("display").agg(F.sum("cost").alias("v")), "display", 5)}
+    """(chart, place, name): all models by turns, ten tools by uses, five projects by cost."""
+    lists = {"models": (f.turns.groupBy("model").agg(F.count("*").alias("v")), "model", None), "tools": (tool_uses(f).withColumnRenamed("uses", "v"), "tool", 10), "projects": (f.turns.groupBy("display").agg(F.sum("cost").alias("v")), "display", 5)}
     out = None
     for chart, (df, name, rows) in lists.items():
-        part = first_of(df.select(F.lit(chart).alias("chart"), F.col(name).alias("name"), "v"), ["chart"], F.desc("v"), "name", rows=rows, rank="place").select("chart", "place", "name")
+        part = first_of(df.select(F.lit(chart).alias("chart"), F.col(name).alias("name"), "v"), ["chart"], F.desc("v"), "name", rows=rows or (1 << 31) - 1, rank="place").select("chart", "place", "name")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -711,10 +744,21 @@ def figures_as_text(f: Facts) -> DataFrame:
 
 @report("x16_price_age")
 def age_of_prices(f: Facts) -> DataFrame:
-    days, stale = price_age(F.lit("2026-07-01").cast("date"))
-    return f.turns.sparkSession.range(1).select(days.alias("days"), stale.alias("stale"))
+    """For each day with turns, how old the prices were on it, in days (below 0: taken later), and whether that is stale."""
+    days, stale = price_age(F.col("day").cast("date"))
+    return f.days.select("day", days.alias("days"), stale.alias("stale"))
 
 
 @report("s24_price_table")
 def price_table(f: Facts) -> DataFrame:
-    return f.turns.select("price_key", *RATES).distinct()
+    """Every built-in price with the turns that it prices."""
+    table = f.turns.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(p[0]).alias("price_key"), *(F.lit(v).cast("long").alias(r) for r, v in zip(RATES, p[1:], strict=True))) for p in PRICES))).alias("p")).select("p.*")
+    return table.join(f.turns.groupBy("price_key").agg(F.count("*").alias("turns")), "price_key", "left").fillna(0, ["turns"])
+
+
+@report("t08_table_sort")
+def table_sort(f: Facts) -> DataFrame:
+    """Projects with their places in a table sorted by name (falling) and by cost (rising): one row a project is ranked."""
+    p = projects(f).select("project", "display", "cost_usd")
+    place = lambda key, direction: F.row_number().over(Window.orderBy(*sort_columns(p, key, direction, "project")))
+    return p.select("project", place("display", "desc").alias("by_name"), place("cost_usd", "asc").alias("by_cost"))

@@ -53,7 +53,7 @@ def source_path() -> Column:
 
 
 def _paths(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path): every file below root whose name fits, empty ones too, which no reader returns; the driver's file index has them all."""
+    """(path): every file below root whose name fits, empty ones too, which no reader returns (binaryFile neither); the driver's file index has them all."""
     found = spark.read.format("text").options(pathGlobFilter=pattern, recursiveFileLookup="true").load(root).inputFiles() if _exists(spark, root) else []
     return spark.createDataFrame([(p,) for p in found], "path string").select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
 
@@ -78,9 +78,9 @@ def lines(spark: SparkSession, home: str, pattern: str = "*.jsonl") -> DataFrame
 LOOSE = 100_000
 
 
-def _first_names(lines: DataFrame) -> DataFrame:
-    """(path, named): the session that the first line of an agent file without a session folder names."""
-    loose = _laid_out(lines).where("is_agent and dir is null").groupBy("path").agg(F.min_by("value", "line_pos").alias("first"))
+def loose_names(spark: SparkSession, home: str) -> DataFrame:
+    """(path, named): the session that the first line of an agent file without a session folder names. Reads agent files only."""
+    loose = _laid_out(lines(spark, home, "agent-*.jsonl")).where("is_agent and dir is null").groupBy("path").agg(F.min_by("value", "line_pos").alias("first"))
     return loose.select("path", F.try_variant_get(F.try_parse_json("first"), "$.sessionId", "string").alias("named"))
 
 
@@ -100,24 +100,23 @@ def in_sessions(files: DataFrame) -> DataFrame:
     return _laid_out(files).withColumn("session_id", _session()).drop("dir")
 
 
-def files(spark: SparkSession, home: str) -> DataFrame:
-    """(path, project, run_id, stem, is_agent, session_id), empty files too.
+def files(spark: SparkSession, home: str, named: DataFrame | None = None) -> DataFrame:
+    """(path, project, run_id, stem, is_agent, session_id), empty files too. named: loose_names(), if they are at hand.
 
     An agent without a session folder belongs to the session that its first line names, or else to itself.
     """
     found = _laid_out(_paths(spark, f"{home}/projects", "*.jsonl"))
-    return _with_session(found, _first_names(lines(spark, home))).select("path", "project", "run_id", "stem", "is_agent", "session_id")
+    return _with_session(found, loose_names(spark, home) if named is None else named).select("path", "project", "run_id", "stem", "is_agent", "session_id")
 
 
-def entries(spark: SparkSession, home: str) -> DataFrame:
+def entries(spark: SparkSession, home: str, named: DataFrame | None = None) -> DataFrame:
     """Lines with their file's columns, v (variant), entry_type, status and a (the assistant fields).
 
     status: blank, json (malformed), drift (an assistant record of the wrong shape), ok, passthrough (an
     unknown type that carries uuid and sessionId) or ignored.
     """
     # A line's file columns come from its path; only agents without a session folder are joined, with their few names.
-    raw = lines(spark, home)
-    return parsed(_with_session(_laid_out(raw), _first_names(raw)))
+    return parsed(_with_session(_laid_out(lines(spark, home)), loose_names(spark, home) if named is None else named))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -448,16 +447,18 @@ def workflow_runs(spark: SparkSession, home: str, subagents: DataFrame) -> DataF
     return out.join(scripts(spark, home), ["session_id", "run_id"], "left").join(journal, ["session_id", "run_id"], "left")
 
 
-def load_sidecars(spark: SparkSession, home: str, session_id: str) -> tuple[DataFrame, DataFrame]:
-    """One session's agent sidecars and workflow runs (those with a snapshot or agents; what the agents did is not read here)."""
-    own = F.col("session_id") == session_id
-    agents = files(spark, home).where("is_agent").where(own).select("session_id", "run_id", *(F.lit(0).cast("long").alias(n) for n in ("turns", "output_tokens", "tokens", "cost")))
-    return agent_meta(spark, home).where(own), workflow_runs(spark, home, agents).where(own)
+def load_sidecars(spark: SparkSession, home: str, session_id: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """One session's agent sidecars and workflow runs (those with a snapshot or agents), with what its agents did."""
+    own, named = F.col("session_id") == session_id, loose_names(spark, home)
+    meta = agent_meta(spark, home).where(own)
+    did = turns(records(entries(spark, home, named).where(own), now))
+    return meta, workflow_runs(spark, home, subagents(files(spark, home, named).where(own), did, meta)).where(own)
 
 
 def load_all(spark: SparkSession, home: str, now: str) -> dict[str, DataFrame]:
     """The tables of a tree, by name: files, entries, records, turns, sessions (with what their entries say), quality, session_quality and global_quality."""
-    f, e = files(spark, home), entries(spark, home)
+    named = loose_names(spark, home)
+    f, e = files(spark, home, named), entries(spark, home, named)
     r = records(e, now)
     t = turns(r)
     q = quality(e, r)

@@ -238,5 +238,5 @@ def test_load_all_and_sidecars(spark, home):
     t = T.load_all(spark, home, NOW)
     s = {r.session_id: (r.title, r.turns, r.is_orphan) for r in t["sessions"].collect()}
     assert s == {MAIN: ("mine", 7, False), LOST: (None, 1, True)} and t["global_quality"].first().agent_files == 5
-    meta, runs = T.load_sidecars(spark, home, MAIN)
-    assert [r.agent_type for r in meta.collect()] == ["builder"] and {(r.run_id, r.agents) for r in runs.collect()} == {("wf_1", 1), ("wf_2", 0)}
+    meta, runs = T.load_sidecars(spark, home, MAIN, NOW)
+    assert [r.agent_type for r in meta.collect()] == ["builder"] and {(r.run_id, r.agents, r.turns, r.output_tokens, r.cost > 0) for r in runs.collect()} == {("wf_1", 1, 1, 8, True), ("wf_2", 0, 0, 0, False)}
