@@ -9,7 +9,7 @@ folder is an empty tree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import priced
@@ -410,6 +410,24 @@ def survey(entries: DataFrame, name: str, entry_type: str = "user", samples: int
     return per.crossJoin(total).select("shape", "entries", (F.col("entries") * 1e2 / F.col("all")).alias("percent"), "samples")  # total is one row
 
 
+def survey_all(entries: DataFrame, samples: int = 2) -> DataFrame:
+    """(entry_type, path, shape, entries, percent, samples): survey() of every field at once, and of the fields of objects in fields.
+
+    Each entry's object is opened to a depth of two within its row (a path is `name` or `name.inner`), so the lines
+    are read once, and all fields are grouped together, with map-side combine and bounded samples. percent: of the
+    entries of the type that have the field.
+    """
+    pair = "array<struct<path:string,value:variant>>"
+    opened = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")).cast(pair)
+    inner = lambda x: F.transform(F.coalesce(opened(x["value"]), F.array().cast(pair)), lambda y: F.struct(F.concat(x["path"], F.lit("."), y["path"]).alias("path"), y["value"].alias("value")))
+    top = entries.select("entry_type", opened(F.col("v")).alias("top")).where("top is not null")
+    fields = top.select("entry_type", F.explode(F.concat("top", F.flatten(F.transform("top", inner)))).alias("f")).select("entry_type", "f.path", "f.value").where("value is not null")
+    e = fields.select("entry_type", "path", shape(F.col("value")).alias("shape"), F.substring(F.to_json("value"), 1, 300).alias("sample"))
+    per = e.groupBy("entry_type", "path", "shape").agg(F.count("*").alias("entries"), F.slice(F.array_sort(F.array_distinct(F.array(F.min("sample"), F.max("sample")))), 1, samples).alias("samples"))
+    share = F.col("entries") * 1e2 / F.sum("entries").over(Window.partitionBy("entry_type", "path"))  # a row for each shape
+    return per.select("entry_type", "path", "shape", "entries", share.alias("percent"), "samples")
+
+
 def journals(spark: SparkSession, home: str) -> DataFrame:
     """(session_id, run_id, entries): what each run's journal says, in order; blank and malformed lines are left out, an empty journal has none."""
     place = r"/projects/[^/]+/([^/]+)/subagents/workflows/(wf_[^/]+)/journal\.jsonl$"

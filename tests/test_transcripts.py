@@ -240,3 +240,12 @@ def test_load_all_and_sidecars(spark, home):
     assert s == {MAIN: ("mine", 7, False), LOST: (None, 1, True)} and t["global_quality"].first().agent_files == 5
     meta, runs = T.load_sidecars(spark, home, MAIN, NOW)
     assert [r.agent_type for r in meta.collect()] == ["builder"] and {(r.run_id, r.agents, r.turns, r.output_tokens, r.cost > 0) for r in runs.collect()} == {("wf_1", 1, 1, 8, True), ("wf_2", 0, 0, 0, False)}
+
+
+def test_survey_of_all_fields(read):
+    """What a call for each field says, from one pass over the lines."""
+    got = T.survey_all(read[1]).collect()
+    for kind, name in (("user", "message"), ("user", "message.content"), ("user", "parentUuid"), ("assistant", "message.usage"), ("assistant", "requestId"), ("system", "hookInfos"), ("marble-origami-snapshot", "staged"), ("attribution-snapshot", "fileStates")):
+        own = sorted(map(str, ((r["shape"], r.entries, round(r.percent, 6), r.samples) for r in got if (r.entry_type, r.path) == (kind, name))))
+        assert own == sorted(map(str, ((r["shape"], r.entries, round(r.percent, 6), r.samples) for r in T.survey(read[1], name, kind).collect()))) and own
+    assert T.survey_all(read[1])._jdf.queryExecution().analyzed().toString().count("Relation [value") <= read[1]._jdf.queryExecution().analyzed().toString().count("Relation [value")
