@@ -33,7 +33,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, and the SHA-256 of the text that they decode to."""
+    """doc_id, n_tokens, token_ids, and the SHA-256 of the text that they decode to; no other columns. Null and empty texts have no tokens, repeated rows and null ids stay, an empty table stays empty."""
     done = bpe.encode_documents(docs, vocabulary())
     return done.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
