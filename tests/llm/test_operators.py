@@ -507,3 +507,18 @@ def test_malformed_pages_take_linear_time(piece):
         html_text.lines_of(page)
         took.append(time.process_time() - began)
     assert took[2] < 40 * took[1] + 0.2
+
+
+@pytest.mark.parametrize("cells", [1 << 27, 20])
+def test_matched_words_are_longest(monkeypatch, cells):
+    """A longest common subsequence whether its table is held whole or halved, as long as the quadratic search says."""
+    monkeypatch.setattr(substring_dedup, "CELLS", cells)
+    rng = random.Random(8)
+    for _ in range(400):
+        u, v = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        m = substring_dedup._matched(u, v)
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i, x in enumerate(u):
+            for j, y in enumerate(v):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(m) == best[-1][-1] and all(u[i] == v[j] for i, j in m) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(m, m[1:], strict=False))
