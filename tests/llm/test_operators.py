@@ -522,3 +522,20 @@ def test_matched_words_are_longest(monkeypatch, cells):
             for j, y in enumerate(v):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert len(m) == best[-1][-1] and all(u[i] == v[j] for i, j in m) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(m, m[1:], strict=False))
+
+
+def test_passages_of_lines_that_many_texts_hold(spark):
+    """Two texts hold three lines, the second with every 11th word changed, and each line stands in twenty other texts: no 5-mer is rare."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    rows, pairs = [], []
+    for k in range(12):
+        lines = [[word() for _ in range(20)] for _ in range(3)]
+        for line in lines:
+            rows += [" ".join([word() for _ in range(30)] + line + [word() for _ in range(30)]) for _ in range(20)]
+        own = sum(lines, [])
+        changed = [word() if i % 11 == 5 else x for i, x in enumerate(own)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [" ".join([word() for _ in range(20)] + x + [word() for _ in range(20)]) for x in (own, changed)]
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.fuzzy_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+    assert {p for p in pairs if p in got and p[::-1] in got} == set(pairs)
