@@ -32,8 +32,9 @@ def facts(raw: DataFrame, today: str = TODAY) -> Facts:
 
 
 def tree_report(name: str, kept: DataFrame, sessions: DataFrame | None = None, today: str = TODAY, timezone: str | None = None) -> DataFrame:
-    """A report over the turns, and if given the sessions, of a transcript tree."""
+    """A report over the turns, and if given the sessions, of a transcript tree, where a turn's project is its session's, whatever folder an agent's file is in."""
     own = kept.groupBy("session_id").agg(F.min("project").alias("project")) if sessions is None else sessions.select("session_id", "project")
+    kept = kept.drop("project").join(own, "session_id", "left")
     return REPORTS[name](Facts(for_reports(kept, timezone), own, today))
 
 

@@ -284,14 +284,15 @@ def top_sessions(f: Facts) -> DataFrame:
 
 @report("a15_projects")
 def projects(f: Facts, top_n: int = 0, project: str | None = None) -> DataFrame:
-    """Every session counts for its project, without turns too. top_n 0: all; project: only names that hold it (the raw name, case counts)."""
-    own = f.sessions.withColumn("project", F.coalesce("project", F.lit("(unknown)")))
-    t = f.turns.groupBy("session_id").agg(*tokens())
-    s = own.drop("output_tokens", "cache_read").join(t, "session_id", "left").fillna(0, ["input_tokens", "output_tokens", "cache_creation", "cache_read"])
+    """Every session counts for its project, without turns too, and every turn for the project that its own record names,
+    where that is some session's. top_n 0: all; project: only names that hold it (the raw name, case counts)."""
+    named = F.coalesce("project", F.lit("(unknown)")).alias("project")
+    per, turns = f.all_sessions.groupBy(named).agg(F.count("*").alias("sessions")), f.turns.withColumn("project", named)
     if project is not None:
-        s = s.where(F.contains("project", F.lit(project)))
-    out = s.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.sum("agent_turns").alias("agent_turns"), *tokens(), F.sum("cost").alias("cost"))
-    out = out.join(project_primary_model(f).select("project", "model"), "project", "left")
+        per, turns = (d.where(F.contains("project", F.lit(project))) for d in (per, turns))
+    sums = turns.groupBy("project").agg(F.count("*").alias("turns"), F.count_if("is_agent").alias("agent_turns"), *tokens(), F.sum("cost").alias("cost"))
+    out = per.join(sums, "project", "left").fillna(0, [c for c in sums.columns if c != "project"])
+    out = out.join(primary_model(Facts(turns, f.all_sessions, f.today), "project").select("project", "model"), "project", "left")
     out = out.select("project", project_display_name(F.col("project")).alias("display"), "sessions", "turns", "agent_turns", "input_tokens", "output_tokens", "cache_creation", "cache_read", usd("cost").alias("cost_usd"), F.coalesce("model", F.lit("")).alias("primary_model"))
     return out.orderBy(F.desc("cost_usd"), "project").limit(top_n) if top_n else out
 

@@ -41,6 +41,30 @@ def test_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(tmp_path_factory):
+    """Events of users whose ids are longer than a session id keeps, so that records of one session name several projects."""
+    at = tmp_path_factory.mktemp("shared")
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (event_id + 5000 * k as event_id, user_id + 15000 * k as user_id) from read_parquet('{SF}/events.parquet'), range(4) t(k)) to '{at}/events.parquet'")
+    con.execute(f"create view events as select * from read_parquet('{at}/events.parquet')")
+    con.execute("set timezone = 'UTC'")
+    return at, con
+
+
+@pytest.mark.parametrize("name", ["a15_projects"])
+def test_sessions_that_name_several_projects(spark, shared_ids, name):
+    at, con = shared_ids
+    assert rows(QUERIES[name](spark, str(at)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
+
+
+def test_agents_of_another_folder_count_for_their_session(spark):
+    t = spark.createDataFrame([("s", "b", False, -1, 1), ("s", "a", True, 1, 2)], "session_id string, project string, is_agent boolean, file_id long, line_pos long")
+    t = t.selectExpr("*", "timestamp '2025-03-10 10:00:00' as ts", "'claude-opus-4-6' as model", "10L as input_tokens", "5L as output_tokens", "0L as cache_creation", "0L as cache_read", "false as has_ttl", "0L as cw_5m", "0L as cw_1h")
+    own = spark.createDataFrame([("s", "b"), ("t", None)], "session_id string, project string")
+    assert {(r.project, r.sessions, r.turns, r.agent_turns, r.input_tokens) for r in tree_report("a15_projects", t, own).collect()} == {("b", 1, 2, 1, 20), ("(unknown)", 1, 0, 0, 0)}
+
+
 def test_longest_prefix(spark):
     names = [("claude-opus-4-6",), ("claude-opus-4-1-20250805",), ("claude-opus-4-20250514",), ("claude-opus-4-8[1m]",), ("x-1",)]
     got = {r.model: (r.price_key, r.source) for r in resolve(spark.createDataFrame(names, "model string")).collect()}
