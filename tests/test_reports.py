@@ -52,7 +52,7 @@ def shared_ids(tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["a15_projects", "f06_projects_by_name", "t01_top_projects"])
+@pytest.mark.parametrize("name", ["a15_projects", "f06_projects_by_name", "t01_top_projects", "t08_table_sort"])
 def test_sessions_that_name_several_projects(spark, shared_ids, name):
     at, con = shared_ids
     assert rows(QUERIES[name](spark, str(at)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df())
