@@ -85,12 +85,23 @@ DIGIT = re.compile(r"\d")
 DENIAL = frozenset(("not", "never", "isn't", "cannot", "non"))
 
 
+#: Words of the longest wording that a short candidate block serves: what a short wording saves would drown in a long block.
+SHORT = 16
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.known = [(name, wording, [w.lower() for w in WORDS.findall(wording)]) for name, all_ in templates.items() for wording in (*all_, TAG.format(name))]
-        self.plain = zstandard.ZstdCompressor(level=3)
+        # At this level bytes without a match are kept as they are, so what a wording saves is its matches and no change of an entropy code.
+        self.plain = zstandard.ZstdCompressor(level=-1)
         # A raw dictionary holds at least eight bytes; blanks before it are never nearer than its words.
-        self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(w.encode().rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w, _ in self.known]
+        self.given = []
+        for _, _, want in self.known:
+            words = zstandard.ZstdCompressionDict(" ".join(want).encode().rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=-1)
+            self.given.append(zstandard.ZstdCompressor(level=-1, dict_data=words))
+        longest = max((len(want) for _, _, want in self.known), default=0)
+        self.scale = [SHORT if len(want) <= SHORT else longest for _, _, want in self.known]
         # Where each wording's anchor words stand in it.
         self.anchors: dict[str, list[tuple[int, int]]] = {}
         for k, (_, wording, want) in enumerate(self.known):
@@ -102,8 +113,15 @@ class Scanner:
                     self.anchors.setdefault(want[i], []).append((k, i))
         self.compared: dict = {}
 
+    def reductions(self, block: list[str]) -> list[tuple[int, int, float]]:
+        """(bytes saved, wording, share of bytes saved) of every wording that saves bytes of a block, the largest first."""
+        text = " ".join(block).encode()
+        alone = len(self.plain.compress(text))
+        saved = [alone - len(given.compress(text)) for given in self.given]
+        return sorted(((n, k, n / alone) for k, n in enumerate(saved) if n > 0), key=lambda x: (-x[0], x[1]))
+
     def compare(self, k: int, own: tuple[str, ...]):
-        """(share found, differing words, words of own that agree, share of bytes saved) of a window, or None."""
+        """(share found, differing words, words of own that agree) of a window, or None."""
         want = self.known[k][2]
         held = set(own)
         if sum(w in held for w in want) < CONFIRM * len(want):
@@ -117,17 +135,29 @@ class Scanner:
         added = [w for op, _, _, j1, j2 in codes if op != "equal" for w in own[max(j1, equal[0]) : min(j2, equal[-1])]]
         if any(NAME.match(w) or DIGIT.search(w) for w in lost) or any(map(NAME.match, added)):
             return None
-        block = " ".join(own[equal[0] : equal[-1] + 1]).encode()
-        alone = len(self.plain.compress(block))
-        saved = alone - len(self.given[k].compress(block))
         extra = equal[-1] + 1 - equal[0] - len(equal)
-        return (len(equal) / len(want), len(want) - len(equal) + extra, equal, saved / alone) if saved > 0 else None
+        return len(equal) / len(want), len(want) - len(equal) + extra, equal
+
+    def blocks(self, words: list[str]) -> dict[tuple[int, int], dict[int, set[int]]]:
+        """Candidate blocks (first word, words), each with the places from which its wordings are confirmed.
+
+        Blocks start at every `scale` words and are three times as long, so every window of a wording, a fifth longer
+        on either side and laid around an anchor word, lies within one. Only blocks with such a window are kept.
+        """
+        out: dict[tuple[int, int], dict[int, set[int]]] = {}
+        for t, w in enumerate(words):
+            for k, i in self.anchors.get(w, ()):
+                n, size = len(self.known[k][2]), self.scale[k]
+                first = t - i - n // 5 - 1
+                out.setdefault((max(0, first) // size * size, 3 * size), {}).setdefault(k, set()).add(first)
+        return out
 
     def scan(self, text: str):
         """(license, offset, share of bytes saved, share of wording found, words differing) of each confirmed block.
 
-        Windows of every wording's length, and a fifth more on either side, are laid around each anchor word of
-        the whole text, across sentences, lines and paragraphs.
+        Every candidate block of the whole text, across sentences, lines and paragraphs, is compressed with every
+        wording; the reductions are ranked, and the wordings confirmed in that order. Among those confirmed the
+        larger reduction names the license of the words that they share.
         """
         if not HINT.search(text.lower()):
             return []
@@ -141,38 +171,39 @@ class Scanner:
             end = m.end()
         words = [w for w, _ in at]
         hits = set()
-        for t, w in enumerate(words):
-            for k, i in self.anchors.get(w, ()):
+        for (start, size), places in self.blocks(words).items():
+            for saved, k, reduction in self.reductions(words[start : start + size]):
                 n = len(self.known[k][2])
-                lo = max(0, t - i - n // 5 - 1)
-                own = tuple(words[lo : t - i + n + n // 5 + 1])
-                if (k, own) not in self.compared:
-                    if len(self.compared) > 20_000:
-                        self.compared.clear()
-                    self.compared[k, own] = self.compare(k, own)
-                if hit := self.compared[k, own]:
-                    share, differ, equal, saved = hit
-                    hits.add((-len(equal), differ, -share, -saved, lo + equal[0], k, frozenset(lo + j for j in equal)))
+                for first in places.get(k, ()):
+                    lo = max(0, first)
+                    own = tuple(words[lo : first + 1 + n // 5 + n + n // 5 + 1])
+                    if (k, own) not in self.compared:
+                        if len(self.compared) > 20_000:
+                            self.compared.clear()
+                        self.compared[k, own] = self.compare(k, own)
+                    if hit := self.compared[k, own]:
+                        share, differ, equal = hit
+                        hits.add((-saved, differ, -share, lo + equal[0], k, reduction, frozenset(lo + j for j in equal)))
         taken: list[tuple[str, frozenset]] = []
         out = []
-        for _, differ, share, saved, first, k, places in sorted(hits, key=lambda h: h[:6]):
+        for _, differ, share, first, k, reduction, places in sorted(hits, key=lambda h: h[:6]):
             name = self.known[k][0]
-            # Words that already stand for a longer wording do not name a second license; one place counts once a license.
+            # Words that already stand for a wording of larger reduction do not name a second license; one place counts once a license.
             if any(places <= p or name == x and places & p for x, p in taken):
                 continue
             taken.append((name, places))
-            out.append((name, at[first][1], -saved, -share, differ))
+            out.append((name, at[first][1], reduction, -share, differ))
         return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, n_blocks, first_offset, reduction, wording, differences) of each license a document names.
 
-    Candidate blocks are windows of a wording's length around each license word of the whole text, whatever
-    lines and sentences they cross. Each is compared with every wording that holds the word: CONFIRM of the
-    wording must stand in order, without a changed version, and the wording as raw dictionary must save
-    bytes. One row a document and license, of its best block (fewest differences, then first); a block may
-    name several. Null and empty texts name none; repeated rows give repeated rows; a null doc_id stays
+    Candidate blocks are stretches of words around the license words of the whole text, whatever lines and
+    sentences they cross. Each is compressed with every wording as raw dictionary; wordings that save bytes are
+    ranked by how many and confirmed in that order: CONFIRM of the wording must stand in order, without a changed
+    version. reduction is the share of its block's bytes that the wording saves. One row a document and license,
+    of its best block (fewest differences, then first); a block may name several. Null and empty texts name none; repeated rows give repeated rows; a null doc_id stays
     null. Only doc_id and text are read. A map without shuffle.
     """
 

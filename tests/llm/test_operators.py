@@ -385,6 +385,28 @@ def test_licenses_that_differ_by_a_name():
     assert names("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: LGPL-2.1\n") == {"MIT", "LGPL-2.1"}
 
 
+def test_license_of_the_largest_reduction():
+    """The wording with more differences is compressed better, as its words stand together: the reduction decides."""
+    import zstandard
+
+    known = {"A": ("released under the green garden license of the old botanical society",), "B": ("released under the garden license of the old botanical society today anyhow",)}
+    text = "Some words before. Released under the garden license of the old botanical society. Some words behind."
+    assert [x[0] for x in license_scan.Scanner(known).scan(text)] == ["B"]
+    # Every block against every wording, each compressed on its own.
+    scanner = license_scan.Scanner()
+    words = [m[0].lower() for t in license_scan.TEMPLATES.values() for w in t for m in license_scan.WORDS.finditer(w + " and some other words " * 9)]
+    found = scanner.blocks(words)
+    assert len(found) > 40
+    for start, size in found:
+        block = " ".join(words[start : start + size]).encode()
+        size_of = lambda **k: len(zstandard.ZstdCompressor(level=-1, **k).compress(block))  # noqa: B023, E731
+        saved = [size_of() - size_of(dict_data=zstandard.ZstdCompressionDict(" ".join(want).encode().rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, want in scanner.known]
+        got = scanner.reductions(words[start : start + size])
+        assert [n for n, _, _ in got] == sorted((n for n, _, _ in got), reverse=True) and len(got) > 1
+        top = max(saved)
+        assert abs(got[0][0] - top) <= 8 and saved[got[0][1]] >= top - 8  # a prepared dictionary may find other matches
+
+
 def test_license_scan_finds_what_was_planted(spark):
     rng = random.Random(27)
     word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randrange(2, 9)))
