@@ -561,3 +561,28 @@ def test_passages_of_lines_that_many_texts_hold(spark):
         rows += [" ".join([word() for _ in range(20)] + x + [word() for _ in range(20)]) for x in (own, changed)]
     got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.fuzzy_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
     assert {p for p in pairs if p in got and p[::-1] in got} == set(pairs)
+
+
+def test_texts_that_share_only_frequent_seeds(spark):
+    """Two texts of the largest keys, whose every common seed stands in 100 other texts, each of which holds less than a passage."""
+    rng = random.Random(41)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    lines, stretch, tail = [some(10) for _ in range(6)], some(21), some(40)
+    broken = lambda: [w for line in lines for w in (*line, *some(1))]  # noqa: E731  ten words, then one of its own
+    # 21 words, then four of every five: two seeds far enough apart are in all texts, and there is no other seed.
+    grown = lambda: stretch + [w if k % 5 else some(1)[0] for k, w in enumerate(tail)]
+    held = [" ".join(some(30) + line + some(30)) for line in (*lines, stretch) for _ in range(100)]
+    for first_id, passage in ((1000, broken), (2000, grown)):
+        own = [" ".join(some(9) + passage() + some(9)) for _ in range(300)]
+        keyed = spark.createDataFrame([(t,) for t in own], "text string").selectExpr("text", "xxhash64(text) as ck").orderBy("ck").collect()
+        two = [r.text for r in keyed[-2:]]
+        assert substring_dedup.passages_of(*two, False, 50, 0.8)
+        rows = [(k, t) for k, t in enumerate(held)] + [(first_id, two[0]), (first_id + 1, two[1])]
+        got = substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {(r.doc_id, r.other_doc_id) for r in got} == {(first_id, first_id + 1), (first_id + 1, first_id)}
+
+
+def test_classes_of_texts_by_their_hubs():
+    # Hubs 0 and 1 are joined by the text that has both; hub 2 stands alone; texts without a hub are classes of their own.
+    got = substring_dedup.labels(np.array([0b0001, 0b0010, 0b0011, 0b0100, 0, 0])).tolist()
+    assert got[0] == got[1] == got[2] and len({got[0], got[3], got[4], got[5]}) == 4
