@@ -582,6 +582,30 @@ def test_texts_that_share_only_frequent_seeds(spark):
         assert {(r.doc_id, r.other_doc_id) for r in got} == {(first_id, first_id + 1), (first_id + 1, first_id)}
 
 
+def test_keys_of_the_same_texts_pair_them_once():
+    m = np.array([(key, ck, 10 * key, 10 * key + 20) for key in range(50) for ck in range(5)])
+    got = [r for b in substring_dedup._key_rows([substring_dedup._batch(m, ("key", "ck", "pi", "pj"))]) for r in zip(*(b.column(k).to_pylist() for k in (1, 2)), strict=True)]
+    assert sorted(got) == [(i, j) for i in range(5) for j in range(i + 1, 5)]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_pairs_of_seeds_in_blocks(monkeypatch, block):
+    """Blocks smaller than a seed's places change nothing: seeds of few and many texts, of one text, with copies and repeats."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(3)
+    rows = sorted((seed, ck, pos) for seed, texts in ((1, 3), (2, 70), (3, 1), (4, 64), (5, 65), (6, 2), (7, 200)) for ck in range(texts) for pos in [rng.randrange(40) for _ in range(rng.choice([1, 1, 1, 2, 5]))] * rng.choice([1, 2]))
+    want, held = [], {}
+    for seed, ck, pos in sorted(set(rows)):
+        held.setdefault(seed, {}).setdefault(ck, []).append(pos)
+    for seed, texts in held.items():
+        mark = substring_dedup.MANY if len(texts) > 64 or max(map(len, texts.values())) > 1 else substring_dedup.ALONE
+        want += [(ck, ck, x, y) for ck, at in texts.items() for x, y in zip(at, at[1:], strict=False)]
+        want += [(ck, seed, x, mark) for ck, at in texts.items() for x in at if len(texts) > 1]
+        want += [(a, b, texts[a][0], texts[b][0]) for a in texts for b in texts if a < b and len(texts) <= 64]
+    batches = [substring_dedup._batch(np.array(rows[k : k + 9]), ("seed", "ck", "pos")) for k in range(0, len(rows), 9)]
+    assert sorted(tuple(r.values()) for b in substring_dedup._pair_rows(batches) for r in b.to_pylist()) == sorted(want)
+
+
 def test_classes_of_texts_by_their_hubs():
     # Hubs 0 and 1 are joined by the text that has both; hub 2 stands alone; texts without a hub are classes of their own.
     got = substring_dedup.labels(np.array([0b0001, 0b0010, 0b0011, 0b0100, 0, 0])).tolist()
