@@ -8,6 +8,8 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from tallyloom.llm import bpe, decontaminate, embedding_dedup, html_text, license_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
@@ -610,3 +612,56 @@ def test_classes_of_texts_by_their_hubs():
     # Hubs 0 and 1 are joined by the text that has both; hub 2 stands alone; texts without a hub are classes of their own.
     got = substring_dedup.labels(np.array([0b0001, 0b0010, 0b0011, 0b0100, 0, 0])).tolist()
     assert got[0] == got[1] == got[2] and len({got[0], got[3], got[4], got[5]}) == 4
+
+
+def test_runs_of_one_word_meet_by_the_words_beside_them(spark):
+    """Texts that share a run of one word alone have no key in common; two of which the run and words without a common 5-mer make a passage are found among 150 such."""
+    rng = random.Random(51)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    tail = some(20)
+    grown = lambda: ["aaa"] * 32 + [w if k % 5 else some(1)[0] for k, w in enumerate(tail)]
+    texts = [some(20) + ["aaa"] * rng.randrange(20, 39) + some(40) for _ in range(150)] + [some(9) + grown() + some(9) for _ in range(2)]
+    codes = [substring_dedup.word_codes([w.encode() for w in t]) for t in texts]
+    keys = [set(substring_dedup.run_keys(c, 50, 0.8)[:, 0].tolist()) for c in codes]
+    assert all(keys) and not any(keys[i] & keys[j] for i in range(150) for j in range(i)) and keys[150] & keys[151]
+    h, at = substring_dedup.seeds(codes[0])
+    places = np.stack([np.zeros(len(h), np.int64), at, h.view(np.int64), np.full(len(h), substring_dedup.MANY)], axis=1)
+    inner = [(i, j) for b in substring_dedup._composites([places]) for i, j in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) if h[i] == h[j]]
+    assert inner == []
+    got = substring_dedup.fuzzy_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == {(150, 151), (151, 150)}
+
+
+def test_texts_with_a_passage_are_promising():
+    rng = random.Random(52)
+    said = set()
+    for k in range(300):
+        word = lambda: f"w{rng.randrange(rng.choice([30, 3000]))}"  # noqa: B023, E731
+        p = [word() for _ in range(rng.choice([50, 60, 83, 84, 120]))]
+        q = [f"x{rng.randrange(3000)}" if rng.random() < rng.choice([0.1, 0.2, 0.3]) else x for x in p]
+        a, b = (" ".join([word() for _ in range(rng.randrange(60))] + x + [word() for _ in range(rng.randrange(60))]) for x in (p, q if k % 4 else [word() for _ in p]))
+        known: dict = {}
+        good = substring_dedup.promising(substring_dedup.known_text(b, known), [substring_dedup.known_text(t, known) for t in (a, "z " * 60)], 50, 0.8)
+        found = bool(substring_dedup.passages_of(a, b, False, 50, 0.8))
+        said.add((found, good[0]))
+        assert good[0] or not found
+        assert not good[1]
+    assert {(True, True), (False, False)} <= said
+
+
+@pytest.mark.parametrize("held", [4_000_000, 150])
+def test_seeds_dealt_in_blocks(monkeypatch, held):
+    """Whatever a task may hold, blocks in any order give the rows of _pair_rows() over all seeds in order; keys pass through."""
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    rng = random.Random(5)
+    rows = [(seed << 40, ck, pos, seed << 40) for seed, texts in ((1, 3), (2, 70), (3, 1), (4, 64), (5, 300), (6, 2), (7, 200)) for ck in range(texts) for pos in sorted(rng.sample(range(40), rng.choice([1, 1, 1, 2, 5])))]
+    of = sorted({r[1] for r in rows}, key=lambda _: rng.random())
+    parts = [np.array([r for r in rows if r[1] in of[k : k + 40]]) for k in range(0, len(of), 40)]
+    keys = list(substring_dedup._dealt(substring_dedup.KEYS, [np.array([(9, 8, 7, 6, 9)])]))
+    dealt = [b for m in parts for b in substring_dedup._dealt(substring_dedup.SEEDS, [m])]
+    got = list(substring_dedup._found_rows([*dealt, *keys]))
+    read = lambda kind: sorted(tuple(x) for b in got for b in [b.filter(pa.compute.equal(b.column(0), kind))] for m in substring_dedup._buckets([b], 4) for x in m.tolist())
+    want = [tuple(r.values()) for b in substring_dedup._pair_rows([np.array(sorted(rows))[:, :3]]) for r in b.to_pylist()]
+    assert read(substring_dedup.MATCHES) == sorted(r for r in want if r[3] >= 0)
+    assert read(substring_dedup.PLACES) == sorted((ck, pos, seed, mark) for ck, seed, pos, mark in want if mark < 0)
+    assert read(substring_dedup.KEYS) == [(9, 8, 7, 6)]
