@@ -665,3 +665,51 @@ def test_seeds_dealt_in_blocks(monkeypatch, held):
     assert read(substring_dedup.MATCHES) == sorted(r for r in want if r[3] >= 0)
     assert read(substring_dedup.PLACES) == sorted((ck, pos, seed, mark) for ck, seed, pos, mark in want if mark < 0)
     assert read(substring_dedup.KEYS) == [(9, 8, 7, 6)]
+
+
+def test_seeds_of_many_texts_are_dealt_by_text_and_not_by_pair(monkeypatch):
+    """A seed of 64 texts is 64 rows and not 2,016 matches more; the texts that near_diagonals() leaves of all matches meet by one group of seeds, by two, by far ones, and with themselves."""
+    rng = random.Random(61)
+    at = np.cumsum([rng.choice([1, 4, 13, 60, 200]) for _ in range(40)]).tolist()
+    rows = []
+    for ck in range(0, 64 << 16, 1 << 16):
+        start = rng.randrange(500)
+        rows += [(seed + 1 << 40, ck, start + at[seed], seed + 1 << 40) for seed in ([0] if ck else []) + rng.sample(range(1, 40), rng.choice([0, 2, 6]))]
+    rows += [(50 + k << 40, 1 << 16, p + k, 50 + k << 40) for k in range(13) for p in (3000, 3400)]
+    sort = lambda batches, *by: pa.Table.from_batches(list(batches)).sort_by([(x, "ascending") for x in by]).to_batches()
+    seeds = sort(substring_dedup._dealt(substring_dedup.SEEDS, [np.array(rows)]), "kind", "bucket")
+    found = list(substring_dedup._found_rows(seeds, grouped=True))
+    places = [m for m in substring_dedup._buckets(found, 4)]
+    assert sum(map(len, places)) <= len(rows) and {k for b in found for k in b.column(0).to_pylist()} == {substring_dedup.PLACES}
+    matched = [m for b in substring_dedup._pair_rows([np.array(sorted(rows))[:, :3]]) for m in b.to_pylist() if m["pb"] >= 0]
+    assert len(matched) > 2016
+    m = np.array(sorted(tuple(r.values()) for r in matched))
+    want = set(map(tuple, substring_dedup.near_diagonals(m, 50).tolist()))
+    for most in (substring_dedup.MATCHED, 10):
+        monkeypatch.setattr(substring_dedup, "MATCHED", most)
+        dealt = sort(substring_dedup._text_rows(50)(sort(found, "bucket")), "kind", "bucket")
+        got = {(r["a"], r["b"]) for b in substring_dedup._keyed_rows(50)(dealt) for r in b.to_pylist() if r["pi"] < 0}
+        assert (1 << 16, 1 << 16) in want and len(want) > 50 and want <= got and len(got) < 64 * 63 // 2
+
+
+def test_pairs_of_many_keys_are_told_once(monkeypatch):
+    m = np.array([(key, ck, 0) for key in range(30) for ck in range(70)])
+    got = [(a, b) for x in substring_dedup._rest_rows([substring_dedup._batch(m, ("key", "ck", "mask"))]) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    want = [(i, j) for i in range(70) for j in range(i + 1, 70)]
+    assert sorted(got) == want
+    monkeypatch.setattr(substring_dedup, "MATCHED", 100)
+    got = {(a, b) for x in substring_dedup._rest_rows([substring_dedup._batch(m, ("key", "ck", "mask"))]) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    assert sorted(got) == want
+
+
+def test_texts_whose_shorter_hashes_are_equal(spark, monkeypatch):
+    """Where texts share the bits that are dealt, all bits are."""
+    rng = random.Random(62)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = some(60)
+    rows = [(k, some(30) + " " + passage if k % 10 == 0 else some(80)) for k in range(60)]
+    want = {(a, b) for a in range(0, 60, 10) for b in range(0, 60, 10) if a != b}
+    for spared in (16, 60):
+        monkeypatch.setattr(substring_dedup, "SPARED", spared)
+        got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
